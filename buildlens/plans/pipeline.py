@@ -1,0 +1,89 @@
+"""The nightly run: snapshot in, store out."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from buildlens.catalog import Config, check_tags, fingerprint, tags_df
+from buildlens.functions.ids import assign_ids
+from buildlens.operators import artifacts as art, ingest, similarity, store as st, tagging
+from buildlens.sources.tables import read_store, write_store
+
+Store = dict[str, DataFrame]
+
+
+def _with_ids(store: Store, config: Config) -> tuple[Store, list]:
+    """Put the configured tags into the store and give them their stored ids."""
+    spark = store["jobs"].sparkSession
+    check_tags(spark, config.tags)
+    change = tags_df(spark, config.tags).drop("tag_id")
+    store = {**store, "tags": st.upsert_tags(store["tags"], change)}
+    ids = {row["name"]: row["tag_id"] for row in store["tags"].select("name", "tag_id").collect()}
+    return store, [replace(t, tag_id=ids[t.name]) for t in config.tags]
+
+
+def take_in(
+    store: Store, payload: DataFrame, details: DataFrame, artifacts: DataFrame, config: Config
+) -> Store:
+    """Upsert the snapshot's jobs, builds and new runs, and the artifacts (url, path, contents) of the latter."""
+    jobs = ingest.kept_jobs(ingest.payload_jobs(payload), config.blocklist)
+    new_jobs = st.upsert_jobs(store["jobs"], ingest.job_rows(jobs, config.last_n_history))
+    job_ids = new_jobs.select(F.col("name").alias("job_name"), "job_id")
+    listed = ingest.build_rows(jobs, config.last_n_history)
+    builds = st.upsert_builds(
+        store["builds"], listed.drop("runs").join(job_ids, "job_name").drop("job_name")
+    )
+    build_ids = builds.select(F.col("url").alias("build_url"), "build_id")
+    fresh = ingest.new_runs(ingest.own_runs(listed), store["runs"])
+    rows = ingest.run_rows(fresh, details).join(build_ids, "build_url").drop("build_url")
+    added = assign_ids(rows, "url", "run_id", after=store["runs"].agg(F.max("run_id")))
+    wanted = art.matching_artifacts(artifacts, config.artifact_rules).join(
+        added.select("url", "run_id"), "url"
+    )
+    keyed = wanted.withColumn("key", F.concat_ws("/", "url", "path"))
+    files = assign_ids(
+        keyed, "key", "artifact_id", after=store["artifacts"].agg(F.max("artifact_id"))
+    )
+    return {
+        **store,
+        "jobs": new_jobs,
+        "builds": builds,
+        "runs": store["runs"].unionByName(added.select(*store["runs"].columns)),
+        "artifacts": store["artifacts"].unionByName(files.select(*store["artifacts"].columns)),
+    }
+
+
+def nightly(
+    store: Store,
+    payload: DataFrame,
+    details: DataFrame,
+    artifacts: DataFrame,
+    config: Config,
+    root: str,
+    version: int,
+) -> Store:
+    """One night: versions ``2 * version`` and ``2 * version + 1`` under ``root`` are written.
+
+    The first holds the store with the new runs, the second also their issues, without what the
+    retention floors and the catalog no longer cover, and the similarity groups built anew.
+    """
+    store, tags = _with_ids(store, config)
+    schema = fingerprint(tags)
+    store = st.purge_blocklist(st.invalidate(store, schema), config.blocklist)
+    store = write_store(take_in(store, payload, details, artifacts, config), root, 2 * version)
+    if tagging.untagged_runs(store["runs"]).isEmpty():
+        return write_store(store, root, 2 * version + 1)
+
+    issues = tagging.all_issues(store["runs"], store["artifacts"], tags, store["issues"])
+    store = {**store, "issues": issues, "runs": tagging.stamp(store["runs"], schema)}
+    # Groups go before they are rebuilt, so the purge need not look at them.
+    store = st.purge_retention({**store, "similarities": store["similarities"].limit(0)})
+    store["tags"] = st.purge_orphan_tags(store["tags"], store["issues"])
+    store = write_store(store, root, 2 * version + 1)
+    shown = tagging.not_metadata(store["issues"], store["tags"])
+    members = similarity.group_members(shown, config.threshold)
+    members.write.mode("overwrite").parquet(f"{root}/v={2 * version + 1}/similarities")
+    return read_store(store["jobs"].sparkSession, root, 2 * version + 1)
