@@ -15,8 +15,11 @@ from buildlens.session import cut_lineage
 
 
 def distinct_snippets(issues: DataFrame) -> DataFrame:
-    """(node, snippet, first_issue) in order of first issue, written once; equal snippets are one node."""
-    snippets = issues.groupBy("snippet").agg(F.min("issue_id").alias("first_issue"))
+    """(node, snippet, first_issue) in order of first issue; equal snippets are one node.
+
+    Written before it is numbered as well: the range shuffle looks at its input twice.
+    """
+    snippets = cut_lineage(issues.groupBy("snippet").agg(F.min("issue_id").alias("first_issue")))
     return cut_lineage(ordered_ids(snippets, "first_issue", "node"))
 
 

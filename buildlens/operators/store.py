@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.functions.ids import assign_ids
+from buildlens.session import cut_lineage
 
 
 def upsert(old: DataFrame, change: DataFrame, key: str, id_col: str, update: list[str]) -> DataFrame:
     """Insert rows with a new key, overwrite ``update`` in the others, nulls included.
 
-    Ids and the remaining columns of stored rows stay. ``change`` has one row per key. Nothing here
-    needs the old table shuffled when the change set is small enough for Spark to broadcast it.
+    Ids and the remaining columns of stored rows stay. ``change`` has one row per key and is written
+    once, as it is used four times. Nothing here needs the old table shuffled when the change set is
+    small enough for Spark to broadcast it.
     """
+    change = cut_lineage(change)
     incoming = change.select(
         F.col(key), F.struct(*update).alias("_new"), F.lit(True).alias("_given")
     )
@@ -56,11 +59,15 @@ def upsert_tags(old: DataFrame, change: DataFrame) -> DataFrame:
     )
 
 
+def _without(df: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
+    return df.join(doomed, key, "left_anti").select(*df.columns)
+
+
 def drop_groups(similarities: DataFrame, issues: DataFrame, doomed_runs: DataFrame) -> DataFrame:
     """Groups none of whose issues belongs to a doomed run."""
     lost = issues.join(doomed_runs, "run_id", "left_semi").select("issue_id")
     broken = similarities.join(lost, "issue_id", "left_semi").select("group_id").distinct()
-    return similarities.join(broken, "group_id", "left_anti")
+    return _without(similarities, broken, "group_id")
 
 
 def _cascade(store: dict[str, DataFrame], doomed_builds: DataFrame) -> dict[str, DataFrame]:
@@ -69,10 +76,10 @@ def _cascade(store: dict[str, DataFrame], doomed_builds: DataFrame) -> dict[str,
     return {
         **store,
         "similarities": drop_groups(store["similarities"], store["issues"], doomed_runs),
-        "issues": store["issues"].join(doomed_runs, "run_id", "left_anti"),
-        "artifacts": store["artifacts"].join(doomed_runs, "run_id", "left_anti"),
-        "runs": store["runs"].join(doomed_builds, "build_id", "left_anti"),
-        "builds": store["builds"].join(doomed_builds, "build_id", "left_anti"),
+        "issues": _without(store["issues"], doomed_runs, "run_id"),
+        "artifacts": _without(store["artifacts"], doomed_runs, "run_id"),
+        "runs": _without(store["runs"], doomed_builds, "build_id"),
+        "builds": _without(store["builds"], doomed_builds, "build_id"),
     }
 
 
@@ -100,7 +107,8 @@ def purge_retention(store: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def purge_orphan_tags(tags: DataFrame, issues: DataFrame) -> DataFrame:
     """Tags that have issues."""
-    return tags.join(issues.select("tag_id").distinct(), "tag_id", "left_semi")
+    used = issues.select("tag_id").distinct()
+    return tags.join(used, "tag_id", "left_semi").select(*tags.columns)
 
 
 def invalidate(store: dict[str, DataFrame], tag_schema: str) -> dict[str, DataFrame]:
@@ -111,6 +119,6 @@ def invalidate(store: dict[str, DataFrame], tag_schema: str) -> dict[str, DataFr
     return {
         **store,
         "similarities": drop_groups(store["similarities"], store["issues"], stale_runs),
-        "issues": store["issues"].join(stale_runs, "run_id", "left_anti"),
+        "issues": _without(store["issues"], stale_runs, "run_id"),
         "runs": store["runs"].withColumn("tag_schema", reset),
     }

@@ -20,6 +20,7 @@ from buildlens.operators import (
     views,
 )
 from buildlens.schemas import PAYLOAD
+from buildlens.session import cut_lineage
 from buildlens.sources import ci_tables as ci
 from buildlens.sources.tables import read_table
 from buildlens.streaming import incremental
@@ -185,9 +186,10 @@ def upsert_tags(spark, sf):
 
 
 def _store_b(spark, sf):
+    """A store as the maintenance jobs find it: runs and issues are written tables."""
     builds = ci.builds_b(spark, sf)
-    runs = ci.runs_b(spark, sf)
-    issues = tagging.run_name_issues(runs, ci.NAME_TAGS)
+    runs = cut_lineage(ci.runs_b(spark, sf))
+    issues = cut_lineage(tagging.run_name_issues(runs, ci.NAME_TAGS))
     floors = ingest.retention_floors(builds, 5)
     return {
         "jobs": ci.jobs_b(spark, sf).join(floors, "job_id", "left"),
@@ -358,8 +360,9 @@ def stock_issues(spark, sf):
 
 
 def _fuzzy_issues(spark, sf):
+    """Stored issues other than Metadata."""
     found = tagging.not_metadata(_issues_a(spark, sf), _tags_a(spark))
-    return found.select("issue_id", "run_id", "tag_id", "snippet")
+    return cut_lineage(found.select("issue_id", "run_id", "tag_id", "snippet"))
 
 
 def _named_runs(spark, sf):
