@@ -53,24 +53,30 @@ def _pieces(texts: DataFrame, size: int) -> DataFrame:
     )
 
 
-def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a < b: a superset of the similar pairs, found through shared pieces.
-
-    The longer text of a pair offers its rarest pieces, the other one all its substrings of that
-    length. The join key is (piece, length band); bands are a factor 1 - c wide, so partners lie in
-    the same or the next band.
-    """
+def _texts(nodes: DataFrame, threshold: float) -> DataFrame:
     ratio = edit_ratio(threshold)
-    size = gram_length(threshold)
-    texts = nodes.select(
+    length = F.char_length("snippet")
+    return nodes.select(
         "node",
         "snippet",
-        F.char_length("snippet").alias("length"),
-        edit_budget(F.char_length("snippet"), threshold).alias("budget"),
-    ).withColumn("band", F.floor(F.log(F.col("length")) / F.lit(-math.log(1.0 - ratio))).cast("int"))
-    longer = _pieces(texts, size).alias("l")
-    shorter = (
-        texts.filter(F.col("length") >= size)
+        length.alias("length"),
+        edit_budget(length, threshold).alias("budget"),
+        F.floor(F.log(length) / F.lit(-math.log(1.0 - ratio))).cast("int").alias("band"),
+    )
+
+
+def candidate_pairs(longer: DataFrame, shorter: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b: a superset of the similar pairs of a longer (or as long) and a shorter text.
+
+    The longer text offers its rarest pieces, the other one all its substrings of that length. The
+    join key is (piece, length band); bands are a factor 1 - c wide, so partners lie in the same or
+    the next band.
+    """
+    size = gram_length(threshold)
+    index = _pieces(_texts(longer, threshold), size).alias("l")
+    probe = (
+        _texts(shorter, threshold)
+        .filter(F.col("length") >= size)
         .select(
             "node",
             "length",
@@ -96,7 +102,7 @@ def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
         & (F.col("l.node") != F.col("s.node"))
     )
     return (
-        longer.join(shorter, near)
+        index.join(probe, near)
         .select(
             F.least("l.node", "s.node").alias("a"),
             F.greatest("l.node", "s.node").alias("b"),
@@ -105,33 +111,137 @@ def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def similar_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, distance, similarity) of all pairs of different snippets above the threshold."""
+def _distances(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` whose texts lie within the edit budget, with distance and longer length."""
     left = nodes.select(F.col("node").alias("a"), F.col("snippet").alias("left"))
     right = nodes.select(F.col("node").alias("b"), F.col("snippet").alias("right"))
-    longer = F.greatest(F.char_length("left"), F.char_length("right"))
     return (
-        candidate_pairs(nodes, threshold)
-        .join(left, "a")
+        pairs.join(left, "a")
         .join(right, "b")
-        .withColumn("longer", longer)
+        .withColumn("longer", F.greatest(F.char_length("left"), F.char_length("right")))
         .withColumn("budget", edit_budget(F.col("longer"), threshold))
         .withColumn("distance", F.expr("levenshtein(left, right, budget)"))
         .filter(F.col("distance") >= 0)
-        .withColumn("similarity", decay_similarity(F.col("distance"), F.col("longer")))
+        .select("a", "b", "distance", "longer")
+    )
+
+
+def similar_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, distance, similarity) of all pairs of different snippets above the threshold."""
+    found = _distances(candidate_pairs(nodes, nodes, threshold), nodes, threshold)
+    return (
+        found.withColumn("similarity", decay_similarity(F.col("distance"), F.col("longer")))
         .filter(F.col("similarity") > threshold)
         .select("a", "b", "distance", "similarity")
     )
 
 
+def _number_families(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, snippet, template, digits, first): texts that differ in digits only form a family.
+
+    With few digits for its length, any two members are similar, whatever their digits are. ``first``
+    is the family's first node, null for snippets without a family.
+    """
+    digits = F.char_length("snippet") - F.char_length(F.regexp_replace("snippet", "[0-9]", ""))
+    told = nodes.select(
+        "node",
+        "snippet",
+        F.regexp_replace("snippet", "[0-9]", "0").alias("template"),
+        digits.alias("digits"),
+    )
+    few = decay_similarity(F.col("digits"), F.char_length("snippet")) > threshold
+    told = told.withColumn("few", few & (F.col("digits") > 0))
+    shared = (
+        told.filter("few")
+        .groupBy("template")
+        .agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > 1)
+        .select("template", "first", F.lit(True).alias("few"))
+    )
+    return told.join(shared, ["template", "few"], "left").select(
+        "node", "snippet", "template", "digits", "first"
+    )
+
+
+def _family_edges(told: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links of and beside families: (a, b) over units, and (node, unit) of all nodes.
+
+    Masking digits never adds edits, and taking the digits back adds at most one per digit of the
+    poorer text. So the distance d of two templates bounds that of their members by d and by
+    d + digits: mostly all pairs are similar or none is, and the family acts as one unit. Families
+    for which the bounds leave it open are taken apart and compared member by member.
+    """
+    families = told.filter(F.col("node") == F.col("first"))
+    singles = told.filter(F.col("first").isNull())
+    masked = lambda df: df.select("node", F.col("template").alias("snippet"))
+    units = cut_lineage(
+        families.unionByName(singles).select("node", "template", "digits", "first")
+    )
+    few, rest = units.filter(F.col("first").isNotNull()), units.filter(F.col("first").isNull())
+    pairs = (
+        candidate_pairs(masked(few), masked(units), threshold)
+        .unionByName(candidate_pairs(masked(rest), masked(few), threshold))
+        .distinct()
+    )
+    of = lambda end: units.select(
+        F.col("node").alias(end), F.col("digits").alias(f"{end}_digits"), F.col("first").alias(f"{end}_first")
+    )
+    most = F.col("distance") + F.least("a_digits", "b_digits")
+    judged = cut_lineage(
+        _distances(pairs, masked(units), threshold)
+        .filter(decay_similarity(F.col("distance"), F.col("longer")) > threshold)
+        .join(of("a"), "a")
+        .join(of("b"), "b")
+        .withColumn("sure", decay_similarity(most, F.col("longer")) > threshold)
+    )
+    open_ends = judged.filter(~F.col("sure")).select(F.explode(F.array("a_first", "b_first")).alias("first"))
+    apart = cut_lineage(open_ends.filter(F.col("first").isNotNull()).distinct())
+
+    members = told.filter(F.col("first").isNotNull()).select("node", "snippet", "first")
+    loose = members.join(apart, "first", "left_semi")
+    whole = members.join(apart, "first", "left_anti")
+    alone = cut_lineage(singles.select("node", "snippet").unionByName(loose.select("node", "snippet")))
+    placed = alone.select("node", F.col("node").alias("unit")).unionByName(
+        whole.select("node", F.col("first").alias("unit"))
+    )
+
+    # A kept family's links are sure; towards a family taken apart they hold for each member.
+    parts = loose.select("first", F.col("node").alias("part"))
+    marked = apart.withColumn("apart", F.lit(True))
+    sure = judged.filter("sure").select("a", "b", "a_first", "b_first")
+    for end in ("a", "b"):
+        sure = sure.join(
+            marked.select(F.col("first").alias(f"{end}_first"), F.col("apart").alias(f"{end}_apart")),
+            f"{end}_first",
+            "left",
+        )
+    kept = lambda end: F.col(f"{end}_first").isNotNull() & F.col(f"{end}_apart").isNull()
+    sure = sure.filter(kept("a") | kept("b"))
+    for end in ("a", "b"):
+        spread = parts.select(F.col("first").alias(f"{end}_first"), F.col("part").alias(f"{end}_part"))
+        sure = sure.join(spread, f"{end}_first", "left")
+    ends = sure.select(F.coalesce("a_part", "a").alias("x"), F.coalesce("b_part", "b").alias("y"))
+    family_links = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return similar_pairs(alone, threshold).select("a", "b").unionByName(family_links), placed
+
+
 def snippet_groups(
     nodes: DataFrame, threshold: float, task_edges: int = TASK_EDGES
 ) -> DataFrame:
-    """(node, snippet, seed): each snippet joins the earliest group similar throughout."""
-    linked = complete_linkage(similar_pairs(nodes, threshold), task_edges)
-    return nodes.join(linked, "node", "left").select(
-        "node", "snippet", F.coalesce("seed", "node").alias("seed")
-    )
+    """(node, snippet, seed): each snippet joins the earliest group similar throughout.
+
+    Members of a family that acts as one unit see the same neighbours and each other, so they all
+    end in the group of the first one, and only that one is compared.
+    """
+    told = cut_lineage(_number_families(nodes, threshold))
+    if told.filter(F.col("first").isNotNull()).isEmpty():
+        edges = similar_pairs(nodes, threshold).select("a", "b")
+        placed = nodes.select("node", F.col("node").alias("unit"))
+    else:
+        edges, placed = _family_edges(told, threshold)
+    linked = complete_linkage(edges, task_edges).withColumnRenamed("node", "unit")
+    seeds = placed.join(linked, "unit", "left").select("node", F.coalesce("seed", "unit").alias("seed"))
+    return nodes.join(seeds, "node").select("node", "snippet", "seed")
 
 
 def _half(digits_from: int):

@@ -99,6 +99,42 @@ def test_members_equal_brute_force(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
 
 
+def _numbered(rng):
+    """Families that differ in digits, near families, and texts a few letters away from them."""
+    texts = []
+    for word in ("alpha", "beta", "gamma delta"):
+        base = f"the {word} worker stopped after waiting for the answer of its peer on the long way home at step "
+        texts += [f"{base}{rng.randrange(10**width)}" for width in (1, 2, 3, 5) for _ in range(6)]
+        texts += [f"{base}{n} sec" for n in (1, 22, 333, 4444)] + [base + "x", base.upper()]
+    texts += [f"node {rng.randrange(10**6)} of {rng.randrange(10**6)} left" for _ in range(12)]
+    texts += [f"at 12:{m:02d}:{s:02d} the agent {n} went away from the build in the middle of the night, sadly, and did not return for {h} hours"
+              for m, s, n, h in [tuple(rng.randrange(60) for _ in range(4)) for _ in range(25)]]
+    texts = list(dict.fromkeys(texts))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_number_families_change_no_group(spark, seed):
+    texts = _numbered(random.Random(seed))
+    nodes = sim.distinct_snippets(issue_table(spark, texts))
+    groups = sim.snippet_groups(nodes, 0.9).select("node", "seed").collect()
+    text_of = {r.node: r.snippet for r in nodes.collect()}
+    got = sorted((text_of[r.node], text_of[r.seed]) for r in groups)
+    linked = lambda x, y: close(x, y, 0.9) > 0.9
+    want = sorted((t, g[0]) for g in greedy(texts, linked) for t in g)
+    assert got == want
+
+
+def test_a_family_is_compared_once(spark):
+    texts = [f"worker {i:04d} gave up waiting for an answer from the other side of the wire today" for i in range(2000)]
+    told = sim._number_families(sim.distinct_snippets(issue_table(spark, texts)), 0.9)
+    edges, placed = sim._family_edges(told, 0.9)
+    assert edges.count() == 0 and placed.select("unit").distinct().count() == 1
+    members = sim.group_members(issue_table(spark, texts), 0.9)
+    assert members.count() == 2000 and members.select("group_id").distinct().count() == 1
+
+
 def test_group_id_depends_on_members_only(spark):
     table = issue_table(spark, ["the same text of some length"] * 3 + ["another text altogether here"] * 2)
     ids = lambda df: sorted({r.group_id for r in sim.group_members(df, 0.9).collect()})
