@@ -6,8 +6,10 @@ import hashlib
 import tomllib
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from buildlens.schemas import FIELDS, SEVERITIES, TAGS
 
@@ -69,10 +71,12 @@ def check_tags(spark: SparkSession, tags: list[Tag]) -> list[Tag]:
 
 
 def tags_df(spark: SparkSession, tags: list[Tag]) -> DataFrame:
+    """The tags as a table. From Arrow it is a local relation whose size the optimizer knows."""
     rows = [
         (i, t.tag_id, t.name, t.desc, t.pattern, t.field, t.severity) for i, t in enumerate(tags, 1)
     ]
-    return spark.createDataFrame(rows, TAGS)
+    columns = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows), TAGS.fields)]
+    return spark.createDataFrame(pa.table(columns, names=TAGS.names))
 
 
 def fingerprint(tags: list[Tag]) -> str:

@@ -59,7 +59,7 @@ def is_bad(status: Column) -> Column:
 
 def time_label(ts_ms: Column, utc_offset_hours: int) -> Column:
     """``Jan 02, 2024 03:04:05 PM UTC-5``, whatever the session time zone."""
-    seconds = F.floor(ts_ms / F.lit(1000)) + F.lit(utc_offset_hours * 3600)
+    seconds = (ts_ms - F.pmod(ts_ms, F.lit(1000))) / 1000 + F.lit(utc_offset_hours * 3600)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     local = epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
     text = F.date_format(local, "MMM dd, yyyy hh:mm:ss a")

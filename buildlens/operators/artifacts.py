@@ -44,17 +44,15 @@ def _word(lines: Column, line: Column, word: int) -> Column:
     return F.get(F.split(F.trim(F.get(lines, line)), r"\s+"), F.lit(word))
 
 
-def top_usage(artifacts: DataFrame, runs: DataFrame) -> DataFrame:
+def usage_samples(artifacts: DataFrame) -> DataFrame:
     """(run_id, artifact_id, sample, time, cpu, mem) from the usage logs, in percent.
 
-    Samples are cut out of each text in place, so nothing is shuffled but the run names.
+    Samples are cut out of each text in place: no text is shuffled.
     """
-    readable = runs.filter(~F.col("display_name").rlike(OTHER_TOP_FORMATS)).select("run_id")
-    texts = (
-        artifacts.filter(F.col("path") == TOP_PATH)
-        .select("run_id", "artifact_id", utf8_text(F.col("contents")).alias("text"))
-        .join(readable, "run_id", "left_semi")
-        .withColumn("lines", F.split("text", "\n", -1))
+    texts = artifacts.filter(F.col("path") == TOP_PATH).select(
+        "run_id",
+        "artifact_id",
+        F.split(utf8_text(F.col("contents")), "\n", -1).alias("lines"),
     )
     starts = F.sequence(F.lit(0), F.size("lines") - 1, F.lit(SAMPLE_LINES))
     samples = texts.select("run_id", "artifact_id", "lines", F.posexplode(starts).alias("sample", "at"))
@@ -71,6 +69,12 @@ def top_usage(artifacts: DataFrame, runs: DataFrame) -> DataFrame:
     return parsed.filter(F.col("time").isNotNull())
 
 
+def of_readable_runs(usage: DataFrame, runs: DataFrame) -> DataFrame:
+    """Samples or summaries of the runs whose system writes them in the known form."""
+    readable = runs.filter(~F.col("display_name").rlike(OTHER_TOP_FORMATS)).select("run_id")
+    return usage.join(readable, "run_id", "left_semi")
+
+
 def usage_summary(usage: DataFrame) -> DataFrame:
     """Samples, peaks and means per run."""
     return usage.groupBy("run_id").agg(

@@ -21,11 +21,14 @@ from buildlens.operators.tagging import not_metadata
 def job_builds(jobs: DataFrame, builds: DataFrame) -> DataFrame:
     """Builds of every job with the newest flagged; a job without builds keeps one row.
 
-    The newest build comes from a combined maximum, not from ranking each job's builds in one task.
+    The newest build comes from a combined maximum, not from ranking each job's builds in one task,
+    and the builds are the side of an inner join that Spark may split when one job holds most.
     """
     newest = builds.groupBy("job_id").agg(F.max("number").alias("newest"))
     named = jobs.select("job_id", "name").join(newest, "job_id", "left")
-    rows = named.join(builds.select("job_id", "build_id", "number", "status"), "job_id", "left")
+    listed = builds.select("job_id", "build_id", "number", "status").join(named, "job_id")
+    without = named.filter(F.col("newest").isNull())
+    rows = listed.unionByName(without, allowMissingColumns=True)
     latest = F.coalesce(F.col("number") == F.col("newest"), F.lit(False))
     has_build = F.col("build_id").isNotNull()
     return rows.select(
@@ -72,20 +75,21 @@ def run_tags(runs: DataFrame, issues: DataFrame, tags: DataFrame) -> DataFrame:
 def run_issue_panel(runs: DataFrame, issues: DataFrame, tags: DataFrame) -> DataFrame:
     """Snippets of every run with their extra occurrences; bad runs without any are unknown."""
     shown = not_metadata(issues, tags).select("run_id", "name", "severity", "snippet", "duplicates")
-    unknown = F.col("snippet").isNull() & is_bad(F.col("status"))
-    return (
-        runs.select("run_id", "status")
-        .join(shown, "run_id", "left")
-        .filter(F.col("snippet").isNotNull() | unknown)
-        .select(
-            "run_id",
-            status_class(F.col("status")).alias("status_class"),
-            F.col("name").alias("tag"),
-            severity_class(F.col("severity")).alias("severity_class"),
-            "snippet",
-            "duplicates",
-            unknown.alias("unknown"),
-        )
+    status = runs.select("run_id", "status")
+    known = shown.join(status, "run_id").withColumn("unknown", F.lit(False))
+    unknown = (
+        status.filter(is_bad(F.col("status")))
+        .join(shown.select("run_id"), "run_id", "left_anti")
+        .withColumn("unknown", F.lit(True))
+    )
+    return known.unionByName(unknown, allowMissingColumns=True).select(
+        "run_id",
+        status_class(F.col("status")).alias("status_class"),
+        F.col("name").alias("tag"),
+        severity_class(F.col("severity")).alias("severity_class"),
+        "snippet",
+        "duplicates",
+        "unknown",
     )
 
 

@@ -271,28 +271,39 @@ def group_members(
     return placed.join(names, "seed").select("group_id", "issue_id")
 
 
-def live_groups(members: DataFrame, issues: DataFrame, latest_runs: DataFrame) -> DataFrame:
-    """(group_id, issue_id, run_id, tag_id, snippet) of groups with an issue in a latest build."""
-    full = members.join(issues.select("issue_id", "run_id", "tag_id", "snippet"), "issue_id")
-    live = full.join(latest_runs.select("run_id"), "run_id", "left_semi").select("group_id").distinct()
-    return full.join(live, "group_id", "left_semi")
+def _placed_issues(members: DataFrame, issues: DataFrame, latest_runs: DataFrame) -> DataFrame:
+    """Members with their issue and whether its run belongs to a latest build."""
+    latest = latest_runs.select("run_id", F.lit(True).alias("is_live"))
+    return members.join(issues.select("issue_id", "run_id", "tag_id", "snippet"), "issue_id").join(
+        latest, "run_id", "left"
+    )
+
 
+def group_runs(members: DataFrame, issues: DataFrame, latest_runs: DataFrame) -> DataFrame:
+    """(group_id, run_id): the related runs of the groups with an issue in a latest build."""
+    placed = _placed_issues(members, issues, latest_runs)
+    pairs = placed.groupBy("group_id", "run_id").agg(F.max("is_live").alias("is_live"))
+    live = pairs.filter("is_live").select("group_id").distinct()
+    return pairs.select("group_id", "run_id").join(live, "group_id", "left_semi")
 
-def group_runs(live: DataFrame) -> DataFrame:
-    """(group_id, run_id): the related runs of every group, one row each."""
-    return live.select("group_id", "run_id").distinct()
 
+def group_summary(
+    members: DataFrame, issues: DataFrame, latest_runs: DataFrame, tags: DataFrame
+) -> DataFrame:
+    """Tag, example and number of runs of the groups in a latest build that span several runs.
 
-def group_summary(live: DataFrame, tags: DataFrame) -> DataFrame:
-    """Tag, example and number of related runs of the groups that span several runs."""
+    One aggregate per group, combined before the shuffle, so a group may hold any share of the issues.
+    """
     return (
-        live.groupBy("group_id")
+        _placed_issues(members, issues, latest_runs)
+        .groupBy("group_id")
         .agg(
             F.min_by("tag_id", "issue_id").alias("tag_id"),
             F.min_by("snippet", "issue_id").alias("example"),
             F.countDistinct("run_id").alias("n_runs"),
+            F.max("is_live").alias("is_live"),
         )
-        .filter(F.col("n_runs") > 1)
+        .filter(F.col("is_live") & (F.col("n_runs") > 1))
         .join(tags.select("tag_id", "name", "severity"), "tag_id")
         .select("group_id", "name", "severity", "example", "n_runs")
         .orderBy(F.desc("n_runs"), "group_id")

@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.labels import is_bad
 from buildlens.operators.tagging import not_metadata
+from buildlens.schemas import STATUSES
 
 
 def latest_builds(builds: DataFrame) -> DataFrame:
-    """(job_id, build_id, number, status) of the highest build number; a job whose highest is 0 has none."""
+    """(job_id, build_id, number, status) of the highest build number; a job whose highest is 0 has none.
+
+    The status travels as its number: with fixed-width values Spark aggregates by hash, not by sort.
+    """
+    names = F.array(*[F.lit(s) for s in STATUSES])
+    code = F.array_position(names, F.col("status")).cast("int")
     return (
         builds.groupBy("job_id")
         .agg(
-            F.max_by(F.struct("build_id", "status"), "number").alias("last"),
+            F.max_by("build_id", "number").alias("build_id"),
+            F.max_by(F.nullif(code, F.lit(0)), F.col("number")).alias("code"),
             F.max("number").alias("number"),
         )
         .filter(F.col("number") != 0)
-        .select("job_id", "last.build_id", "number", "last.status")
+        .select("job_id", "build_id", "number", F.get(names, F.col("code") - 1).alias("status"))
     )
 
 

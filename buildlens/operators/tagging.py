@@ -156,16 +156,20 @@ def untagged_runs(runs: DataFrame) -> DataFrame:
 def all_issues(
     runs: DataFrame, artifacts: DataFrame, tags: list[Tag], stored: DataFrame | None = None
 ) -> DataFrame:
-    """Fresh issues of the runs not tagged yet, plus the stored issues of the other runs."""
+    """Fresh issues of the runs not tagged yet, plus the stored issues of the other runs.
+
+    Beside a store few runs are new: their artifacts are picked first, then scanned. Without one
+    all artifacts are scanned where they lie and only their issues meet the runs.
+    """
     todo = untagged_runs(runs)
-    todo_artifacts = artifacts.join(todo.select("run_id"), "run_id", "left_semi")
-    fresh = (
-        run_name_issues(todo, tags)
-        .unionByName(console_issues(todo, tags))
-        .unionByName(artifact_issues(todo_artifacts, tags))
-    )
+    ids = todo.select("run_id")
+    fresh = run_name_issues(todo, tags).unionByName(console_issues(todo, tags))
     if stored is None:
-        return fresh
+        found = artifact_issues(artifacts, tags)
+        return fresh.unionByName(found.join(ids, "run_id", "left_semi").select(*found.columns))
+    fresh = fresh.unionByName(
+        artifact_issues(artifacts.join(ids, "run_id", "left_semi"), tags)
+    )
     done = runs.filter(F.col("tag_schema").isNotNull()).select("run_id")
     return fresh.unionByName(stored.join(done, "run_id", "left_semi").select(*fresh.columns))
 

@@ -77,7 +77,10 @@ def nightly(
     if tagging.untagged_runs(store["runs"]).isEmpty():
         return write_store(store, root, 2 * version + 1)
 
-    issues = tagging.all_issues(store["runs"], store["artifacts"], tags, store["issues"])
+    first = store["issues"].isEmpty()
+    issues = tagging.all_issues(
+        store["runs"], store["artifacts"], tags, None if first else store["issues"]
+    )
     store = {**store, "issues": issues, "runs": tagging.stamp(store["runs"], schema)}
     # Groups go before they are rebuilt, so the purge need not look at them.
     store = st.purge_retention({**store, "similarities": store["similarities"].limit(0)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ def artifact_rules(spark, sf):
 
 def _split_builds(spark, sf):
     """Builds before 1999 as stored, builds from 1998 on as reported again with a new status."""
-    start = lambda year: F.unix_millis(F.lit(f"{year}-01-01 00:00:00").cast("timestamp"))
+    start = lambda year: int(datetime(year, 1, 1, tzinfo=timezone.utc).timestamp()) * 1000
     builds = ci.builds_b(spark, sf)
     fresh = builds.withColumn("status", F.when(F.col("status") == "SUCCESS", "FAILURE"))
     return builds.filter(F.col("ts_ms") < start(1999)), fresh.filter(F.col("ts_ms") >= start(1998))
@@ -415,10 +416,11 @@ def _members(spark, sf):
     return sim.group_members(_fuzzy_issues(spark, sf), THRESHOLD)
 
 
-def _live(spark, sf):
+def _grouped(spark, sf):
+    """Members, issues and latest runs."""
     issues = _fuzzy_issues(spark, sf)
     latest = stats.latest_runs(ci.runs_a(spark, sf), ci.builds_a(spark, sf))
-    return sim.live_groups(sim.group_members(issues, THRESHOLD), issues, latest)
+    return sim.group_members(issues, THRESHOLD), issues, latest
 
 
 @query
@@ -428,17 +430,17 @@ def similarity_members(spark, sf):
 
 @query
 def similarity_runs(spark, sf):
-    return sim.group_runs(_live(spark, sf))
+    return sim.group_runs(*_grouped(spark, sf))
 
 
 @query
 def similarity_summary(spark, sf):
-    return sim.group_summary(_live(spark, sf), _tags_a(spark))
+    return sim.group_summary(*_grouped(spark, sf), _tags_a(spark))
 
 
 @query
 def similarity_by_severity(spark, sf):
-    return sim.groups_by_severity(sim.group_summary(_live(spark, sf), _tags_a(spark)))
+    return sim.groups_by_severity(sim.group_summary(*_grouped(spark, sf), _tags_a(spark)))
 
 
 # ---- statistics ---------------------------------------------------------------------------------
@@ -582,21 +584,21 @@ def build_time_labels(spark, sf):
 # ---- artifact analytics -------------------------------------------------------------------------
 
 
-def _usage(spark, sf):
-    return art.top_usage(ci.top_artifacts(spark, sf), ci.runs_a(spark, sf))
-
-
 @query
 def top_usage(spark, sf):
     rounded = lambda c: F.round(c, 6).alias(c)
-    return _usage(spark, sf).select(
+    samples = art.usage_samples(ci.top_artifacts(spark, sf)).select(
         "run_id", "artifact_id", "sample", "time", rounded("cpu"), rounded("mem")
     )
+    return art.of_readable_runs(samples, ci.runs_a(spark, sf))
 
 
 @query
 def top_usage_summary(spark, sf):
-    return art.usage_summary(_usage(spark, sf)).withColumn("mem_peak", F.round("mem_peak", 6))
+    summary = art.usage_summary(art.usage_samples(ci.top_artifacts(spark, sf)))
+    return art.of_readable_runs(summary, ci.runs_a(spark, sf)).withColumn(
+        "mem_peak", F.round("mem_peak", 6)
+    )
 
 
 @query

@@ -58,6 +58,17 @@ NAME_TAGS = number_tags(
 )
 
 
+def _div(column: str, by: int) -> Column:
+    """Whole-number division, exact for ids of any size."""
+    return F.expr(f"{column} div {by}")
+
+
+def _millis(ts: Column) -> Column:
+    """Milliseconds since the epoch of a zoneless timestamp, whatever the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MILLISECOND", epoch, ts)
+
+
 def _pick(col: Column, values: dict[int, str]) -> Column:
     out = None
     for key, value in values.items():
@@ -71,7 +82,7 @@ def _pick(col: Column, values: dict[int, str]) -> Column:
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id = F.col("doc_id")
     job_id = F.substring("source", 4, 20).cast("long")
-    number = F.floor(doc_id / 100).cast("long") + 1
+    number = _div("doc_id", 100) + 1
     compiler = _pick(doc_id % 4, {0: "gcc12", 1: "clang", 2: "intel-oneapi", 3: "nvidia"})
     system = _pick(doc_id % 3, {0: "ubuntu22.04", 1: "freebsd64", 2: "osx"})
     status = F.when((number + job_id) % 3 == 0, "SUCCESS").otherwise(
@@ -195,7 +206,7 @@ def junit_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(fails, F.concat(F.lit("<failure>case "), turn.cast("string"), F.lit("</failure>"))).otherwise(""),
         F.lit("</testcase>"),
     )
-    part = F.floor(turn / 100).cast("long")
+    part = _div("turn", 100)
     reports = (
         read_table(spark, sf_dir, "conversations")
         .select("conv_id", "turn", part.alias("part"), fails.alias("fails"), case.alias("case"))
@@ -241,7 +252,7 @@ def top_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = (
         read_table(spark, sf_dir, "events")
         .select(
-            "user_id", "ts", "event_id", F.floor(event_id / 1000).cast("long").alias("part"), block.alias("block")
+            "user_id", "ts", "event_id", _div("event_id", 1000).alias("part"), block.alias("block")
         )
         .groupBy("user_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "block"))).alias("blocks"))
@@ -294,7 +305,7 @@ def payload_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     Builds come newest first; every second build also lists a run of the number before it. Jobs of
     src4 list no builds.
     """
-    docs = _documents(spark, sf_dir).withColumn("block", F.floor(F.col("run_id") / 500).cast("long"))
+    docs = _documents(spark, sf_dir).withColumn("block", _div("run_id", 500))
     name = F.concat("source", F.lit("/"), F.col("block").cast("string"))
     run_url = F.concat(F.lit("run/"), F.col("run_id").cast("string"))
     listed = docs.select(
@@ -366,7 +377,7 @@ def builds_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("UNSTABLE")
         .alias("status"),
         F.col("o_orderkey").alias("number"),
-        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"),
+        _millis(F.col("o_orderdate")).alias("ts_ms"),
         F.col("o_custkey").alias("job_id"),
     )
 
@@ -418,5 +429,5 @@ def artifacts_b(runs: DataFrame) -> DataFrame:
 
 def groups_b(issues: DataFrame) -> DataFrame:
     """Equal snippets of a stretch of 64 run ids as one group."""
-    block = F.floor(F.col("run_id") / 64).cast("string")
+    block = _div("run_id", 64).cast("string")
     return issues.select(F.md5(F.concat("snippet", F.lit("/"), block)).alias("group_id"), "issue_id")

@@ -25,9 +25,7 @@ def duck(folder: str):
 
 
 def _cell(v):
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.6g}"
-    return repr(v)
+    return "nan" if isinstance(v, float) and math.isnan(v) else repr(v)
 
 
 def rows_of(columns, rows):

@@ -9,7 +9,7 @@ from buildlens.catalog import Config, Tag, number_tags
 from buildlens.functions.labels import time_label
 from buildlens.functions.text import blob_format
 from buildlens.operators import artifacts as art, ingest, stats
-from buildlens.plans import pipeline
+from buildlens.plans import nightly
 from buildlens.schemas import RUN_DETAILS
 from buildlens.session import scratch_path
 from buildlens.sources import ci_tables as ci
@@ -79,7 +79,7 @@ def test_top_and_junit_from_raw_files(spark):
     artifacts = spark.createDataFrame([(a, p, bytearray(c.encode()), r) for a, p, c, r in rows],
                                       "artifact_id long, path string, contents binary, run_id long")
     runs = spark.createDataFrame([(1, "linux"), (2, "freebsd64")], "run_id long, display_name string")
-    usage = art.top_usage(artifacts, runs).orderBy("sample").collect()
+    usage = art.of_readable_runs(art.usage_samples(artifacts), runs).orderBy("sample").collect()
     assert [(r.run_id, r.time, r.cpu, r.mem) for r in usage] == [(1, "12:00:01", 9.5, 75.0), (1, "12:01:01", 9.5, 75.0)]
     suites = art.junit_suites(artifacts).collect()
     assert [(r.artifact_id, r.failures, r.skipped, r.tests) for r in suites] == [(3, 2, None, 3)]
@@ -145,7 +145,7 @@ def test_nightly_twice(spark):
     files = spark.createDataFrame([(f"r{b}x", p, bytearray(b"t")) for b in (5, 9) for p in ("a/top.txt", "core")],
                                   "url string, path string, contents binary")
     root = scratch_path(spark, "nightly")
-    night = lambda store, jobs, v, c=config: pipeline.nightly(store, _payload(spark, jobs), details, files, c, root, v)
+    night = lambda store, jobs, v, c=config: nightly.nightly(store, _payload(spark, jobs), details, files, c, root, v)
     jobs = [{"name": "one", "url": "j", "builds": [_build(9, [_run(9, "x")]), _build(5, [_run(5, "x")])]}]
     store = night(empty_store(spark), jobs, 0)
     assert sorted(r.snippet for r in store["issues"].collect() if "boom" in r.snippet) == [
