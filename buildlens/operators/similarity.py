@@ -23,86 +23,101 @@ def distinct_snippets(issues: DataFrame) -> DataFrame:
     return cut_lineage(ordered_ids(snippets, "first_issue", "node"))
 
 
-def gram_length(threshold: float) -> int:
-    """Piece length that leaves each text at least one piece more than it can have edits."""
+def short_piece(threshold: float) -> int:
+    """Piece length that gives each text at least twice the pieces it needs: half may be skipped."""
     return max(1, math.floor(1.0 / (2.0 * edit_ratio(threshold))))
 
 
-def _pieces(texts: DataFrame, size: int) -> DataFrame:
-    """The edits + 1 rarest of the disjoint pieces of every text that may differ at all.
+def _long_piece(length, threshold: float):
+    """Largest piece length for which every text from ``length`` on has edits + 1 pieces.
 
-    An edit touches at most one piece, so a text within the budget keeps one of the chosen pieces
-    whole, at most ``budget`` places away. Rare pieces keep the candidate lists short.
+    m / (floor(c m) + 1) falls only where floor(c m) grows, and less deep each time, so the value at
+    ``length`` and the one at the next such place bound all later ones.
     """
-    cut = texts.filter(F.col("budget") >= 1).select(
-        "node",
-        "length",
-        "band",
-        "budget",
-        F.posexplode(F.regexp_extract_all("snippet", F.lit(f"(?s).{{{size}}}"), F.lit(0))).alias(
-            "nth", "gram"
-        ),
-    )
-    counts = cut.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
-    rarest = Window.partitionBy("node").orderBy("uses", "nth")
-    return (
-        cut.join(counts, "gram")
-        .withColumn("rank", F.row_number().over(rarest))
-        .filter(F.col("rank") <= F.col("budget") + 1)
-        .select("node", "length", "band", "budget", "gram", (F.col("nth") * size).alias("at"))
-    )
+    ratio = edit_ratio(threshold)
+    edits = F.floor(length * ratio + 1e-9)
+    after = (edits + 1) / F.lit(ratio) / (edits + 2)
+    return F.greatest(F.lit(1), F.floor(F.least(length / (edits + 1), after))).cast("int")
 
 
 def _texts(nodes: DataFrame, threshold: float) -> DataFrame:
-    ratio = edit_ratio(threshold)
+    """Nodes with length, edit budget and length band; bands are a factor 1 - c wide."""
+    width = -math.log(1.0 - edit_ratio(threshold))
     length = F.char_length("snippet")
-    return nodes.select(
+    return nodes.filter(length > 0).select(
         "node",
         "snippet",
         length.alias("length"),
         edit_budget(length, threshold).alias("budget"),
-        F.floor(F.log(length) / F.lit(-math.log(1.0 - ratio))).cast("int").alias("band"),
+        F.floor(F.log(length) / F.lit(width)).cast("int").alias("band"),
+    )
+
+
+def _pieced(texts: DataFrame, threshold: float, pattern: str, group: int) -> DataFrame:
+    """(..., at, key) for the matches of ``pattern`` with short and with long pieces.
+
+    The piece length depends on the band alone, so both sides of the join cut alike. The key hashes
+    piece, band and kind; a clash only adds a candidate.
+    """
+    width = -math.log(1.0 - edit_ratio(threshold))
+    start = F.greatest(F.lit(1), F.floor(F.exp(F.col("band") * F.lit(width))) - 1)
+    short = F.lit(short_piece(threshold))
+    sizes = F.array(short, F.greatest(short, _long_piece(start, threshold)))
+    kinds = texts.withColumn("size", F.explode(F.array_distinct(sizes)))
+    regex = F.concat(F.lit(pattern[0]), F.col("size").cast("string"), F.lit(pattern[1]))
+    rest = [c for c in kinds.columns if c != "snippet"]
+    cut = kinds.select(
+        *rest,
+        F.posexplode(F.regexp_extract_all("snippet", regex, F.lit(group))).alias("at", "piece"),
+    )
+    return cut.withColumn("key", F.xxhash64("size", "band", "piece")).drop("piece")
+
+
+def _offers(texts: DataFrame, threshold: float) -> DataFrame:
+    """Of every text that may differ at all, edits + 1 disjoint pieces.
+
+    An edit touches at most one piece, so a text within the budget keeps one of them whole, at most
+    ``budget`` places away. Each text offers the rarest of its short pieces or its long pieces,
+    whichever are used less in total: the former pass by common wording, the latter stand out where
+    all words are common.
+    """
+    cut = _pieced(texts.filter(F.col("budget") >= 1), threshold, ("(?s).{", "}"), 0)
+    uses = cut.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    rarest = Window.partitionBy("node", "size").orderBy("uses", "at")
+    total = F.sum("uses").over(Window.partitionBy("node", "size"))
+    best = F.min(F.struct("total", "size")).over(Window.partitionBy("node"))
+    return (
+        cut.join(uses, "key")
+        .repartition("node")
+        .withColumn("rank", F.row_number().over(rarest))
+        .filter(F.col("rank") <= F.col("budget") + 1)
+        .withColumn("total", total)
+        .withColumn("best", best)
+        .filter(F.col("size") == F.col("best.size"))
+        .select("node", "length", "budget", "key", (F.col("at") * F.col("size")).alias("at"))
     )
 
 
 def candidate_pairs(longer: DataFrame, shorter: DataFrame, threshold: float) -> DataFrame:
     """(a, b) with a < b: a superset of the similar pairs of a longer (or as long) and a shorter text.
 
-    The longer text offers its rarest pieces, the other one all its substrings of that length. The
-    join key is (piece, length band); bands are a factor 1 - c wide, so partners lie in the same or
-    the next band.
+    The longer text offers a few pieces, the other one all its substrings of their length. Partners
+    lie in the same length band or in neighbouring ones.
     """
-    size = gram_length(threshold)
-    index = _pieces(_texts(longer, threshold), size).alias("l")
-    probe = (
-        _texts(shorter, threshold)
-        .filter(F.col("length") >= size)
-        .select(
-            "node",
-            "length",
-            F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"),
-            "snippet",
-        )
-        .select(
-            "node",
-            "length",
-            "band",
-            F.posexplode(
-                F.regexp_extract_all("snippet", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-            ).alias("at", "gram"),
-        )
-        .alias("s")
+    offers = _offers(_texts(longer, threshold), threshold).alias("l")
+    bands = _texts(shorter, threshold).withColumn(
+        "band", F.explode(F.array(F.col("band"), F.col("band") + 1))
     )
+    probe = _pieced(bands, threshold, ("(?s)(?=(.{", "}))"), 1).select("node", "length", "at", "key").alias("s")
     near = (
-        (F.col("l.gram") == F.col("s.gram"))
-        & (F.col("l.band") == F.col("s.band"))
+        (F.col("l.key") == F.col("s.key"))
         & (F.col("s.length") <= F.col("l.length"))
         & (F.col("l.length") - F.col("s.length") <= F.col("l.budget"))
         & (F.abs(F.col("l.at") - F.col("s.at")) <= F.col("l.budget"))
         & (F.col("l.node") != F.col("s.node"))
     )
     return (
-        index.join(probe, near)
+        offers.join(probe, near)
         .select(
             F.least("l.node", "s.node").alias("a"),
             F.greatest("l.node", "s.node").alias("b"),
