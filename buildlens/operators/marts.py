@@ -79,7 +79,7 @@ def run_issue_panel(runs: DataFrame, issues: DataFrame, tags: DataFrame) -> Data
     known = shown.join(status, "run_id").withColumn("unknown", F.lit(False))
     unknown = (
         status.filter(is_bad(F.col("status")))
-        .join(shown.select("run_id"), "run_id", "left_anti")
+        .join(shown.select("run_id").distinct(), "run_id", "left_anti")
         .withColumn("unknown", F.lit(True))
     )
     return known.unionByName(unknown, allowMissingColumns=True).select(

@@ -287,11 +287,14 @@ def group_members(
 
 
 def _placed_issues(members: DataFrame, issues: DataFrame, latest_runs: DataFrame) -> DataFrame:
-    """Members with their issue and whether its run belongs to a latest build."""
+    """Members with their issue and whether its run belongs to a latest build.
+
+    The runs are joined first: the rows then end up spread by issue, so that a run or group with
+    most of the issues is combined before the next shuffle.
+    """
     latest = latest_runs.select("run_id", F.lit(True).alias("is_live"))
-    return members.join(issues.select("issue_id", "run_id", "tag_id", "snippet"), "issue_id").join(
-        latest, "run_id", "left"
-    )
+    flagged = issues.select("issue_id", "run_id", "tag_id", "snippet").join(latest, "run_id", "left")
+    return members.join(flagged, "issue_id")
 
 
 def group_runs(members: DataFrame, issues: DataFrame, latest_runs: DataFrame) -> DataFrame:

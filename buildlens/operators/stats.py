@@ -78,7 +78,8 @@ def issues_found(issues: DataFrame, tags: DataFrame, runs: DataFrame, builds: Da
 def unknown_runs(issues: DataFrame, tags: DataFrame, runs: DataFrame, builds: DataFrame) -> DataFrame:
     """Bad runs of the latest builds without any issue other than Metadata."""
     bad = latest_runs(runs, builds).filter(is_bad(F.col("status"))).select("run_id", "status")
-    return bad.join(not_metadata(issues, tags).select("run_id"), "run_id", "left_anti")
+    known = not_metadata(issues, tags).select("run_id").distinct()
+    return bad.join(known, "run_id", "left_anti")
 
 
 def deployment_totals(
