@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from buildlens.llm.lines import drop_repeated_lines
 from buildlens.llm.mixing import mix_sources
+from buildlens.llm.quality import fit_quality, score_quality
 from buildlens.llm.secrets import BASE_KINDS, scan_secrets
 from buildlens.llm.simhash import near_components
+from buildlens.llm.toxicity import ChainModel, fit_chain, score_chain
 from buildlens.llm.urls import judge_urls, page_edges
 from buildlens.sources.tables import read_table
 
@@ -64,10 +66,48 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Languages in which toxicity is a category of its own, before the category of any language.
+TOXIC_LANGUAGES = ("en", "de", "fr", "es")
+TOXIC_FROM = 0.5
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> ChainModel:
+    """The chain toxic_en, toxic_de, toxic_fr, toxic_es, toxic, from the labelled documents."""
+    known = labels.select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"])
+    rows = documents.select("doc_id", "text", "lang").join(known, "doc_id")
+    for lang in TOXIC_LANGUAGES:
+        here = F.col("lang").eqNullSafe(F.lit(lang)) & (F.col("toxic") == 1)
+        rows = rows.withColumn(f"toxic_{lang}", here.cast("int"))
+    return fit_chain(rows, [*[f"toxic_{lang}" for lang in TOXIC_LANGUAGES], "toxic"])
+
+
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, read_table(spark, sf_dir, "labels"))
+    scored = score_chain(docs, model)
+    return scored.withColumn("toxic", (F.col("p_toxic") >= TOXIC_FROM).cast("int"))
+
+
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    learn = docs.join(labels.dropna().dropDuplicates(["doc_id"]).filter(fold != 0), "doc_id")
+    scored = score_quality(docs, fit_quality(learn))
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_redirect_url_filter": op1_redirect_url_filter,
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op3_pareto_mixing": op3_pareto_mixing,
     "op4_simhash_components": op4_simhash_components,
     "op6_line_dedup": op6_line_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op10_compression_quality": op10_compression_quality,
 }
