@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from buildlens.llm.contamination import find_contamination
 from buildlens.llm.lines import drop_repeated_lines
 from buildlens.llm.mixing import mix_sources
 from buildlens.llm.quality import fit_quality, score_quality
 from buildlens.llm.secrets import BASE_KINDS, scan_secrets
 from buildlens.llm.simhash import near_components
+from buildlens.llm.topk import exact_top_k
 from buildlens.llm.toxicity import ChainModel, fit_chain, score_chain
 from buildlens.llm.urls import judge_urls, page_edges
 from buildlens.sources.tables import read_table
@@ -40,6 +42,10 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -48,6 +54,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
@@ -107,7 +118,9 @@ QUERIES = {
     "op2_toxicity_chain": op2_toxicity_chain,
     "op3_pareto_mixing": op3_pareto_mixing,
     "op4_simhash_components": op4_simhash_components,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_secret_scan": op8_secret_scan,
     "op10_compression_quality": op10_compression_quality,
 }
