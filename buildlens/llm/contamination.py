@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +57,7 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS):
         self.radius = radius
-        data, offsets = utf8(pa.array([t.lower() for t in texts], pa.string()))
-        words, counts = word_hashes(data, offsets)
+        words, counts = _words(pa.array(texts, pa.string()))
         ends = np.cumsum(counts)
         by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, end, n in zip(ids, ends, counts):
@@ -189,43 +189,72 @@ def find_contamination(
     The benchmark is read in blocks of ``block_items`` items, a pass over the documents each, so
     that what a task holds is bounded whatever the benchmark's size; documents are not shuffled.
     """
-    items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
+    slim = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, similarity double, start_word long, n_words long"
-    count = items.count()
-    parts = []
-    blocks = max(1, -(-count // block_items))
-    for block in range(blocks):
-        # Hash blocks of about the stated size; the driver sees one block's texts at a time.
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = sorted((r["item_id"], r["text"]) for r in mine.collect())
-        parts.append(_one_pass(docs, rows, least, radius, schema))
+
+    def rows(batch: pa.RecordBatch, matches: list) -> pa.RecordBatch:
+        at = [i for i, some in enumerate(matches) for _ in some]
+        columns = list(zip(*[m for some in matches for m in some])) or [[], [], [], []]
+        types = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(at, pa.int64()))]
+            + [pa.array(c, t) for c, t in zip(columns, types)],
+            ["doc_id", "item_id", "similarity", "start_word", "n_words"],
+        )
+
+    parts = [
+        slim.mapInArrow(_scan(ids, texts, least, radius, rows), schema)
+        for ids, texts in _blocks(benchmark, block_items)
+    ]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _one_pass(docs: DataFrame, rows: list, least: float, radius: int, schema: str) -> DataFrame:
-    ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    least: float = 0.8,
+    radius: int = RADIUS,
+    block_items: int = 1000,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose texts hold no benchmark item; see find_contamination."""
+
+    def clean(batch: pa.RecordBatch, matches: list) -> pa.RecordBatch:
+        return batch.filter(pa.array([not some for some in matches], pa.bool_()))
+
+    out = docs
+    for ids, texts in _blocks(benchmark, block_items):
+        out = out.mapInArrow(_scan(ids, texts, least, radius, clean), out.schema)
+    return out
+
+
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of hash blocks of about ``most`` items; the driver holds one at a time."""
+    items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
+    blocks = max(1, -(-items.count() // most))
+    for block in range(blocks):
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        rows = sorted((r["item_id"], r["text"]) for r in mine.collect())
+        yield [r[0] for r in rows], [r[1] for r in rows]
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(*utf8(pc.utf8_lower(pc.fill_null(texts, ""))))
+
+
+def _scan(ids: list, texts: list, least: float, radius: int, give: Callable) -> Callable:
+    """A function over batches that hands each batch and its texts' matches to ``give``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(ids, texts, radius)
-        for batch in pieces(batches, "low", CHUNK):
-            words, counts = word_hashes(*utf8(batch.column("low")))
+        for batch in pieces(batches, "text", CHUNK):
+            words, counts = _words(batch.column("text"))
             ends = np.cumsum(counts).tolist()
-            at, found = [], []
-            for row, (end, n) in enumerate(zip(ends, counts.tolist())):
-                for match in index.matches(words[end - n : end], least):
-                    at.append(row)
-                    found.append(match)
-            columns = list(zip(*found)) or [[], [], [], []]
-            types = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int64()))]
-                + [pa.array(c, t) for c, t in zip(columns, types)],
-                ["doc_id", "item_id", "similarity", "start_word", "n_words"],
+            yield give(
+                batch, [index.matches(words[e - n : e], least) for e, n in zip(ends, counts.tolist())]
             )
 
-    low = F.lower(F.coalesce("text", F.lit(""))).alias("low")
-    return docs.select("doc_id", low).mapInArrow(run, schema)
+    return run

@@ -11,6 +11,7 @@ from buildlens.llm.mixing import mix_sources
 from buildlens.llm.quality import fit_quality, score_quality
 from buildlens.llm.secrets import BASE_KINDS, scan_secrets
 from buildlens.llm.simhash import near_components
+from buildlens.llm.suffixes import remove_repeats
 from buildlens.llm.topk import exact_top_k
 from buildlens.llm.toxicity import ChainModel, fit_chain, score_chain
 from buildlens.llm.urls import judge_urls, page_edges
@@ -99,6 +100,12 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", (F.col("p_toxic") >= TOXIC_FROM).cast("int"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
@@ -122,5 +129,6 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_secret_scan": op8_secret_scan,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_compression_quality": op10_compression_quality,
 }

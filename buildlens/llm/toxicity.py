@@ -153,6 +153,16 @@ def fit_chain(
     return ChainModel(tuple(categories), feature, weights, links, biases)
 
 
+def _chain(batch: pa.RecordBatch, model: ChainModel) -> np.ndarray:
+    """Probabilities of a batch, a column per category, each from the ones before it."""
+    data, offsets = utf8(batch.column("text"))
+    x = _feature_rows(data, offsets, model.feature, model.weights.shape[1])
+    p = np.zeros((len(x), len(model.categories)))
+    for c in range(p.shape[1]):
+        p[:, c] = _sigmoid(x @ model.weights[c] + p[:, :c] @ model.links[c, :c] + model.offsets[c])
+    return p
+
+
 def score_chain(docs: DataFrame, model: ChainModel) -> DataFrame:
     """(doc_id, p_<category>...) for every row of ``docs`` (doc_id, text), whole texts.
 
@@ -163,14 +173,20 @@ def score_chain(docs: DataFrame, model: ChainModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", CHUNK):
-            data, offsets = utf8(batch.column("text"))
-            x = _feature_rows(data, offsets, model.feature, model.weights.shape[1])
-            p = np.zeros((len(x), len(names)))
-            for c in range(len(names)):
-                p[:, c] = _sigmoid(x @ model.weights[c] + p[:, :c] @ model.links[c, :c] + model.offsets[c])
+            p = _chain(batch, model)
             columns = [batch.column("doc_id"), *[pa.array(p[:, c]) for c in range(len(names))]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *[f"{n} double" for n in names]])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: ChainModel, least: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose last category has a probability below ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", CHUNK):
+            yield batch.filter(pa.array(_chain(batch, model)[:, -1] < least))
+
+    return docs.mapInArrow(run, docs.schema)
