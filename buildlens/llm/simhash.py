@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.bytesops import utf8
+from buildlens.llm.bytesops import BASE, mixed, utf8
 from buildlens.operators.graph import connected_components
 from buildlens.session import cut_lineage
 
@@ -129,14 +130,117 @@ def near_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(answer, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of ``docs`` without those of a smaller-id near copy: one stays per component.
+# Wide fingerprints for whole documents of similarity 0.8 or more, whose bits differ too often for
+# a radius of two in 64: tables of 28 bits, of which a near copy agrees with some up to one bit.
+WIDE_SEGMENTS, WIDE_BITS = 22, 28
 
-    Documents without an id are kept as they can't be named. Of repeated rows with the component's
-    smallest id, all but one go as well.
+
+def _wide(text: bytes, words: int) -> list[int]:
+    """A fingerprint of WIDE_SEGMENTS numbers of WIDE_BITS bits; without words all are 0."""
+    parts = text.lower().split()
+    if not parts:
+        return [0] * WIDE_SEGMENTS
+    width = min(words, len(parts))
+    n = len(parts) - width + 1
+    lanes = -(-WIDE_SEGMENTS * WIDE_BITS // 64)
+    counts = np.zeros(lanes * 64, np.int64)
+    hashed = xxhash.xxh64_intdigest
+    step = BLOCK // 16
+    for lo in range(0, n, step):
+        some = parts[lo : lo + step + width - 1]
+        joined = b" ".join(some)
+        sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
+        ends = np.cumsum(sizes) - 1
+        starts = (ends + 1 - sizes)[: len(some) - width + 1].tolist()
+        h = np.array([hashed(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+        every = np.stack([mixed(h + np.uint64(lane) * BASE) for lane in range(lanes)], axis=1)
+        counts += np.unpackbits(every.view(np.uint8)).reshape(len(h), -1).sum(axis=0, dtype=np.int64)
+    bits = (counts * 2 > n)[: WIDE_SEGMENTS * WIDE_BITS].reshape(WIDE_SEGMENTS, WIDE_BITS)
+    return (bits @ (1 << np.arange(WIDE_BITS))).tolist()
+
+
+def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp: array of segments) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            view = data.tobytes()
+            fps = [_wide(view[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(fps, pa.list_(pa.int32()))], ["doc_id", "fp"]
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp array<int>")
+
+
+def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of rows linked by a similarity of about ``least`` or more.
+
+    The share of differing bits of two wide fingerprints tells the angle of their shingle counts,
+    a / pi, with cos a = 2 s / (1 + s) for the Jaccard similarity s. A table per segment lists each
+    fingerprint; a ball of radius 1 around each segment of each fingerprint is looked up, and the
+    complete distance decides. A looked-up value answers with its smallest and its largest
+    fingerprint, not with all of them, so a group of k copies gives 2 k candidates, never k * k.
+    """
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    most = round((share + 0.01) * WIDE_SEGMENTS * WIDE_BITS)
+    prints = cut_lineage(
+        wide_fingerprints(docs.filter("doc_id is not null"), words).withColumn("node", F.xxhash64("fp"))
+    )
+    nodes = cut_lineage(
+        prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
+    )
+    slot = lambda t, k: (t.cast("long") * F.lit(1 << WIDE_BITS) + k).alias("k")
+    split = nodes.select("node", F.posexplode("fp").alias("t", "k"))
+    table = split.groupBy(slot(F.col("t"), F.col("k"))).agg(
+        F.min("node").alias("low"), F.max("node").alias("high")
+    )
+    ball = F.array(
+        F.lit(0),
+        *[F.when(F.col("k").bitwiseAND(F.lit(1 << i)) != 0, F.lit(1 << i)) for i in range(WIDE_BITS)],
+    )
+    asked = (
+        split.select("node", "t", "k", F.explode(ball).alias("flip"))
+        .filter("flip is not null")
+        .select("node", slot(F.col("t"), F.col("k").bitwiseXOR(F.col("flip"))))
+    )
+    pairs = (
+        asked.join(table, "k")
+        .select("node", F.explode(F.array("low", "high")).alias("other"))
+        .filter("node <> other")
+        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        .distinct()
+    )
+    left = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
+    apart = F.aggregate(
+        F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+    )
+    links = cut_lineage(
+        pairs.join(left, "a").join(right, "b").filter(apart <= most).select("a", "b")
+    )
+    groups = connected_components(links)
+    placed = nodes.select("node", "least").join(groups, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+    low = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    answer = placed.join(low, "component").select("node", "component_id")
+    return prints.select("doc_id", "node").join(answer, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies of a row with a smaller doc_id.
+
+    Similarity is that of similar_components. One document stays per component, the smallest id;
+    documents without words (null, empty, blank) are copies of each other. Rows without an id stay,
+    as they can't be named. Of repeated rows one stays. An empty table stays empty.
     """
-    ids = near_components(docs, words)
-    firsts = ids.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi")
-    one = kept.dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    ids = similar_components(docs, words, least)
+    gone = ids.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    again = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    once = kept.join(again, "doc_id", "left_anti")
+    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated)
