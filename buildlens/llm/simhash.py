@@ -185,7 +185,7 @@ def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
     fingerprint, not with all of them, so a group of k copies gives 2 k candidates, never k * k.
     """
     share = math.acos(2 * least / (1 + least)) / math.pi
-    most = round((share + 0.01) * WIDE_SEGMENTS * WIDE_BITS)
+    most = round(share * WIDE_SEGMENTS * WIDE_BITS)
     prints = cut_lineage(
         wide_fingerprints(docs.filter("doc_id is not null"), words).withColumn("node", F.xxhash64("fp"))
     )
