@@ -16,7 +16,7 @@ def issue_key(run_id: Column, field: Column, artifact_id: Column, tag_id: Column
     """
     part = lambda c, width: F.lpad(F.coalesce(c, F.lit(0)).cast("string"), width, "0")
     return F.concat_ws(
-        "-", part(run_id, 19), part(field, 1), part(artifact_id, 19), part(tag_id, 6), part(start, 10)
+        "-", part(run_id, 19), part(field, 1), part(artifact_id, 19), part(tag_id, 19), part(start, 10)
     )
 
 

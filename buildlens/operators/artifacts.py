@@ -70,7 +70,7 @@ def usage_samples(artifacts: DataFrame) -> DataFrame:
 
 
 def of_readable_runs(usage: DataFrame, runs: DataFrame) -> DataFrame:
-    """Samples or summaries of the runs whose system writes them in the known form."""
+    """Logs, samples or summaries of the runs whose system writes them in the known form."""
     readable = runs.filter(~F.col("display_name").rlike(OTHER_TOP_FORMATS)).select("run_id")
     return usage.join(readable, "run_id", "left_semi")
 

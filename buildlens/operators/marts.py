@@ -24,12 +24,14 @@ def job_builds(jobs: DataFrame, builds: DataFrame) -> DataFrame:
     The newest build comes from a combined maximum, not from ranking each job's builds in one task,
     and the builds are the side of an inner join that Spark may split when one job holds most.
     """
-    newest = builds.groupBy("job_id").agg(F.max("number").alias("newest"))
+    # Of builds with equal numbers the first one is the newest.
+    place = F.struct("number", (-F.col("build_id")).alias("turn"), "build_id")
+    newest = builds.groupBy("job_id").agg(F.max(place)["build_id"].alias("newest"))
     named = jobs.select("job_id", "name").join(newest, "job_id", "left")
     listed = builds.select("job_id", "build_id", "number", "status").join(named, "job_id")
     without = named.filter(F.col("newest").isNull())
     rows = listed.unionByName(without, allowMissingColumns=True)
-    latest = F.coalesce(F.col("number") == F.col("newest"), F.lit(False))
+    latest = F.coalesce(F.col("build_id") == F.col("newest"), F.lit(False))
     has_build = F.col("build_id").isNotNull()
     return rows.select(
         "job_id",

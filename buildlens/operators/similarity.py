@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from buildlens.functions.ids import ordered_ids
 from buildlens.functions.labels import severity_rank
 from buildlens.functions.text import decay_similarity, edit_budget, edit_ratio
-from buildlens.operators.graph import TASK_EDGES, complete_linkage
+from buildlens.operators.graph import complete_linkage
 from buildlens.session import cut_lineage
 
 
@@ -241,7 +241,7 @@ def _family_edges(told: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
 
 
 def snippet_groups(
-    nodes: DataFrame, threshold: float, task_edges: int = TASK_EDGES
+    nodes: DataFrame, threshold: float
 ) -> DataFrame:
     """(node, snippet, seed): each snippet joins the earliest group similar throughout.
 
@@ -254,7 +254,7 @@ def snippet_groups(
         placed = nodes.select("node", F.col("node").alias("unit"))
     else:
         edges, placed = _family_edges(told, threshold)
-    linked = complete_linkage(edges, task_edges).withColumnRenamed("node", "unit")
+    linked = complete_linkage(edges).withColumnRenamed("node", "unit")
     seeds = placed.join(linked, "unit", "left").select("node", F.coalesce("seed", "unit").alias("seed"))
     return nodes.join(seeds, "node").select("node", "snippet", "seed")
 
@@ -265,7 +265,7 @@ def _half(digits_from: int):
 
 
 def group_members(
-    issues: DataFrame, threshold: float, task_edges: int = TASK_EDGES
+    issues: DataFrame, threshold: float
 ) -> DataFrame:
     """(group_id, issue_id) of all groups of two or more issues.
 
@@ -273,7 +273,7 @@ def group_members(
     snippets. The group id depends on the set of members alone and is combined before the shuffle,
     so a group may hold any share of the issues.
     """
-    groups = snippet_groups(distinct_snippets(issues), threshold, task_edges)
+    groups = snippet_groups(distinct_snippets(issues), threshold)
     placed = issues.select("issue_id", "snippet").join(groups.select("snippet", "seed"), "snippet")
     placed = cut_lineage(placed.select("seed", "issue_id"))
     identity = F.concat_ws("-", F.col("n"), F.col("h1"), F.col("h2"))

@@ -76,6 +76,7 @@ def scan_text(
     duplicates = (F.count(F.lit(1)) - 1).alias("duplicates")
     if not spans:
         exploded = found.select(*keys, "tag_id", F.explode("matches").alias("snippet"))
+        exploded = exploded.filter(F.col("snippet") != "")
         return exploded.groupBy(*keys, "tag_id", "snippet").agg(duplicates)
 
     # The pieces between the matches: a match starts after all earlier pieces and matches.
@@ -94,8 +95,10 @@ def scan_text(
     # One text's matches of one tag: as many as fit into a single row of the input.
     order = Window.partitionBy(*keys, "tag_id").orderBy("pos")
     placed = sized.withColumn("start", F.sum(F.col("gap") + F.col("size")).over(order) - F.col("size"))
+    # A pattern such as \b also matches between characters; that is no issue.
     return (
-        placed.groupBy(*keys, "tag_id", "snippet")
+        placed.filter(F.col("size") > 0)
+        .groupBy(*keys, "tag_id", "snippet")
         .agg(duplicates, F.min("start").alias("snippet_start"))
         .withColumn("snippet_end", F.col("snippet_start") + F.octet_length("snippet"))
     )

@@ -70,7 +70,7 @@ def _floors(builds: str = "builds") -> str:
 
 def _issue_id(field: int) -> str:
     return f"""concat_ws('-', lpad(CAST(run_id AS VARCHAR), 19, '0'), '{field}',
-      lpad(CAST(coalesce(artifact_id, 0) AS VARCHAR), 19, '0'), lpad(CAST(tag_id AS VARCHAR), 6, '0'),
+      lpad(CAST(coalesce(artifact_id, 0) AS VARCHAR), 19, '0'), lpad(CAST(tag_id AS VARCHAR), 19, '0'),
       lpad(CAST(snippet_start AS VARCHAR), 10, '0'))"""
 
 
@@ -288,7 +288,7 @@ _MESSAGE = " ".join(
 SET_STOCK = SET_A.replace(
     "THEN text END AS log",
     f"""THEN 'Building remotely on ' || CASE run_id % 17 {_NODE} END || ' in workspace' || chr(10) || text || chr(10)
-      || CASE run_id % 12 {_MESSAGE} END END AS log""",
+      || CASE (run_id // 6) % 12 {_MESSAGE} END END AS log""",
 )
 _STOCK = catalog.STOCK_TAGS
 STOCK_ISSUES = f"""SELECT {_COLUMNS} FROM ({_scan('runs', 'log', 0, _of(_STOCK, 'Console'), _NULL)})

@@ -587,18 +587,17 @@ def build_time_labels(spark, sf):
 @query
 def top_usage(spark, sf):
     rounded = lambda c: F.round(c, 6).alias(c)
-    samples = art.usage_samples(ci.top_artifacts(spark, sf)).select(
+    logs = art.of_readable_runs(ci.top_artifacts(spark, sf), ci.runs_a(spark, sf))
+    return art.usage_samples(logs).select(
         "run_id", "artifact_id", "sample", "time", rounded("cpu"), rounded("mem")
     )
-    return art.of_readable_runs(samples, ci.runs_a(spark, sf))
 
 
 @query
 def top_usage_summary(spark, sf):
-    summary = art.usage_summary(art.usage_samples(ci.top_artifacts(spark, sf)))
-    return art.of_readable_runs(summary, ci.runs_a(spark, sf)).withColumn(
-        "mem_peak", F.round("mem_peak", 6)
-    )
+    logs = art.of_readable_runs(ci.top_artifacts(spark, sf), ci.runs_a(spark, sf))
+    summary = art.usage_summary(art.usage_samples(logs))
+    return summary.withColumn("mem_peak", F.round("mem_peak", 6))
 
 
 @query

@@ -11,18 +11,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-# Tables up to this size may come as one unsplittable piece; reshuffling them costs little.
-SPREAD_BYTES = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small table; large ones keep the splits of their files."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def empty_store(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
 

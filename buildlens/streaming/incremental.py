@@ -75,11 +75,17 @@ def ingest_batch(
 
 
 def stream_ingest(
-    spark: SparkSession, inbox: str, root: str, details: DataFrame, blocklist: list[str], last_n: int
+    spark: SparkSession,
+    inbox: str,
+    root: str,
+    details: DataFrame,
+    blocklist: list[str],
+    last_n: int,
+    files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Start a query that ingests the snapshot files in ``inbox`` and stops when none is left."""
     snapshots = (
-        spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", 1).json(inbox)
+        spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", files_per_batch).json(inbox)
     )
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -104,9 +110,11 @@ def tag_batch(runs: DataFrame, batch_id: int, root: str, tags: list[Tag]) -> Non
     fresh.select("url").write.mode("overwrite").parquet(f"{home}/tagged/batch={batch_id}")
 
 
-def stream_tagging(spark: SparkSession, inbox: str, root: str, tags: list[Tag]) -> StreamingQuery:
+def stream_tagging(
+    spark: SparkSession, inbox: str, root: str, tags: list[Tag], files_per_batch: int = 1000
+) -> StreamingQuery:
     """Start a query that tags the run files in ``inbox``; another catalog starts over."""
-    runs = spark.readStream.schema(RUNS).option("maxFilesPerTrigger", 4).parquet(inbox)
+    runs = spark.readStream.schema(RUNS).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         tag_batch(batch, batch_id, root, tags)
@@ -134,7 +142,9 @@ def replay_ingest(
     spark = payload.sparkSession
     path = scratch_path(spark, "ingest")
     payload.repartition(files).write.json(f"{path}/inbox")
-    stream_ingest(spark, f"{path}/inbox", f"{path}/store", details, blocklist, last_n).awaitTermination()
+    stream_ingest(
+        spark, f"{path}/inbox", f"{path}/store", details, blocklist, last_n, files_per_batch=1
+    ).awaitTermination()
     return ingested_runs(spark, f"{path}/store")
 
 
@@ -143,5 +153,7 @@ def replay_tagging(runs: DataFrame, tags: list[Tag]) -> DataFrame:
     spark = runs.sparkSession
     path = scratch_path(spark, "tagging")
     runs.write.parquet(f"{path}/inbox")
-    stream_tagging(spark, f"{path}/inbox", f"{path}/store", tags).awaitTermination()
+    stream_tagging(
+        spark, f"{path}/inbox", f"{path}/store", tags, files_per_batch=4
+    ).awaitTermination()
     return tagged_issues(spark, f"{path}/store", tags)

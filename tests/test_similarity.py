@@ -3,7 +3,6 @@
 import math
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,16 +146,14 @@ def _random_edges(seed, nodes, share):
 
 
 @pytest.mark.parametrize("seed,nodes,share", [(1, 9, 0.5), (2, 14, 0.25), (3, 12, 0.85)])
-def test_rounds_equal_one_task(spark, seed, nodes, share):
+def test_rounds_equal_greedy(spark, seed, nodes, share):
     edges = _random_edges(seed, nodes, share)
     df = spark.createDataFrame(edges, "a long, b long")
     linked = set(edges)
     ends = sorted({n for e in edges for n in e})
     groups = greedy(ends, lambda x, y: (min(x, y), max(x, y)) in linked)
     want = sorted((n, g[0]) for g in groups for n in g)
-    in_task = graph._group_component(pd.DataFrame(edges, columns=["a", "b"]))
-    assert sorted(map(tuple, in_task.values.tolist())) == want
-    assert sorted(map(tuple, graph.complete_linkage(df, 0).collect())) == want
+    assert sorted(map(tuple, graph.complete_linkage(df).collect())) == want
 
 
 def test_components(spark):
