@@ -144,6 +144,16 @@ def artifact_texts(artifacts: DataFrame) -> DataFrame:
     return texts.filter(F.col("text").isNotNull())
 
 
+def run_hits(runs: DataFrame, artifacts: DataFrame, tags: list[Tag]) -> DataFrame:
+    """(run_id, tag_id): the tags of every field that occur in a run's name, log or artifacts."""
+    texts = artifact_texts(artifacts).join(runs.select("run_id"), "run_id", "left_semi")
+    return (
+        tag_hits(runs, ["run_id"], "display_name", _of_field(tags, "RunName"))
+        .unionByName(tag_hits(runs, ["run_id"], "log", _of_field(tags, "Console")))
+        .unionByName(tag_hits(texts, ["run_id"], "text", _of_field(tags, "Artifact")).distinct())
+    )
+
+
 def artifact_issues(artifacts: DataFrame, tags: list[Tag]) -> DataFrame:
     """Issues in the contents of text artifacts, deduplicated per artifact."""
     texts = artifact_texts(artifacts)

@@ -37,7 +37,7 @@ def take_in(
         store["builds"], listed.drop("runs").join(job_ids, "job_name").drop("job_name")
     )
     build_ids = builds.select(F.col("url").alias("build_url"), "build_id")
-    fresh = ingest.new_runs(ingest.own_runs(listed), store["runs"])
+    fresh = ingest.new_runs(ingest.own_runs(listed), store["runs"]).dropDuplicates(["url"])
     rows = ingest.run_rows(fresh, details).join(build_ids, "build_url").drop("build_url")
     added = assign_ids(rows, "url", "run_id", after=store["runs"].agg(F.max("run_id")))
     wanted = art.matching_artifacts(artifacts, config.artifact_rules).join(

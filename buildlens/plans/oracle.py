@@ -258,10 +258,14 @@ def _hits(tags: list[catalog.Tag]) -> str:
         WHERE regexp_matches({'log' if t.field == 'Console' else 'display_name'}, {_quote(t.pattern)})"""
         for t in tags
         if t.field != "Artifact"
+    ) + "".join(
+        f""" UNION ALL SELECT DISTINCT run_id, CAST({t.tag_id} AS BIGINT) FROM junit_text
+        WHERE run_id IN (SELECT run_id FROM runs) AND regexp_matches(text, {_quote(t.pattern)})"""
+        for t in _of(tags, "Artifact")
     )
 
 
-HITS_A = f"{SET_A}, {TAGS_A}, hits AS ({_hits(ci.TEXT_TAGS)})"
+HITS_A = f"{SET_A}, {TAGS_A}, {JUNIT_TEXT}, hits AS ({_hits(ci.TEXT_TAGS)})"
 ORACLE["tag_hits"] = f"WITH {HITS_A} SELECT run_id, tag_id FROM hits"
 ORACLE["tag_catalog"] = f"""WITH {HITS_A} SELECT t.tag_id, name, pattern, field, severity, count(run_id) AS n_runs
 FROM tags t LEFT JOIN hits h ON h.tag_id = t.tag_id GROUP BY ALL"""
@@ -276,7 +280,7 @@ ORACLE["issues_all"] = f"WITH {ISSUES_A} SELECT {_COLUMNS} FROM issues"
 ORACLE["issue_snippets"] = f"WITH {ISSUES_A} SELECT issue_id, snippet FROM issues"
 ORACLE["issues_not_metadata"] = f"""WITH {ISSUES_A} SELECT issue_id, name, severity, snippet, duplicates
 FROM issues JOIN tags USING (tag_id) WHERE severity <> 'Metadata'"""
-ORACLE["run_issues"] = f"""WITH {RUN_ISSUES_A} SELECT run_id, name, field, severity, snippet, duplicates
+ORACLE["run_issues"] = f"""WITH {ISSUES_A} SELECT run_id, name, field, severity, snippet, duplicates
 FROM issues JOIN tags USING (tag_id)"""
 ORACLE["artifact_formats"] = f"""WITH {JUNIT_TEXT}, {ARTIFACTS}
 SELECT format, count(*) AS n_artifacts FROM artifacts GROUP BY format"""
@@ -363,7 +367,7 @@ count_if(status = 'ABORTED')::BIGINT AS aborted, count_if(status = 'NOT_BUILT'):
 count(status) AS total_runs FROM latest_runs"""
 ORACLE["issues_found"] = f"""WITH {ISSUES_A}, {LATEST_RUNS} SELECT count(*) AS issues_found FROM issues JOIN tags USING (tag_id)
 WHERE severity <> 'Metadata' AND run_id IN (SELECT run_id FROM latest_runs)"""
-ORACLE["unknown_runs"] = f"""WITH {RUN_ISSUES_A}, {LATEST_RUNS} SELECT run_id, status FROM latest_runs
+ORACLE["unknown_runs"] = f"""WITH {ISSUES_A}, {LATEST_RUNS} SELECT run_id, status FROM latest_runs
 WHERE status IN ('FAILURE', 'UNSTABLE', 'ABORTED')
   AND run_id NOT IN (SELECT run_id FROM issues JOIN tags USING (tag_id) WHERE severity <> 'Metadata')"""
 ORACLE["deployment_totals"] = f"""{MEMBERS}
@@ -400,7 +404,7 @@ AND (hit OR run_id IN (SELECT run_id FROM held WHERE severity = 'Error'))"""
 ORACLE["view_matches"] = f"""{_A} SELECT '!clang || ' || label || ' || junk' AS label, run_id FROM pairs
 WHERE regexp_matches(label, 'x') AND (NOT {_has('clang')} OR hit OR {_has('junk')})"""
 
-_S = _views(f"{SET_STOCK}, {_tags_cte(_STOCK)}, hits AS ({_hits(_STOCK)})")
+_S = _views(f"{SET_STOCK}, {_tags_cte(_STOCK)}, {JUNIT_TEXT}, hits AS ({_hits(_STOCK)})")
 _AGENTS = _quote(catalog.AGENT_NAMES)
 ORACLE["view_by_tag"] = f"{_S} SELECT label, run_id FROM pairs WHERE hit AND severity <> 'Metadata'"
 ORACLE["view_by_metadata"] = f"""{_S} SELECT '!' || {_AGENTS} || ' && ' || label AS label, run_id FROM pairs

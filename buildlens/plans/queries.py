@@ -254,23 +254,11 @@ def _tags_a(spark):
 
 
 def _issues_a(spark, sf):
-    return tagging.all_issues(ci.runs_a(spark, sf), ci.junit_artifacts(spark, sf), ci.TEXT_TAGS)
-
-
-def _run_issues_a(spark, sf):
-    """Console and run-name issues."""
-    runs = ci.runs_a(spark, sf)
-    return tagging.run_name_issues(runs, ci.TEXT_TAGS).unionByName(
-        tagging.console_issues(runs, ci.TEXT_TAGS)
-    )
+    return tagging.all_issues(ci.runs_a(spark, sf), ci.artifacts_a(spark, sf), ci.TEXT_TAGS)
 
 
 def _hits_a(spark, sf):
-    runs = ci.runs_a(spark, sf)
-    of = lambda field: [t for t in ci.TEXT_TAGS if t.field == field]
-    return tagging.tag_hits(runs, ["run_id"], "display_name", of("RunName")).unionByName(
-        tagging.tag_hits(runs, ["run_id"], "log", of("Console"))
-    )
+    return tagging.run_hits(ci.runs_a(spark, sf), ci.artifacts_a(spark, sf), ci.TEXT_TAGS)
 
 
 @query
@@ -322,7 +310,7 @@ def issues_all(spark, sf):
 
 @query
 def issue_snippets(spark, sf):
-    runs, artifacts = ci.runs_a(spark, sf), ci.junit_artifacts(spark, sf)
+    runs, artifacts = ci.runs_a(spark, sf), ci.artifacts_a(spark, sf)
     return tagging.issue_snippets(_issues_a(spark, sf), _tags_a(spark), runs, artifacts)
 
 
@@ -334,7 +322,7 @@ def issues_not_metadata(spark, sf):
 
 @query
 def run_issues(spark, sf):
-    found = tagging.with_tags(_run_issues_a(spark, sf), _tags_a(spark))
+    found = tagging.with_tags(_issues_a(spark, sf), _tags_a(spark))
     return found.select("run_id", "name", "field", "severity", "snippet", "duplicates")
 
 
@@ -481,7 +469,7 @@ def issues_found(spark, sf):
 @query
 def unknown_runs(spark, sf):
     return stats.unknown_runs(
-        _run_issues_a(spark, sf), _tags_a(spark), ci.runs_a(spark, sf), ci.builds_a(spark, sf)
+        _issues_a(spark, sf), _tags_a(spark), ci.runs_a(spark, sf), ci.builds_a(spark, sf)
     )
 
 
@@ -523,10 +511,7 @@ for _name, _view in VIEWS.items():
 
 def _tagged_stock(spark, sf):
     runs = ci.runs_stock(spark, sf)
-    of = lambda field: [t for t in catalog.STOCK_TAGS if t.field == field]
-    hits = tagging.tag_hits(runs, ["run_id"], "display_name", of("RunName")).unionByName(
-        tagging.tag_hits(runs, ["run_id"], "log", of("Console"))
-    )
+    hits = tagging.run_hits(runs, ci.artifacts_a(spark, sf), catalog.STOCK_TAGS)
     return views.run_tag_ids(hits, stats.latest_runs(runs, ci.builds_a(spark, sf)))
 
 
