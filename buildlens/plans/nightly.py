@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from buildlens.catalog import Config, check_tags, fingerprint, tags_df
 from buildlens.functions.ids import assign_ids
 from buildlens.operators import artifacts as art, ingest, similarity, store as st, tagging
-from buildlens.sources.tables import read_store, write_store
+from buildlens.sources.tables import write_store
 
 Store = dict[str, DataFrame]
 
@@ -85,8 +85,9 @@ def nightly(
     # Groups go before they are rebuilt, so the purge need not look at them.
     store = st.purge_retention({**store, "similarities": store["similarities"].limit(0)})
     store["tags"] = st.purge_orphan_tags(store["tags"], store["issues"])
+    # Groups are written once, last: they are built from the issues as written.
+    store.pop("similarities")
     store = write_store(store, root, 2 * version + 1)
     shown = tagging.not_metadata(store["issues"], store["tags"])
     members = similarity.group_members(shown, config.threshold)
-    members.write.mode("overwrite").parquet(f"{root}/v={2 * version + 1}/similarities")
-    return read_store(store["jobs"].sparkSession, root, 2 * version + 1)
+    return {**store, **write_store({"similarities": members}, root, 2 * version + 1)}

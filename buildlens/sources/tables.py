@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from buildlens.schemas import TABLES
@@ -23,11 +25,12 @@ def write_store(store: dict[str, DataFrame], root: str, version: int) -> dict[st
     spark = next(iter(store.values())).sparkSession
     for name, df in store.items():
         df.write.mode("overwrite").parquet(f"{root}/v={version}/{name}")
-    return read_store(spark, root, version)
+    return read_store(spark, root, version, store)
 
 
-def read_store(spark: SparkSession, root: str, version: int) -> dict[str, DataFrame]:
+def read_store(
+    spark: SparkSession, root: str, version: int, names: Iterable[str] = tuple(TABLES)
+) -> dict[str, DataFrame]:
     return {
-        name: spark.read.schema(schema).parquet(f"{root}/v={version}/{name}")
-        for name, schema in TABLES.items()
+        name: spark.read.schema(TABLES[name]).parquet(f"{root}/v={version}/{name}") for name in names
     }
