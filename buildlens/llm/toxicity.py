@@ -46,7 +46,7 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 def _feature_rows(data: np.ndarray, offsets: np.ndarray, feature: np.ndarray, width: int) -> np.ndarray:
     """sqrt(count / grams) of the chosen grams, a row per text; whole texts, chunk by chunk."""
-    out = np.zeros((len(offsets) - 1, width))
+    out = np.zeros((len(offsets) - 1, width), np.float32)
     for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         counts = np.zeros(width)
         for lo in range(a, max(a, b - GRAM + 1), CHUNK):
@@ -62,8 +62,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps; features are scaled by their spread."""
-    scale = 1 / np.maximum(x.std(axis=0), 1e-4)
-    z = (x * scale).astype(np.float32)
+    scale = 1 / np.maximum(x.std(axis=0), 1e-4) if len(x) else np.ones(x.shape[1])
+    z = x * scale.astype(np.float32)
     share = float(np.clip(y.mean(), 1e-4, 1 - 1e-4)) if len(y) else 0.5
     w, b = np.zeros(z.shape[1], np.float32), float(np.log(share / (1 - share)))
     if not 0 < y.sum() < len(y):
@@ -117,7 +117,7 @@ def fit_chain(
     y = np.array([r["y"] for r in rows], float).reshape(len(rows), len(categories))
 
     # How many rows of each class of each category hold a bucket.
-    held = np.zeros((len(categories), 2, BUCKETS))
+    held = np.zeros((len(categories), 2, BUCKETS), np.float32)
     for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         present = np.unique(_grams(data[a:b]))
         for c in range(len(categories)):
@@ -140,7 +140,7 @@ def fit_chain(
     weights = np.zeros((len(categories), len(picked)))
     links = np.zeros((len(categories), len(categories)))
     biases = np.zeros(len(categories))
-    earlier = np.zeros((len(rows), 0))
+    earlier = np.zeros((len(rows), 0), np.float32)
     for c in range(len(categories)):
         full = np.hstack([x, earlier])
         unseen = np.zeros(len(rows))
@@ -149,7 +149,7 @@ def fit_chain(
             unseen[fold == k] = _sigmoid(full[fold == k] @ w + b)
         w, b = _fit_linear(full, y[:, c], ridge, rounds)
         weights[c], links[c, :c], biases[c] = w[: len(picked)], w[len(picked) :], b
-        earlier = np.hstack([earlier, unseen[:, None]])
+        earlier = np.hstack([earlier, unseen[:, None].astype(np.float32)])
     return ChainModel(tuple(categories), feature, weights, links, biases)
 
 
