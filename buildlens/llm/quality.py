@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.bytesops import utf8
+from buildlens.llm.sampling import smallest
 
 PIECE = 1024
 
@@ -106,11 +107,8 @@ def fit_quality(
         rows = (
             usable.filter((F.col("label") == label) & (F.octet_length("text") <= most_bytes))
             .select(F.md5(F.col("doc_id").cast("string")).alias("order"), "text")
-            .orderBy("order", "text")
-            .limit(most_docs)
-            .collect()
         )
-        texts[label] = [r["text"].encode() for r in rows]
+        texts[label] = [r["text"].encode() for r in smallest(rows, most_docs)]
     build = {k: [t for i, t in enumerate(v) if i % 3] for k, v in texts.items()}
     model = CompressionModel(
         _dictionary(build[1], dictionary_bytes), _dictionary(build[0], dictionary_bytes), level, 0.0, 0.0

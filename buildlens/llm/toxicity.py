@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.bytesops import pieces, utf8
+from buildlens.llm.sampling import smallest
 
 GRAM = 5
 BUCKETS = 1 << 18
@@ -84,7 +85,7 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> tupl
 def fit_chain(
     labelled: DataFrame,
     categories: Sequence[str],
-    most_docs: int = 3000,
+    most_docs: int = 2000,
     most_bytes: int = 20_000,
     per_category: int = 300,
     folds: int = 3,
@@ -110,7 +111,7 @@ def fit_chain(
     )
     rows = []
     for want in (0, 1):
-        rows += marked.filter(F.col("some") == want).orderBy("order", "text").limit(most_docs).collect()
+        rows += smallest(marked.filter(F.col("some") == want), most_docs)
     rows.sort(key=lambda r: (r["order"], r["text"]))
     column = pa.array([r["text"] for r in rows], pa.string())
     data, offsets = utf8(column)
