@@ -9,27 +9,53 @@ from pyspark.sql import functions as F
 
 from buildlens.session import cut_lineage
 
-LEVELS = (4, 16)
-STEP = 1024
+COARSE = (4, 16)
+TILE = 2048
 PAIRS = 1 << 18
-SAFE = 2.0**25
+BLOCK_VALUES = 1 << 21
 
 
-def _stats(v: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+def _stats(v: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of the segments, each times the root of the segment's length."""
-    parts = np.array_split(np.arange(v.shape[1]), min(segments, v.shape[1]))
-    mean = np.stack([v[:, p].mean(axis=1) * np.sqrt(len(p)) for p in parts], axis=1)
-    dev = np.stack([v[:, p].std(axis=1) * np.sqrt(len(p)) for p in parts], axis=1)
-    return mean, dev
+    parts = np.array_split(np.arange(v.shape[1]), segments)
+    mean = [v[:, p].mean(axis=1) * np.sqrt(len(p)) for p in parts]
+    dev = [v[:, p].std(axis=1) * np.sqrt(len(p)) for p in parts]
+    return np.stack(mean + dev, axis=1)
 
 
-def _exact(q: np.ndarray, c: np.ndarray, big: bool) -> np.ndarray:
-    """Inner products of paired rows, exact; beyond 64 bits they stop at its ends."""
-    if not big:
-        return np.einsum("ij,ij->i", q, c)
-    ends = np.iinfo(np.int64)
-    sums = (q.astype(object) * c.astype(object)).sum(axis=1)
-    return np.array([min(max(s, ends.min), ends.max) for s in sums], np.int64)
+def _levels(dim: int) -> list[int]:
+    """Numbers of segments, coarse to fine; the finest segments have two components."""
+    return sorted({min(n, dim) for n in (*COARSE, dim // 2) if n and dim})
+
+
+def _number_type(q: np.ndarray, c: np.ndarray) -> type:
+    """The cheapest type in which every inner product of these rows is exact."""
+    largest = [max((abs(int(x)) for x in (m.min(initial=0), m.max(initial=0))), default=0) for m in (q, c)]
+    reach = largest[0] * largest[1] * q.shape[1]
+    for top, kind in ((1 << 24, np.float32), (1 << 53, np.float64), (1 << 63, np.int64)):
+        if reach < top:
+            return kind
+    return object
+
+
+def _as_long(s: np.ndarray) -> np.ndarray:
+    """Whole numbers as longs; beyond 64 bits they stop at the ends."""
+    if s.dtype == object:
+        ends = np.iinfo(np.int64)
+        return np.array([min(max(x, ends.min), ends.max) for x in s], np.int64)
+    return s.astype(np.int64)
+
+
+def _fits(fq: np.ndarray, fc: np.ndarray, limit: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The pairs of ``mask`` whose greatest possible product reaches their query's limit."""
+    if np.count_nonzero(mask) * 16 > mask.size:
+        return mask & (fq @ fc.T >= limit[:, None])
+    out = np.zeros_like(mask)
+    rows, cols = np.nonzero(mask)
+    for at in range(0, len(rows), PAIRS):
+        r, j = rows[at : at + PAIRS], cols[at : at + PAIRS]
+        out[r, j] = np.einsum("ij,ij->i", fq[r], fc[j]) >= limit[r]
+    return out
 
 
 def block_top(
@@ -38,49 +64,43 @@ def block_top(
     """(query row, candidate id, score): each query's k best of a block of candidates.
 
     With means m and deviations s of segments of length L, the squared distance is at least
-    sum L ((m - m')^2 + (s - s')^2), and the inner product is (|q|^2 + |c|^2 - distance^2) / 2.
-    Pairs whose least distance leaves them below the query's k-th score so far go, first by wide
-    segments, then by narrow ones; only the rest are multiplied out.
+    sum L ((m - m')^2 + (s - s')^2), and the inner product is (|q|^2 + |c|^2 - distance^2) / 2,
+    so it is at most sum L (m m' + s s'). Pairs that stay below the query's k-th score so far go,
+    first by wide segments, then by narrow ones; only the rest are multiplied out.
     """
     n_q, dim = q.shape
-    big = bool(max(np.abs(q.astype(float)).max(initial=0), np.abs(c.astype(float)).max(initial=0)) > SAFE)
-    qf, cf = q.astype(float), c.astype(float)
+    kind = _number_type(q, c)
     # The longest candidates first: they tend to set high thresholds early.
-    order = np.argsort(-(cf * cf).sum(axis=1), kind="stable")
-    c_ids, c, cf = c_ids[order], c[order], cf[order]
-    q_len, c_len = (qf * qf).sum(axis=1), (cf * cf).sum(axis=1)
-    slack = 1e-9 * (np.abs(q_len).max(initial=0) + np.abs(c_len).max(initial=0)) + 1e-6
-    levels = [(*_stats(qf, s), *_stats(cf, s)) for s in LEVELS] if dim else []
+    order = np.argsort(-(c.astype(float) ** 2).sum(axis=1), kind="stable")
+    c_ids, c = c_ids[order], c[order]
+    qf, cf = q.astype(float), c.astype(float)
+    slack = 1e-6 + 1e-9 * sum((x * x).sum(axis=1).max(initial=0) for x in (qf, cf))
+    levels = [(_stats(qf, s), _stats(cf, s)) for s in _levels(dim)]
+    q, c = q.astype(kind), c.astype(kind)
     best_s = np.full((n_q, k), np.iinfo(np.int64).min)
     best_id = np.full((n_q, k), np.iinfo(np.int64).max)
-    floor = np.full(n_q, -np.inf)
+    floor = np.full(n_q, np.iinfo(np.int64).min)
+    limit = np.full(n_q, -np.inf)
     filled = np.zeros(n_q, np.int64)
-    for lo in range(0, len(c), STEP):
-        hi = min(lo + STEP, len(c))
-        if levels:
-            qm, qs, cm, cs = levels[0]
-            # Least distance turned into the greatest inner product that it allows.
-            top = qm @ cm[lo:hi].T + qs @ cs[lo:hi].T
-            rows, cols = np.nonzero(top >= (floor - slack)[:, None])
-        else:
-            rows, cols = np.nonzero(np.ones((n_q, hi - lo), bool))
-        new_rows, new_cols, new_s = [], [], []
-        for at in range(0, len(rows), PAIRS):
-            r, j = rows[at : at + PAIRS], cols[at : at + PAIRS] + lo
-            for qm, qs, cm, cs in levels[1:]:
-                most = np.einsum("ij,ij->i", qm[r], cm[j]) + np.einsum("ij,ij->i", qs[r], cs[j])
-                ok = most >= floor[r] - slack
-                r, j = r[ok], j[ok]
-            other = q_ids[r] != c_ids[j]
-            r, j = r[other], j[other]
-            new_rows.append(r)
-            new_cols.append(j)
-            new_s.append(_exact(q[r], c[j], big))
-        r, j, s = map(np.concatenate, (new_rows, new_cols, new_s)) if new_rows else (rows, cols, rows)
-        if not len(r):
+    lo, width = 0, min(TILE, 256)
+    while lo < len(c):
+        hi = min(lo + width, len(c))
+        mask = q_ids[:, None] != c_ids[None, lo:hi]
+        for fq, fc in levels:
+            mask = _fits(fq, fc[lo:hi], limit, mask)
+        found = []
+        for row in np.flatnonzero(mask.any(axis=1)):
+            at = lo + np.flatnonzero(mask[row])
+            s = _as_long(c[at] @ q[row])
+            good = s >= floor[row]
+            found.append((np.full(np.count_nonzero(good), row), at[good], s[good]))
+        # Small tiles first, while thresholds are low.
+        lo, width = hi, min(2 * width, TILE)
+        if not found:
             continue
+        r, j, s = map(np.concatenate, zip(*found))
         # Merge with the best so far: by query, then score down, then id.
-        have = np.flatnonzero(filled[np.arange(n_q)] > 0)
+        have = np.flatnonzero(filled)
         old_r = np.repeat(have, filled[have])
         old_at = np.arange(len(old_r)) - np.repeat(np.cumsum(filled[have]) - filled[have], filled[have])
         r = np.concatenate([old_r, r])
@@ -95,7 +115,8 @@ def block_top(
         best_s[r, place], best_id[r, place] = s, ids
         filled = np.bincount(r, minlength=n_q)
         full = filled >= k
-        floor[full] = best_s[full, k - 1].astype(float)
+        floor[full] = best_s[full, k - 1]
+        limit[full] = floor[full].astype(float) - slack
     r = np.repeat(np.arange(n_q), filled)
     at = np.arange(len(r)) - np.repeat(np.cumsum(filled) - filled, filled)
     return r, best_id[r, at], best_s[r, at]
@@ -109,7 +130,7 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
 
 
 def exact_top_k(
-    vectors: DataFrame, k: int = 20, every: int = 20, query_block: int = 1024, candidate_block: int = 8192
+    vectors: DataFrame, k: int = 20, every: int = 20, query_block: int = 2048, candidate_block: int = 16384
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) from (vec_id, embedding): k best inner products per query.
 
@@ -120,8 +141,8 @@ def exact_top_k(
     own and, as queries, one query. Scores beyond a long stop at its ends. Other columns aren't
     read. An empty table gives an empty result.
 
-    Blocks of queries meet blocks of candidates, a bounded number of rows in a task at any size;
-    each pair of blocks returns k rows per query, which one window per query merges.
+    Blocks of queries meet blocks of candidates, a bounded number of rows and of components in a
+    task at any size; each pair of blocks returns k rows per query, which one window per query merges.
     """
     e = F.col("embedding")
     bad = F.exists(
@@ -135,7 +156,10 @@ def exact_top_k(
         )
     )
     queries = whole.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    n_q, n_c = queries.count(), whole.count()
+    n_q = queries.count()
+    n_c, widest = whole.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    room = max(1, BLOCK_VALUES // max(1, widest or 0))
+    query_block, candidate_block = min(query_block, room), min(candidate_block, room)
     q_blocks, c_blocks = max(1, -(-n_q // query_block)), max(1, -(-n_c // candidate_block))
     spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every_c = F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
