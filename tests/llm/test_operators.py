@@ -16,7 +16,7 @@ from buildlens.llm.quality import fit_quality, score_quality
 from buildlens.llm.secrets import CLASSES, scan_secrets
 from buildlens.llm.simhash import fingerprint, keep_one, near_components, near_links, similar_components
 from buildlens.llm.suffixes import remove_repeats, repeated_spans, suffix_array, common_prefixes
-from buildlens.llm.topk import exact_top_k
+from buildlens.llm.topk import block_top, exact_top_k
 from buildlens.llm.toxicity import drop_toxic, fit_chain, score_chain
 from buildlens.llm.urls import judge_urls, page_edges
 
@@ -238,6 +238,24 @@ def test_top_k_equals_all_products(spark):
     assert exact_top_k(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [40, 1 << 20, 1 << 28, 1 << 40])
+@pytest.mark.parametrize("dim", [0, 1, 7, 48])
+def test_top_k_of_many_tiles(scale, dim):
+    rng = np.random.default_rng(dim)
+    centres = rng.normal(0, 1, (30, dim))
+    c = np.floor(scale * (centres[rng.integers(0, 30, 5000)] + rng.normal(0, 0.2, (5000, dim)))).astype(np.int64)
+    c[1000:1100] = c[0]  # ties
+    ids = rng.permutation(5000)
+    q = np.flatnonzero(ids % 100 == 0)
+    rows, got, scores = block_top(ids[q], c[q], ids, c, 20)
+    ends = np.iinfo(np.int64)
+    products = c[q].astype(object) @ c.T.astype(object) if dim else np.zeros((len(q), 5000), object)
+    for n, at in enumerate(q):
+        clipped = [min(max(int(x), ends.min), ends.max) for x in products[n]]
+        best = sorted((-s, i) for s, i in zip(clipped, ids.tolist()) if i != ids[at])[:20]
+        assert list(zip((-scores[rows == n]).tolist(), got[rows == n].tolist())) == best
+
+
 # --- lines
 
 
