@@ -75,7 +75,9 @@ def tags_df(spark: SparkSession, tags: list[Tag]) -> DataFrame:
     rows = [
         (i, t.tag_id, t.name, t.desc, t.pattern, t.field, t.severity) for i, t in enumerate(tags, 1)
     ]
-    columns = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows), TAGS.fields)]
+    columns = [
+        pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(TAGS.fields)
+    ]
     return spark.createDataFrame(pa.table(columns, names=TAGS.names))
 
 

@@ -11,12 +11,36 @@ from buildlens.schemas import PAYLOAD
 
 def read_payload(spark: SparkSession, path: str) -> DataFrame:
     """Snapshots as JSON, one per line; fields the schema does not name are not read."""
-    return spark.read.schema(PAYLOAD).json(path)
+    return with_file(spark.read.schema(PAYLOAD).json(path))
+
+
+def with_file(payload: DataFrame) -> DataFrame:
+    """Snapshots read from files, with ``file``: time, name and part of the file."""
+    at = [f"_metadata.{c}" for c in ("file_modification_time", "file_path", "file_block_start")]
+    return payload.select("*", F.struct(*at).alias("file"))
+
+
+def _arrival(df: DataFrame) -> list[str]:
+    return ["arrived"] if "arrived" in df.columns else []
 
 
 def payload_jobs(payload: DataFrame) -> DataFrame:
-    """(name, url, builds): one row per job."""
-    return payload.select(F.inline("jobs"))
+    """(name, url, builds): one row per job and snapshot.
+
+    Snapshots read from files give ``arrived`` too, their order by file and line: rows of a part of
+    a file keep their order in its partition.
+    """
+    if "file" in payload.columns:
+        line = F.monotonically_increasing_id().alias("line")
+        payload = payload.select("jobs", F.struct("file.*", line).alias("arrived"))
+    return payload.select(F.inline("jobs"), *_arrival(payload))
+
+
+def last_report(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per key: the one that arrived last, among equals the highest ``order``, then row."""
+    names = [c for c in df.columns if c not in (key, "arrived")]
+    rank = F.struct(*_arrival(df), order, *names)
+    return df.groupBy(key).agg(F.max_by(F.struct(*names), rank).alias("row")).select(key, "row.*")
 
 
 def kept_jobs(jobs: DataFrame, blocklist: list[str]) -> DataFrame:
@@ -28,26 +52,31 @@ def kept_jobs(jobs: DataFrame, blocklist: list[str]) -> DataFrame:
 def job_rows(jobs: DataFrame, last_n: int) -> DataFrame:
     """(name, url, retention_floor): the number of the oldest build that is kept, null without builds."""
     kept = F.slice("builds", 1, last_n)
-    return jobs.select("name", "url", F.try_element_at(kept, F.lit(-1))["number"].alias("retention_floor"))
+    floor = F.try_element_at(kept, F.lit(-1))["number"].alias("retention_floor")
+    return jobs.select("name", "url", floor, *_arrival(jobs))
 
 
 def build_rows(jobs: DataFrame, last_n: int | None = None) -> DataFrame:
     """(job_name, number, url, status, ts_ms, runs) of the first ``last_n`` builds as listed, or all."""
     kept = F.col("builds") if last_n is None else F.slice("builds", 1, last_n)
-    return jobs.select(F.col("name").alias("job_name"), F.inline(kept)).select(
+    return jobs.select(F.col("name").alias("job_name"), F.inline(kept), *_arrival(jobs)).select(
         "job_name",
         "number",
         "url",
         F.col("result").alias("status"),
         F.col("timestamp").alias("ts_ms"),
         "runs",
+        *_arrival(jobs),
     )
 
 
 def own_runs(builds: DataFrame) -> DataFrame:
     """(build_url, url): the listed runs that carry their build's own number."""
-    listed = builds.select(F.col("url").alias("build_url"), "number", F.explode("runs").alias("run"))
-    return listed.filter(F.col("run.number") == F.col("number")).select("build_url", "run.url")
+    listed = builds.select(
+        F.col("url").alias("build_url"), "number", F.explode("runs").alias("run"), *_arrival(builds)
+    )
+    own = listed.filter(F.col("run.number") == F.col("number"))
+    return own.select("build_url", "run.url", *_arrival(builds))
 
 
 def new_runs(listed: DataFrame, stored: DataFrame) -> DataFrame:
@@ -61,7 +90,7 @@ def cached_runs(listed: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def run_rows(listed: DataFrame, details: DataFrame) -> DataFrame:
-    """Run rows with the server's details; only bad runs keep their log."""
+    """Run rows with the server's details, one row per url; only bad runs keep their log."""
     status = F.col("status")
     return listed.join(details, "url").select(
         "url",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from buildlens.catalog import Config, check_tags, fingerprint, tags_df
 from buildlens.functions.ids import assign_ids
 from buildlens.operators import artifacts as art, ingest, similarity, store as st, tagging
-from buildlens.sources.tables import write_store
+from buildlens.session import cut_lineage
+from buildlens.sources.tables import alive, append, appended, publish, published, run_state
 
 Store = dict[str, DataFrame]
 
@@ -26,34 +27,46 @@ def _with_ids(store: Store, config: Config) -> tuple[Store, list]:
 
 
 def take_in(
-    store: Store, payload: DataFrame, details: DataFrame, artifacts: DataFrame, config: Config
+    store: Store,
+    payload: DataFrame,
+    details: DataFrame,
+    artifacts: DataFrame,
+    config: Config,
+    root: str,
+    night: int,
 ) -> Store:
-    """Upsert the snapshot's jobs, builds and new runs, and the artifacts (url, path, contents) of the latter."""
+    """Upsert the snapshot's jobs and builds; append new runs and their artifacts (url, path, contents).
+
+    Where a key is listed more than once, the last report counts. A night without new runs writes
+    neither runs nor artifacts, except the first, which lays down the tables.
+    """
+    spark = store["jobs"].sparkSession
     jobs = ingest.kept_jobs(ingest.payload_jobs(payload), config.blocklist)
-    new_jobs = st.upsert_jobs(store["jobs"], ingest.job_rows(jobs, config.last_n_history))
+    change = ingest.last_report(ingest.job_rows(jobs, config.last_n_history), "name", "retention_floor")
+    new_jobs = cut_lineage(st.upsert_jobs(store["jobs"], change))
     job_ids = new_jobs.select(F.col("name").alias("job_name"), "job_id")
     listed = ingest.build_rows(jobs, config.last_n_history)
-    builds = st.upsert_builds(
-        store["builds"], listed.drop("runs").join(job_ids, "job_name").drop("job_name")
-    )
+    change = listed.drop("runs").join(job_ids, "job_name").drop("job_name")
+    builds = cut_lineage(st.upsert_builds(store["builds"], ingest.last_report(change, "url", "ts_ms")))
+    store = {**store, "jobs": new_jobs, "builds": builds}
+
+    own = ingest.last_report(ingest.own_runs(listed), "url", "build_url")
+    fresh = cut_lineage(ingest.new_runs(own, store["runs"]))
+    if fresh.isEmpty() and published(spark, root) is not None:
+        return store
     build_ids = builds.select(F.col("url").alias("build_url"), "build_id")
-    fresh = ingest.new_runs(ingest.own_runs(listed), store["runs"]).dropDuplicates(["url"])
     rows = ingest.run_rows(fresh, details).join(build_ids, "build_url").drop("build_url")
-    added = assign_ids(rows, "url", "run_id", after=store["runs"].agg(F.max("run_id")))
+    append(assign_ids(rows, "url", "run_id", after=store["runs"].agg(F.max("run_id"))), root, "runs", night)
+    tonight = F.col("night") == night
+    added = appended(spark, root, "runs", tonight)
     wanted = art.matching_artifacts(artifacts, config.artifact_rules).join(
         added.select("url", "run_id"), "url"
     )
     keyed = wanted.withColumn("key", F.concat_ws("/", "url", "path"))
-    files = assign_ids(
-        keyed, "key", "artifact_id", after=store["artifacts"].agg(F.max("artifact_id"))
-    )
-    return {
-        **store,
-        "jobs": new_jobs,
-        "builds": builds,
-        "runs": store["runs"].unionByName(added.select(*store["runs"].columns)),
-        "artifacts": store["artifacts"].unionByName(files.select(*store["artifacts"].columns)),
-    }
+    top = store["artifacts"].agg(F.max("artifact_id"))
+    append(assign_ids(keyed, "key", "artifact_id", after=top), root, "artifacts", night)
+    added = added.withColumn("tag_schema", F.lit(None).cast("string"))
+    return {**store, "runs": store["runs"].unionByName(added)}
 
 
 def nightly(
@@ -63,31 +76,44 @@ def nightly(
     artifacts: DataFrame,
     config: Config,
     root: str,
-    version: int,
+    night: int,
 ) -> Store:
-    """One night: versions ``2 * version`` and ``2 * version + 1`` under ``root`` are written.
+    """One night: new runs and artifacts are appended under ``root``, changed tables written, then published.
 
-    The first holds the store with the new runs, the second also their issues, without what the
-    retention floors and the catalog no longer cover, and the similarity groups built anew.
+    ``store`` is the store of the night before, or an empty one. Runs are tagged once per catalog;
+    without a run to tag nothing is purged by retention, and unless the blocklist took runs, issues and
+    groups stay as they are stored.
     """
+    spark = store["jobs"].sparkSession
+    before = store["runs"].select("run_id")
+    first = published(spark, root) is None
     store, tags = _with_ids(store, config)
     schema = fingerprint(tags)
     store = st.purge_blocklist(st.invalidate(store, schema), config.blocklist)
-    store = write_store(take_in(store, payload, details, artifacts, config), root, 2 * version)
-    if tagging.untagged_runs(store["runs"]).isEmpty():
-        return write_store(store, root, 2 * version + 1)
+    store = take_in(store, payload, details, artifacts, config, root, night)
+    small = {name: store[name] for name in ("jobs", "builds", "tags")}
+    todo = tagging.untagged_runs(store["runs"])
+    if todo.isEmpty():
+        gone = before.join(store["runs"].select("run_id"), "run_id", "left_anti")
+        if first or not gone.isEmpty():
+            small |= {name: store[name] for name in ("issues", "similarities")}
+            small["run_state"] = run_state(store["runs"])
+        return publish(spark, small, root, night)
 
-    first = store["issues"].isEmpty()
-    issues = tagging.all_issues(
-        store["runs"], store["artifacts"], tags, None if first else store["issues"]
-    )
+    # The artifacts of the runs to tag, read from the nights of these runs only.
+    texts = alive(appended(spark, root, "artifacts", F.col("night") <= night), todo).drop("night")
+    issues = cut_lineage(tagging.all_issues(store["runs"], texts, tags, store["issues"]))
     store = {**store, "issues": issues, "runs": tagging.stamp(store["runs"], schema)}
     # Groups go before they are rebuilt, so the purge need not look at them.
     store = st.purge_retention({**store, "similarities": store["similarities"].limit(0)})
-    store["tags"] = st.purge_orphan_tags(store["tags"], store["issues"])
-    # Groups are written once, last: they are built from the issues as written.
-    store.pop("similarities")
-    store = write_store(store, root, 2 * version + 1)
-    shown = tagging.not_metadata(store["issues"], store["tags"])
-    members = similarity.group_members(shown, config.threshold)
-    return {**store, **write_store({"similarities": members}, root, 2 * version + 1)}
+    kept = cut_lineage(store["issues"])
+    shown = tagging.not_metadata(kept, store["tags"])
+    changed = {
+        "jobs": store["jobs"],
+        "builds": store["builds"],
+        "tags": st.purge_orphan_tags(store["tags"], kept),
+        "issues": kept,
+        "similarities": similarity.group_members(shown, config.threshold),
+        "run_state": run_state(store["runs"]),
+    }
+    return publish(spark, changed, root, night)

@@ -35,12 +35,6 @@ def _snapshot(spark: SparkSession, path: str, schema, batch_id: int) -> DataFram
     return spark.read.schema(schema).parquet(f"{path}/v={batch_id - 1}")
 
 
-def _latest_of(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key: the one with the highest ``order``."""
-    rest = F.struct(*[c for c in df.columns if c != key])
-    return df.groupBy(key).agg(F.max_by(rest, order).alias("row")).select(key, "row.*")
-
-
 def ingest_batch(
     payload: DataFrame, batch_id: int, root: str, details: DataFrame, blocklist: list[str], last_n: int
 ) -> None:
@@ -53,7 +47,7 @@ def ingest_batch(
     jobs = ingest.kept_jobs(ingest.payload_jobs(payload), blocklist)
 
     old_jobs = _snapshot(spark, f"{root}/jobs", JOBS, batch_id)
-    change = _latest_of(ingest.job_rows(jobs, last_n), "name", "retention_floor")
+    change = ingest.last_report(ingest.job_rows(jobs, last_n), "name", "retention_floor")
     st.upsert_jobs(old_jobs, change).write.mode("overwrite").parquet(f"{root}/jobs/v={batch_id}")
     job_ids = spark.read.schema(JOBS).parquet(f"{root}/jobs/v={batch_id}").select(
         F.col("name").alias("job_name"), "job_id"
@@ -61,14 +55,15 @@ def ingest_batch(
 
     listed = ingest.build_rows(jobs, last_n)
     old_builds = _snapshot(spark, f"{root}/builds", BUILDS, batch_id)
-    change = _latest_of(listed.drop("runs").join(job_ids, "job_name").drop("job_name"), "url", "ts_ms")
+    change = listed.drop("runs").join(job_ids, "job_name").drop("job_name")
+    change = ingest.last_report(change, "url", "ts_ms")
     st.upsert_builds(old_builds, change).write.mode("overwrite").parquet(f"{root}/builds/v={batch_id}")
     build_ids = spark.read.schema(BUILDS).parquet(f"{root}/builds/v={batch_id}").select(
         F.col("url").alias("build_url"), "build_id"
     )
 
     stored = _earlier(spark, f"{root}/runs", RUNS, batch_id)
-    fresh = ingest.new_runs(ingest.own_runs(listed), stored).distinct()
+    fresh = ingest.new_runs(ingest.last_report(ingest.own_runs(listed), "url", "build_url"), stored)
     rows = ingest.run_rows(fresh, details).join(build_ids, "build_url")
     runs = assign_ids(rows, "url", "run_id", after=stored.agg(F.max("run_id")))
     runs.select(*RUNS.names).write.mode("overwrite").parquet(f"{root}/runs/batch={batch_id}")
@@ -84,9 +79,8 @@ def stream_ingest(
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Start a query that ingests the snapshot files in ``inbox`` and stops when none is left."""
-    snapshots = (
-        spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", files_per_batch).json(inbox)
-    )
+    files = spark.readStream.schema(PAYLOAD).option("maxFilesPerTrigger", files_per_batch).json(inbox)
+    snapshots = ingest.with_file(files)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, batch_id, root, details, blocklist, last_n)

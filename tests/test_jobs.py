@@ -1,6 +1,7 @@
 """Ingest edges, artifacts, plans, streams and the nightly run."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from buildlens.plans import nightly
 from buildlens.schemas import RUN_DETAILS
 from buildlens.session import scratch_path
 from buildlens.sources import ci_tables as ci
-from buildlens.sources.tables import empty_store
+from buildlens.sources.tables import alive, append, appended, compact, empty_store, read_store, run_state
 from buildlens.streaming import incremental
 from tests.compare import DATA
 
@@ -153,14 +154,26 @@ def test_nightly_twice(spark):
     assert sorted(r.name for r in store["tags"].collect()) == ["boom", "name"]
     assert store["similarities"].count() == 2 and store["artifacts"].count() == 2
 
-    # Nothing new: the store stays as it is.
+    # Nothing new: the store stays as it is, and no log, artifact or issue is written.
+    files_of = lambda *names: {str(f) for n in names for f in Path(root, n).rglob("*.parquet")}
+    large = ("runs", "artifacts", "issues", "similarities", "run_state")
+    written = files_of(*large)
     again = night(store, jobs, 1)
+    assert files_of(*large) == written and files_of("builds") > files_of("builds/v=0")
     for name in ("runs", "issues", "similarities", "builds"):
         assert sorted(map(str, again[name].collect())) == sorted(map(str, store[name].collect())), name
 
     # A newer build moves the floor: the oldest build goes with its run, issues and artifacts.
     jobs[0]["builds"].insert(0, _build(11, [_run(11, "x")]))
     third = night(again, jobs, 2)
+    assert {f.split("/")[-2] for f in files_of("runs", "artifacts") - written} == {"night=2"}
+    plan = _plan(third["runs"].filter("tag_schema is null").select("log"))
+    assert "dynamicpruning" in plan.lower() and "ReadSchema: struct<run_id:bigint,log:string>" in plan
+    # What a night leaves that was never published is not seen.
+    append(third["runs"], root, "runs", 3)
+    assert read_store(spark, root)["runs"].count() == 2
+    # Earlier nights can still be read.
+    assert sorted(r.url for r in read_store(spark, root, 0)["runs"].collect()) == ["r5x", "r9x"]
     assert sorted(r.number for r in third["builds"].collect()) == [9, 11]
     assert sorted(r.url for r in third["runs"].collect()) == ["r11x", "r9x"]
     assert third["artifacts"].count() == 1 and third["similarities"].count() == 2
@@ -172,6 +185,52 @@ def test_nightly_twice(spark):
     assert {r.snippet[:4] for r in fourth["issues"].collect()} == {"boom"}
     assert fourth["runs"].select("tag_schema").distinct().count() == 1
 
+    # Compacted, everything lies in one night.
+    rows = lambda store, name: sorted(str(r) for r in store[name].drop("night").collect())
+    fifth = compact(spark, root, 4)
+    for name in ("runs", "artifacts", "issues"):
+        assert rows(fifth, name) == rows(fourth, name)
+    assert [r.night for r in fifth["runs"].select("night").distinct().collect()] == [4]
+    assert alive(appended(spark, root, "artifacts", F.col("night") < 4), run_state(fifth["runs"])).isEmpty()
+
+
+def test_repeated_reports(spark):
+    """A job, build or run listed again is one row; the later report counts, at equal times too."""
+    def job(result):
+        build = _build(4, [_run(4, "x"), _run(4, "x")], result)
+        return {"name": "one", "url": "j", "builds": [build]}
+
+    path = scratch_path(spark, "reports")
+    for result in (None, "UNSTABLE", "SUCCESS"):
+        lines = [(json.dumps({"jobs": [job("FAILURE")]}),), (json.dumps({"jobs": [job(result)]}),)]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(path)
+    details = spark.createDataFrame([("r4x", None, "x", "FAILURE", "log")], RUN_DETAILS)
+    files = spark.createDataFrame([("r4x", "top.txt", bytearray(b"t"))], "url string, path string, contents binary")
+    config = Config(tags=[], artifact_rules=["top.txt"])
+    store = nightly.nightly(
+        empty_store(spark), ingest.read_payload(spark, path), details, files, config, scratch_path(spark, "twice"), 0
+    )
+    assert [(r.run_id, r.url) for r in store["runs"].collect()] == [(1, "r4x")]
+    assert store["artifacts"].count() == 1 and store["jobs"].count() == 1
+    assert [(r.number, r.status) for r in store["builds"].collect()] == [(4, "SUCCESS")]
+
+    root = scratch_path(spark, "stream")
+    incremental.stream_ingest(spark, path, root, details, [], 2).awaitTermination()
+    assert [r.url for r in incremental.ingested_runs(spark, root).collect()] == ["r4x"]
+    assert [r.status for r in spark.read.parquet(f"{root}/builds/v=0").collect()] == ["SUCCESS"]
+
+
+def test_empty_nights(spark):
+    root = scratch_path(spark, "nights")
+    details = spark.createDataFrame([], RUN_DETAILS)
+    files = spark.createDataFrame([], "url string, path string, contents binary")
+    with pytest.raises(ValueError):
+        read_store(spark, root)
+    store = empty_store(spark)
+    for n in range(2):
+        store = nightly.nightly(store, _payload(spark, []), details, files, Config(), root, n)
+        assert all(store[name].isEmpty() for name in ("jobs", "builds", "runs", "artifacts", "issues"))
+
 
 def test_config_file(spark, tmp_path):
     path = tmp_path / "c.toml"
