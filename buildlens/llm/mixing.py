@@ -11,6 +11,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
 BUCKETS = 4096
+SALTS = 256
 UNIT = 1 << 52
 
 
@@ -55,6 +56,11 @@ def source_targets(sized: DataFrame, most: int = MOST, weights: tuple = WEIGHTS)
     return shared.select("key", "source_size", target.alias("target"))
 
 
+def _salted(per_source: DataFrame) -> DataFrame:
+    """Each source's row once per salt."""
+    return per_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _uniform(doc_id: Column) -> Column:
     """A number in (0, 1) that depends on the id alone."""
     digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13)
@@ -77,8 +83,8 @@ def mix_sources(docs: DataFrame, most: int = MOST, weights: tuple = WEIGHTS) ->
     gives an empty result. Other columns aren't read.
 
     Ranks are cut into 4,096 buckets per source; sums per bucket combine before the shuffle, whole
-    buckets are taken or left, and only the bucket on the edge is sorted. So no source, however
-    large, is gathered in a task.
+    buckets are taken or left, and only the bucket on the edge is sorted. Documents meet their
+    source's numbers under one of 256 salts. So no source, however large, is gathered in a task.
     """
     sized = cut_lineage(
         docs.select(
@@ -108,7 +114,8 @@ def mix_sources(docs: DataFrame, most: int = MOST, weights: tuple = WEIGHTS) ->
     p = F.least(F.lit(0.999999), F.col("rest") * 1000 / F.greatest("unit", F.lit(1)) / root)
     odds = F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")
     ranked = (
-        sized.join(plan, "key")
+        sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+        .join(_salted(plan), ["key", "salt"])
         .withColumn("u", _uniform(F.col("doc_id")))
         .withColumn("p", F.when((F.col("size") > 0) & (F.col("rest") >= 0.5), p))
         .withColumn("q", odds)
@@ -125,7 +132,7 @@ def mix_sources(docs: DataFrame, most: int = MOST, weights: tuple = WEIGHTS) ->
         )
         .select("key", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"))
     )
-    placed = ranked.join(edge, "key", "left").withColumn(
+    placed = ranked.join(_salted(edge), ["key", "salt"], "left").withColumn(
         "side",
         F.when(F.col("p").isNull() | (F.col("p") <= 0), 1)
         .when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), -1)
