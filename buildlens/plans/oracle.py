@@ -129,7 +129,6 @@ ARTIFACT_OF_RUNS = _scan(
     "artifact_id",
 )
 TAGS_A = _tags_cte(ci.TEXT_TAGS)
-RUN_ISSUES_A = f"{SET_A}, {TAGS_A}, issues AS (SELECT {_COLUMNS} FROM ({CONSOLE}) UNION ALL SELECT {_COLUMNS} FROM ({RUN_NAME}))"
 ISSUES_A = f"""{SET_A}, {TAGS_A}, {JUNIT_TEXT}, issues AS (SELECT {_COLUMNS} FROM ({CONSOLE})
   UNION ALL SELECT {_COLUMNS} FROM ({RUN_NAME}) UNION ALL SELECT {_COLUMNS} FROM ({ARTIFACT_OF_RUNS}))"""
 
@@ -458,4 +457,4 @@ WHERE role = 'assistant' AND turn % 3 = 1"""
 # ---- streams ------------------------------------------------------------------------------------
 
 ORACLE["stream_ingest"] = f"WITH {PAYLOAD} SELECT {_INGESTED} FROM own"
-ORACLE["stream_tagging"] = f"WITH {RUN_ISSUES_A} SELECT {_COLUMNS} FROM issues"
+ORACLE["stream_tagging"] = f"WITH {ISSUES_A} SELECT {_COLUMNS} FROM issues"

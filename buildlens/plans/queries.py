@@ -608,5 +608,5 @@ def stream_ingest(spark, sf):
 
 @query
 def stream_tagging(spark, sf):
-    """Runs arrive in several files; the stored issues after the stream has drained."""
-    return incremental.replay_tagging(ci.runs_a(spark, sf), ci.TEXT_TAGS)
+    """Runs and artifacts arrive in several files; the stored issues after the streams have drained."""
+    return incremental.replay_tagging(ci.runs_a(spark, sf), ci.artifacts_a(spark, sf), ci.TEXT_TAGS)

@@ -1,4 +1,4 @@
-"""Structured Streaming: ingest arriving snapshots, tag arriving runs.
+"""Structured Streaming: ingest arriving snapshots, tag arriving runs and artifacts.
 
 Every batch reads what earlier batches wrote and overwrites only its own folder, so a batch that is
 run again after a failure leaves the same files.
@@ -6,6 +6,8 @@ run again after a failure leaves the same files.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,25 +16,42 @@ from pyspark.sql.streaming import StreamingQuery
 from buildlens.catalog import Tag, fingerprint
 from buildlens.functions.ids import assign_ids
 from buildlens.operators import ingest, store as st, tagging
-from buildlens.schemas import BUILDS, ISSUES, JOBS, PAYLOAD, RUNS
-from buildlens.session import scratch_path
+from buildlens.schemas import ARTIFACTS, BUILDS, ISSUES, JOBS, PAYLOAD, RUNS
+from buildlens.session import cut_lineage, scratch_path
 
 _URL = T.StructType([RUNS["url"]])
+_ARTIFACT_ID = T.StructType([ARTIFACTS["artifact_id"]])
 
 
 def _earlier(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
     """Rows that the batches before this one appended."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    return rows.filter(F.col("batch") < batch_id).drop("batch")
+    return _batches(spark, path, schema, batch_id).drop("batch")
 
 
-def _snapshot(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
-    """The table as the batch before this one left it."""
-    if batch_id == 0:
+def _batches(spark: SparkSession, path: str, schema, before: int | None) -> DataFrame:
+    """Appended rows with their batch."""
+    schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    if before == 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v={batch_id - 1}")
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if before is None else rows.filter(F.col("batch") < before)
+
+
+def _current(spark: SparkSession, path: str, schema, key: str, before: int | None = None) -> DataFrame:
+    """Of the changes that batches appended, the last one per id: the table as they left it."""
+    rest = F.struct(*[c for c in schema.names if c != key])
+    rows = _batches(spark, path, schema, before)
+    last = rows.groupBy(key).agg(F.max_by(rest, "batch").alias("row")).select(key, "row.*")
+    return last.select(*schema.names)
+
+
+def _append_changes(
+    path: str, batch_id: int, old: DataFrame, change: DataFrame, key: str, apply: Callable
+) -> None:
+    """Append the rows that ``change`` adds or updates, whole rows with their id."""
+    change = cut_lineage(change)
+    written = apply(old, change).join(change.select(key), key, "left_semi").select(*old.columns)
+    written.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
 def ingest_batch(
@@ -40,25 +59,26 @@ def ingest_batch(
 ) -> None:
     """Flatten one batch of snapshots into the job, build and run tables under ``root``.
 
-    Jobs and builds are small and written anew per batch; runs, which carry the logs, are only
-    appended, because a run that is already stored is never read again.
+    All tables are only appended to: jobs and builds by the rows that the batch adds or changes, of
+    which the last one counts, runs by the new ones, as a stored run is never read again.
     """
     spark = payload.sparkSession
     jobs = ingest.kept_jobs(ingest.payload_jobs(payload), blocklist)
 
-    old_jobs = _snapshot(spark, f"{root}/jobs", JOBS, batch_id)
+    old_jobs = _current(spark, f"{root}/jobs", JOBS, "job_id", batch_id)
     change = ingest.last_report(ingest.job_rows(jobs, last_n), "name", "retention_floor")
-    st.upsert_jobs(old_jobs, change).write.mode("overwrite").parquet(f"{root}/jobs/v={batch_id}")
-    job_ids = spark.read.schema(JOBS).parquet(f"{root}/jobs/v={batch_id}").select(
+    _append_changes(f"{root}/jobs", batch_id, old_jobs, change, "name", st.upsert_jobs)
+    # The batch's own rows name every job and build that it lists.
+    job_ids = spark.read.schema(JOBS).parquet(f"{root}/jobs/batch={batch_id}").select(
         F.col("name").alias("job_name"), "job_id"
     )
 
     listed = ingest.build_rows(jobs, last_n)
-    old_builds = _snapshot(spark, f"{root}/builds", BUILDS, batch_id)
+    old_builds = _current(spark, f"{root}/builds", BUILDS, "build_id", batch_id)
     change = listed.drop("runs").join(job_ids, "job_name").drop("job_name")
     change = ingest.last_report(change, "url", "ts_ms")
-    st.upsert_builds(old_builds, change).write.mode("overwrite").parquet(f"{root}/builds/v={batch_id}")
-    build_ids = spark.read.schema(BUILDS).parquet(f"{root}/builds/v={batch_id}").select(
+    _append_changes(f"{root}/builds", batch_id, old_builds, change, "url", st.upsert_builds)
+    build_ids = spark.read.schema(BUILDS).parquet(f"{root}/builds/batch={batch_id}").select(
         F.col("url").alias("build_url"), "build_id"
     )
 
@@ -100,27 +120,59 @@ def tag_batch(runs: DataFrame, batch_id: int, root: str, tags: list[Tag]) -> Non
     seen = _earlier(spark, f"{home}/tagged", _URL, batch_id)
     fresh = runs.dropDuplicates(["url"]).join(seen, "url", "left_anti")
     issues = tagging.run_name_issues(fresh, tags).unionByName(tagging.console_issues(fresh, tags))
-    issues.write.mode("overwrite").parquet(f"{home}/issues/batch={batch_id}")
+    issues.write.mode("overwrite").parquet(f"{home}/issues/of=runs/batch={batch_id}")
     fresh.select("url").write.mode("overwrite").parquet(f"{home}/tagged/batch={batch_id}")
 
 
+def tag_artifact_batch(artifacts: DataFrame, batch_id: int, root: str, tags: list[Tag]) -> None:
+    """Tag the artifacts of one batch whose id no earlier batch has tagged under this fingerprint."""
+    spark = artifacts.sparkSession
+    home = f"{root}/{fingerprint(tags)}"
+    seen = _earlier(spark, f"{home}/tagged_artifacts", _ARTIFACT_ID, batch_id)
+    fresh = artifacts.dropDuplicates(["artifact_id"]).join(seen, "artifact_id", "left_anti")
+    issues = tagging.artifact_issues(fresh, tags)
+    issues.write.mode("overwrite").parquet(f"{home}/issues/of=artifacts/batch={batch_id}")
+    fresh.select("artifact_id").write.mode("overwrite").parquet(f"{home}/tagged_artifacts/batch={batch_id}")
+
+
 def stream_tagging(
     spark: SparkSession, inbox: str, root: str, tags: list[Tag], files_per_batch: int = 1000
 ) -> StreamingQuery:
     """Start a query that tags the run files in ``inbox``; another catalog starts over."""
-    runs = spark.readStream.schema(RUNS).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
+    return _tag_files(spark, inbox, RUNS, tag_batch, root, tags, "runs", files_per_batch)
+
+
+def stream_artifact_tagging(
+    spark: SparkSession, inbox: str, root: str, tags: list[Tag], files_per_batch: int = 1000
+) -> StreamingQuery:
+    """The same for artifact files; it may run beside the query over runs under one root."""
+    return _tag_files(
+        spark, inbox, ARTIFACTS, tag_artifact_batch, root, tags, "artifacts", files_per_batch
+    )
+
+
+def _tag_files(spark, inbox, schema, tag, root, tags, name, files_per_batch) -> StreamingQuery:
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        tag_batch(batch, batch_id, root, tags)
+        tag(batch, batch_id, root, tags)
 
     return (
-        runs.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", f"{root}/{fingerprint(tags)}/_progress")
+        rows.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", f"{root}/{fingerprint(tags)}/_progress/{name}")
         .trigger(availableNow=True)
         .start()
     )
 
 
+def ingested_jobs(spark: SparkSession, root: str) -> DataFrame:
+    return _current(spark, f"{root}/jobs", JOBS, "job_id")
+
+
+def ingested_builds(spark: SparkSession, root: str) -> DataFrame:
+    return _current(spark, f"{root}/builds", BUILDS, "build_id")
+
+
 def ingested_runs(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/runs").select(*RUNS.names)
 
@@ -142,12 +194,14 @@ def replay_ingest(
     return ingested_runs(spark, f"{path}/store")
 
 
-def replay_tagging(runs: DataFrame, tags: list[Tag]) -> DataFrame:
-    """Write runs as files, let the stream tag them, return the stored issues."""
+def replay_tagging(runs: DataFrame, artifacts: DataFrame, tags: list[Tag]) -> DataFrame:
+    """Write runs and artifacts as files, let the streams tag them, return the stored issues."""
     spark = runs.sparkSession
     path = scratch_path(spark, "tagging")
-    runs.write.parquet(f"{path}/inbox")
-    stream_tagging(
-        spark, f"{path}/inbox", f"{path}/store", tags, files_per_batch=4
-    ).awaitTermination()
+    for rows, name, stream in (
+        (runs, "runs", stream_tagging),
+        (artifacts, "artifacts", stream_artifact_tagging),
+    ):
+        rows.write.parquet(f"{path}/{name}")
+        stream(spark, f"{path}/{name}", f"{path}/store", tags, files_per_batch=4).awaitTermination()
     return tagged_issues(spark, f"{path}/store", tags)

@@ -217,7 +217,19 @@ def test_repeated_reports(spark):
     root = scratch_path(spark, "stream")
     incremental.stream_ingest(spark, path, root, details, [], 2).awaitTermination()
     assert [r.url for r in incremental.ingested_runs(spark, root).collect()] == ["r4x"]
-    assert [r.status for r in spark.read.parquet(f"{root}/builds/v=0").collect()] == ["SUCCESS"]
+    assert [r.status for r in incremental.ingested_builds(spark, root).collect()] == ["SUCCESS"]
+    # The next batch appends the rows it changes; the ids stay, the last change counts.
+    more = {"jobs": [job("ABORTED"), {"name": "two", "url": "j2", "builds": [_build(7, [_run(7, "x")])]}]}
+    spark.createDataFrame([(json.dumps(more),)], "value string").coalesce(1).write.mode("append").text(path)
+    incremental.stream_ingest(spark, path, root, details, [], 2).awaitTermination()
+    assert sorted((r.build_id, r.number, r.status) for r in incremental.ingested_builds(spark, root).collect()) == [
+        (1, 4, "ABORTED"), (2, 7, "FAILURE")]
+    assert sorted((r.job_id, r.name) for r in incremental.ingested_jobs(spark, root).collect()) == [(1, "one"), (2, "two")]
+    more["jobs"].pop(0)
+    spark.createDataFrame([(json.dumps(more),)], "value string").coalesce(1).write.mode("append").text(path)
+    incremental.stream_ingest(spark, path, root, details, [], 2).awaitTermination()
+    assert spark.read.parquet(f"{root}/builds/batch=2").count() == 1
+    assert incremental.ingested_builds(spark, root).count() == 2
 
 
 def test_empty_nights(spark):
