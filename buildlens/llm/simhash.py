@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buildlens.llm.bytesops import BASE, mixed, utf8
+from buildlens.llm.bytesops import BASE, MIX, mixed, pieces, shingle_hashes, utf8
 from buildlens.operators.graph import connected_components
 from buildlens.session import cut_lineage
 
@@ -130,104 +131,209 @@ def near_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(answer, "fp").select("doc_id", "fp", "component_id")
 
 
-# Wide fingerprints for whole documents of similarity 0.8 or more, whose bits differ too often for
-# a radius of two in 64: tables of 28 bits, of which a near copy agrees with some up to one bit.
-WIDE_SEGMENTS, WIDE_BITS = 22, 28
-
-
-def _wide(text: bytes, words: int) -> list[int]:
-    """A fingerprint of WIDE_SEGMENTS numbers of WIDE_BITS bits; without words all are 0."""
+def _grams(text: bytes, words: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the shingles of ``words`` words (A-Z lower-cased)."""
     parts = text.lower().split()
     if not parts:
-        return [0] * WIDE_SEGMENTS
-    width = min(words, len(parts))
-    n = len(parts) - width + 1
-    lanes = -(-WIDE_SEGMENTS * WIDE_BITS // 64)
-    counts = np.zeros(lanes * 64, np.int64)
-    hashed = xxhash.xxh64_intdigest
-    step = BLOCK // 16
-    for lo in range(0, n, step):
-        some = parts[lo : lo + step + width - 1]
-        joined = b" ".join(some)
-        sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
-        ends = np.cumsum(sizes) - 1
-        starts = (ends + 1 - sizes)[: len(some) - width + 1].tolist()
-        h = np.array([hashed(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64)
-        every = np.stack([mixed(h + np.uint64(lane) * BASE) for lane in range(lanes)], axis=1)
-        counts += np.unpackbits(every.view(np.uint8)).reshape(len(h), -1).sum(axis=0, dtype=np.int64)
-    bits = (counts * 2 > n)[: WIDE_SEGMENTS * WIDE_BITS].reshape(WIDE_SEGMENTS, WIDE_BITS)
-    return (bits @ (1 << np.arange(WIDE_BITS))).tolist()
+        return np.zeros(0, np.uint64)
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+    return np.unique(shingle_hashes(hashed, min(words, len(parts))))
 
 
-def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp: array of segments) of every row."""
+def _node(grams: np.ndarray) -> int:
+    """The number of a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64))
+
+
+def _classes(least: float, most: int) -> list[int]:
+    """First sizes of the size classes up to ``most``; sets of similarity ``least`` are in the same or neighbouring ones."""
+    first = [1, 2]
+    while first[-1] <= most:
+        first.append(max(first[-1] + 1, int((first[-1] - 1) / least + 1e-9) + 1))
+    return first
+
+
+def _keys(grams: np.ndarray, least: float) -> np.ndarray:
+    """Keys of a set of shingles; any two sets of similarity ``least`` or more have one in common.
+
+    The smaller set of such a pair has n shingles of some size class, the larger one is of that
+    class or the next, and at most d = n (1 - least) / least shingles are not in both. Dealt into
+    more than d parts, some part is the same in both; its key is the sum of its shingles. Empty
+    parts say nothing: a set with so many that no other part need be the same also gets its
+    smallest hashes as keys (prefix filter), of which two such sets share one.
+    """
+    n = len(grams)
+    if not n:
+        return np.zeros(0, np.uint64)
+    first = _classes(least, n)
+    own = bisect.bisect_right(first, n) - 1
+    out = []
+    for c in range(max(0, own - 1), own + 1):
+        apart = int((first[c + 1] - 1) * (1 - least) / least + 1e-9)
+        parts = apart + 1 + apart // 8
+        salt = np.uint64(c + 1) * BASE
+        part = mixed(grams + salt) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sums = np.add.reduceat(mixed(grams[order] ^ salt), starts)
+        out.append(mixed(sums + part[starts] * MIX + salt))
+        if parts - len(starts) >= parts - apart:
+            prefix = n - math.ceil(least * n - 1e-9) + 1
+            out.append(mixed(grams[:prefix] + salt))
+    return np.concatenate(out)
+
+
+def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles have Jaccard similarity ``least`` or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= least * (len(a) + len(b) - common) - 1e-9
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_key, node) of every row: equal nodes are equal sets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             view = data.tobytes()
-            fps = [_wide(view[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            texts = [view[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            keys = [xxhash.xxh3_128_hexdigest(t) for t in texts]
+            nodes = [_node(_grams(t, words)) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.list_(pa.int32()))], ["doc_id", "fp"]
+                [batch.column(0), pa.array(keys, pa.string()), pa.array(nodes, pa.int64())],
+                ["doc_id", "text_key", "node"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_key string, node long")
 
 
-def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of rows linked by a similarity of about ``least`` or more.
+def _entries(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(key, node) of every set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces([batch], "text", 1 << 22):
+                data, offsets = utf8(part.column(0))
+                view = data.tobytes()
+                keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    grams = _grams(view[a:b], words)
+                    keys.append(_keys(grams, least))
+                    nodes.append(np.full(len(keys[-1]), _node(grams), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))],
+                    ["key", "node"],
+                )
+
+    return docs.select("text").mapInArrow(run, "key long, node long")
+
+
+def _gram_table(docs: DataFrame, words: int) -> DataFrame:
+    """(node, grams as bytes) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces([batch], "text", 1 << 22):
+                data, offsets = utf8(part.column(0))
+                view = data.tobytes()
+                grams = [_grams(view[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_node(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())],
+                    ["node", "grams"],
+                )
+
+    return docs.select("text").mapInArrow(run, "node long, grams binary")
+
 
-    The share of differing bits of two wide fingerprints tells the angle of their shingle counts,
-    a / pi, with cos a = 2 s / (1 + s) for the Jaccard similarity s. A table per segment lists each
-    fingerprint; a ball of radius 1 around each segment of each fingerprint is looked up, and the
-    complete distance decides. A looked-up value answers with its smallest and its largest
-    fingerprint, not with all of them, so a group of k copies gives 2 k candidates, never k * k.
+def _verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have similarity ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(batch.column(2), batch.column(3))
+            get = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+            good = [_similar(get(x), get(y), least) for x, y in sets]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    left = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+    right = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+    size = lambda g: F.octet_length(g)
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
+    near = both.filter(F.least(size("ga"), size("gb")) >= (least - 1e-9) * F.greatest(size("ga"), size("gb")))
+    return cut_lineage(near.mapInArrow(run, "a long, b long"))
+
+
+ROUNDS = 2
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _placed(table: DataFrame, links: DataFrame) -> DataFrame:
+    """``table`` with the component of its nodes, without the keys all of whose nodes are in one component."""
+    groups = connected_components(links).withColumnRenamed("component", "c")
+    placed = table.join(groups, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    mixed_up = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y")
+    return cut_lineage(placed.join(mixed_up.select("key"), "key", "left_semi"))
+
+
+def _set_links(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): links of similarity ``least`` or more that connect all that such links connect.
+
+    All pairs with a common key would be too many in a group of copies. So first, in rounds, each
+    set is held against one other set it has a key in common with, and keys within one component
+    are done. All that is then left of a key in different components is compared, pair by pair.
     """
-    share = math.acos(2 * least / (1 + least)) / math.pi
-    most = round(share * WIDE_SEGMENTS * WIDE_BITS)
-    prints = cut_lineage(
-        wide_fingerprints(docs.filter("doc_id is not null"), words).withColumn("node", F.xxhash64("fp"))
-    )
-    nodes = cut_lineage(
-        prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
-    )
-    slot = lambda t, k: (t.cast("long") * F.lit(1 << WIDE_BITS) + k).alias("k")
-    split = nodes.select("node", F.posexplode("fp").alias("t", "k"))
-    table = split.groupBy(slot(F.col("t"), F.col("k"))).agg(
-        F.min("node").alias("low"), F.max("node").alias("high")
-    )
-    ball = F.array(
-        F.lit(0),
-        *[F.when(F.col("k").bitwiseAND(F.lit(1 << i)) != 0, F.lit(1 << i)) for i in range(WIDE_BITS)],
-    )
-    asked = (
-        split.select("node", "t", "k", F.explode(ball).alias("flip"))
-        .filter("flip is not null")
-        .select("node", slot(F.col("t"), F.col("k").bitwiseXOR(F.col("flip"))))
-    )
-    pairs = (
-        asked.join(table, "k")
-        .select("node", F.explode(F.array("low", "high")).alias("other"))
-        .filter("node <> other")
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
-    )
-    left = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    apart = F.aggregate(
-        F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
-    )
-    links = cut_lineage(
-        pairs.join(left, "a").join(right, "b").filter(apart <= most).select("a", "b")
-    )
-    groups = connected_components(links)
-    placed = nodes.select("node", "least").join(groups, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
+    one_key = Window.partitionBy("key")
+    entries = _entries(docs, words, least)
+    ends = entries.withColumn("low", F.min("node").over(one_key)).withColumn("high", F.max("node").over(one_key))
+    table = cut_lineage(ends.filter("low <> high").select("key", "node"))
+    wanted = table.select("node").distinct()
+    grams = _gram_table(docs, words).join(wanted, "node", "left_semi")
+    grams = cut_lineage(grams.groupBy("node").agg(F.first("grams").alias("grams")))
+    table = cut_lineage(table.distinct().withColumn("c", F.col("node")))
+    links = tried = None
+    for i in range(ROUNDS):
+        rank = F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node").alias("hub"), F.col("c").alias("hc"))
+        hubs = table.groupBy("key").agg(F.min(rank).alias("r"))
+        asked = table.join(hubs, "key").filter("c <> r.hc").groupBy("node").agg(F.min("r").alias("r"))
+        pairs = cut_lineage(asked.select(*_ordered("node", "r.hub")).distinct())
+        found = _verified(pairs, grams, least)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else cut_lineage(links.unionByName(found).distinct())
+        table = _placed(table.select("key", "node"), links)
+    sizes = table.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"))
+    rest = table.join(main, "key").filter("c <> m.c").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
+    cross = rest.join(table, "key").filter("c <> cx").select(*_ordered("x", "node")).distinct()
+    found = _verified(cross.join(tried, ["a", "b"], "left_anti"), grams, least)
+    return cut_lineage(links.unionByName(found).distinct())
+
+
+def _similar_rows(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(doc_id, text_key, component_id) of the rows that have an id."""
+    named = docs.filter("doc_id is not null")
+    prints = cut_lineage(_sets(named, words))
+    groups = connected_components(_set_links(named, words, least))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    placed = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     answer = placed.join(low, "component").select("node", "component_id")
-    return prints.select("doc_id", "node").join(answer, "node").select("doc_id", "component_id")
+    return prints.join(answer, "node").select("doc_id", "text_key", "component_id")
+
+
+def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of rows linked by a Jaccard similarity of ``least`` or more.
+
+    Similarity is that of the sets of shingles of ``words`` words, exactly; every such pair is
+    linked, directly or over others (see _keys and _set_links). Texts without words are equal.
+    """
+    return _similar_rows(docs, words, least).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

@@ -213,6 +213,40 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept.columns == docs.columns and got[0] == 1 and got[None] == 1 and got[500] == 1 and got[501] == 0
 
 
+def linked_by_all_pairs(texts, least=0.8):
+    """The smallest number each text reaches over pairs of similarity ``least`` or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    reach = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                low, high = sorted((reach[a], reach[b]))
+                reach = [low if r == high else r for r in reach]
+    return reach
+
+
+def test_near_copies_are_found_beside_many_texts_with_a_shared_passage(spark):
+    shared, texts = words(7, 300, 5000), []
+    for i in range(150):
+        text = shared + words(500 + i, 60, 5000)
+        texts.append(" ".join(text))
+        if i % 3 == 0:
+            text[100] = text[200] = "changed"
+            texts.append(" ".join(text[:330]))
+    base = words(9, 200, 5000)
+    for i in range(40):
+        text = list(base)
+        for at in np.random.default_rng(i).integers(0, 200, 4):
+            text[at] = f"own{i}"
+        texts.append(" ".join(text))
+    rng = np.random.default_rng(3)
+    for i in range(80):
+        texts.append(" ".join(words(int(rng.integers(0, 20)), int(rng.integers(1, 14)), 3)))
+    docs = frame(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r["component_id"] for r in similar_components(docs).collect()}
+    assert got == dict(enumerate(linked_by_all_pairs(texts)))
+
+
 # --- top k
 
 
