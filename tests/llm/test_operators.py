@@ -247,6 +247,24 @@ def test_near_copies_are_found_beside_many_texts_with_a_shared_passage(spark):
     assert got == dict(enumerate(linked_by_all_pairs(texts)))
 
 
+@pytest.fixture(scope="module")
+def bands():
+    """Pairs of 300 shingles each, (300 - k) / (300 + k) alike, 30 for each k."""
+    rows = []
+    for k in (24, 30, 33, 34, 36, 43):
+        for i in range(30):
+            text = words(1000 * k + i, 304, 50000)
+            rows.append((len(rows), " ".join(text)))
+            rows.append((len(rows), " ".join(text[:-k] + [f"new{k}x{i}x{j}" for j in range(k)])))
+    return rows
+
+
+def test_similarity_decides_exactly_in_every_band(spark, bands):
+    got = {r["doc_id"]: r["component_id"] for r in similar_components(frame(spark, bands)).collect()}
+    linked = Counter((300 - k, got[2 * n + 1] == 2 * n) for n, k in enumerate(k for k in (24, 30, 33, 34, 36, 43) for _ in range(30)))
+    assert linked == {(276, True): 30, (270, True): 30, (267, True): 30, (266, False): 30, (264, False): 30, (257, False): 30}
+
+
 # --- top k
 
 
