@@ -171,7 +171,7 @@ def _keys(grams: np.ndarray, least: float) -> np.ndarray:
     for c in range(max(0, own - 1), own + 1):
         apart = int((first[c + 1] - 1) * (1 - least) / least + 1e-9)
         parts = apart + 1 + apart // 8
-        salt = np.uint64(c + 1) * BASE
+        salt = np.uint64((c + 1) * int(BASE) % 2**64)
         part = mixed(grams + salt) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         part = part[order]
@@ -192,23 +192,26 @@ def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return common >= least * (len(a) + len(b) - common) - 1e-9
 
 
+def _text_key() -> Column:
+    """Tells texts with the same doc_id apart; null is as empty."""
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, text_key, node) of every row: equal nodes are equal sets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             view = data.tobytes()
-            texts = [view[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            keys = [xxhash.xxh3_128_hexdigest(t) for t in texts]
-            nodes = [_node(_grams(t, words)) for t in texts]
+            nodes = [_node(_grams(view[a:b], words)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.string()), pa.array(nodes, pa.int64())],
-                ["doc_id", "text_key", "node"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64())], ["doc_id", "text_key", "node"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_key string, node long")
+    keyed = docs.select("doc_id", _text_key().alias("text_key"), "text")
+    return keyed.mapInArrow(run, f"doc_id {kind}, text_key string, node long")
 
 
 def _entries(docs: DataFrame, words: int, least: float) -> DataFrame:
@@ -293,7 +296,7 @@ def _set_links(docs: DataFrame, words: int, least: float) -> DataFrame:
     entries = _entries(docs, words, least)
     ends = entries.withColumn("low", F.min("node").over(one_key)).withColumn("high", F.max("node").over(one_key))
     table = cut_lineage(ends.filter("low <> high").select("key", "node"))
-    wanted = table.select("node").distinct()
+    wanted = cut_lineage(table.select("node").distinct())
     grams = _gram_table(docs, words).join(wanted, "node", "left_semi")
     grams = cut_lineage(grams.groupBy("node").agg(F.first("grams").alias("grams")))
     table = cut_lineage(table.distinct().withColumn("c", F.col("node")))
@@ -316,15 +319,15 @@ def _set_links(docs: DataFrame, words: int, least: float) -> DataFrame:
 
 
 def _similar_rows(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(doc_id, text_key, component_id) of the rows that have an id."""
+    """(doc_id, text_key, first) of the rows that have an id; first: the smallest (doc_id, text_key) of the component."""
     named = docs.filter("doc_id is not null")
     prints = cut_lineage(_sets(named, words))
     groups = connected_components(_set_links(named, words, least))
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
     placed = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    low = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = placed.join(low, "component").select("node", "component_id")
-    return prints.join(answer, "node").select("doc_id", "text_key", "component_id")
+    low = placed.groupBy("component").agg(F.min("least").alias("first"))
+    answer = placed.join(low, "component").select("node", "first")
+    return prints.join(answer, "node").select("doc_id", "text_key", "first")
 
 
 def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -333,7 +336,8 @@ def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> D
     Similarity is that of the sets of shingles of ``words`` words, exactly; every such pair is
     linked, directly or over others (see _keys and _set_links). Texts without words are equal.
     """
-    return _similar_rows(docs, words, least).select("doc_id", "component_id")
+    found = _similar_rows(docs, words, least)
+    return found.select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -341,12 +345,15 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
 
     Similarity is that of similar_components. One document stays per component, the smallest id;
     documents without words (null, empty, blank) are copies of each other. Rows without an id stay,
-    as they can't be named. Of repeated rows one stays. An empty table stays empty.
+    as they can't be named. Of repeated rows (id and text) one stays; different texts with the same
+    id are documents of their own. An empty table stays empty.
     """
-    ids = similar_components(docs, words, least)
-    gone = ids.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    again = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(again, "doc_id", "left_anti")
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    ids = cut_lineage(_similar_rows(docs, words, least).withColumnRenamed("text_key", "_text_key"))
+    row = ["doc_id", "_text_key"]
+    gone = ids.filter("doc_id <> first.doc_id or _text_key <> first.text_key").select(*row).distinct()
+    again = ids.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*row)
+    gone, again = cut_lineage(gone), cut_lineage(again)
+    kept = docs.withColumn("_text_key", _text_key()).join(gone, row, "left_anti")
+    once = kept.join(again, row, "left_anti")
+    repeated = kept.join(again, row, "left_semi").dropDuplicates(row)
+    return once.unionByName(repeated).select(*docs.columns)

@@ -265,6 +265,13 @@ def test_similarity_decides_exactly_in_every_band(spark, bands):
     assert linked == {(276, True): 30, (270, True): 30, (267, True): 30, (266, False): 30, (264, False): 30, (257, False): 30}
 
 
+def test_different_texts_of_one_id_are_told_apart(spark):
+    copied, alone, other = (" ".join(words(i, 40, 5000)) for i in (1, 2, 3))
+    rows = [(1, copied), (2, copied), (2, alone), (3, other), (3, alone + " end"), (3, other)]
+    got = Counter(tuple(r) for r in keep_one(frame(spark, rows)).collect())
+    assert got == Counter([(1, copied), (2, alone), (3, other)])
+
+
 # --- top k
 
 
