@@ -17,7 +17,7 @@ from buildlens.llm.bytesops import pieces, shingle_hashes, utf8, word_hashes
 SHINGLE = 5
 CHUNK = 1 << 21
 BLOCKS, BLOCK_BITS = 4, 16
-RADIUS = 19
+RADIUS = 24
 FILTER_BITS = 20
 
 

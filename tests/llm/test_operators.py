@@ -396,6 +396,12 @@ def test_windows_equal_plain_python(spark):
     assert find_contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_shipped_radius_finds_a_window_of_least_similarity(spark):
+    item = words(6837, 22, 5000)  # 21 bits from the text below: 16 of 20 shingles are the same
+    docs, bench = frame(spark, [(1, " ".join(item[:-2] + ["new", "end"]))]), frame(spark, [(1, " ".join(item))], "item_id long, text string")
+    assert [(r["doc_id"], r["similarity"]) for r in find_contamination(docs, bench).collect()] == [(1, 0.8)]
+
+
 def test_lookup_finds_every_item_within_the_radius():
     index = contamination.Index(list(range(300)), [" ".join(words(i, 12)) for i in range(300)], 11)
     entry = index.lengths[12]
