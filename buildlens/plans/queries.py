@@ -332,10 +332,7 @@ def artifact_formats(spark, sf):
 
 
 def _stock_issues(spark, sf):
-    runs = ci.runs_stock(spark, sf)
-    return tagging.run_name_issues(runs, catalog.STOCK_TAGS).unionByName(
-        tagging.console_issues(runs, catalog.STOCK_TAGS)
-    )
+    return tagging.all_issues(ci.runs_stock(spark, sf), ci.artifacts_a(spark, sf), catalog.STOCK_TAGS)
 
 
 @query

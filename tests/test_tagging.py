@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from buildlens.catalog import STOCK_TAGS, Tag, check_tags, fingerprint, fingerprint_df, number_tags, tags_df
 from buildlens.functions.text import byte_slice
 from buildlens.operators import tagging
+from buildlens.plans import queries
 from buildlens.schemas import RUNS
 
 TAP = """not ok 12 - sorted list keeps order
@@ -157,3 +158,14 @@ def test_broken_utf8_artifacts_are_skipped(spark):
     rows = [(1, "x", bytearray(b"aa\xff"), 1), (2, "x", bytearray(b"aaa"), 1)]
     artifacts = spark.createDataFrame(rows, "artifact_id long, path string, contents binary, run_id long")
     assert [(r.artifact_id, r.snippet) for r in tagging.artifact_issues(artifacts, tags).collect()] == [(2, "aaa")]
+
+
+def test_stock_issues_hold_those_of_artifacts(spark, monkeypatch):
+    texts = ["a.c:3: warning: unused x", "not ok 4 - sum\n  got 1\n"]
+    rows = spark.createDataFrame([(i, 1, bytearray(t, "utf-8")) for i, t in enumerate(texts)], "artifact_id long, run_id long, contents binary")
+    runs = spark.createDataFrame([(1, "run", None, None)], "run_id long, display_name string, log string, tag_schema string")
+    monkeypatch.setattr(queries.ci, "runs_stock", lambda *_: runs)
+    monkeypatch.setattr(queries.ci, "artifacts_a", lambda *_: rows)
+    names = {t.tag_id: t.name for t in STOCK_TAGS}
+    got = {names[r["tag_id"]] for r in queries.stock_issues(spark, "").collect()}
+    assert got == {"cc_warn", "tap_failure"}
