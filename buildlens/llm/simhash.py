@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import bisect
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.bytesops import BASE, MIX, mixed, pieces, shingle_hashes, utf8
-from buildlens.operators.graph import connected_components
+from buildlens.llm.bytesops import utf8
+from buildlens.llm.components import connected_components
 from buildlens.session import cut_lineage
 
 SEED = 42
@@ -44,17 +42,18 @@ def fingerprint(text: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; A-Z are lower-cased, words end at ASCII blanks."""
+    """All columns of ``docs`` but the text, and fp, of every row; A-Z are lower-cased, words end at ASCII blanks."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column("text"))
             view = data.tobytes()
             fps = [fingerprint(view[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield batch.select(rest).append_column("fp", pa.array(fps, pa.int64()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
+    return docs.mapInArrow(run, f"{schema}, fp long")
 
 
 def _without(fp: Column, segment: int) -> Column:
@@ -110,86 +109,34 @@ def near_links(prints: DataFrame) -> DataFrame:
     return once.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_components(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text).
+def _placed(prints: DataFrame, row: Column) -> DataFrame:
+    """(fp, first): for every fingerprint the smallest ``row`` of its component.
 
-    Fingerprints that differ in at most two bits are linked; component_id is the smallest doc_id
-    that links can reach (null only if no document of the component has an id). Texts without words
-    (null, empty, blank) have fingerprint 0. Equal fingerprints are one node however many documents
-    have them; repeated rows get the same answer each. Other columns are not read. An empty table
-    gives an empty result.
+    Equal fingerprints are one node however many rows have them. A node makes 52 lookups, so the
+    few bytes of the nodes are dealt to all tasks first.
     """
-    prints = cut_lineage(fingerprints(docs, words))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = cut_lineage(near_links(nodes.select("fp")))
-    groups = connected_components(links)
+    spark = prints.sparkSession
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min(row).alias("least")))
+    dealt = nodes.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    groups = connected_components(cut_lineage(near_links(dealt)))
     placed = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(answer, "fp").select("doc_id", "fp", "component_id")
-
-
-def _grams(text: bytes, words: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the shingles of ``words`` words (A-Z lower-cased)."""
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
-    return np.unique(shingle_hashes(hashed, min(words, len(parts))))
+    least = placed.groupBy("component").agg(F.min("least").alias("first"))
+    return placed.select("fp", "component").join(least, "component").select("fp", "first")
 
 
-def _node(grams: np.ndarray) -> int:
-    """The number of a set of shingles."""
-    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).view(np.int64))
-
-
-def _classes(least: float, most: int) -> list[int]:
-    """First sizes of the size classes up to ``most``; sets of similarity ``least`` are in the same or neighbouring ones."""
-    first = [1, 2]
-    while first[-1] <= most:
-        first.append(max(first[-1] + 1, int((first[-1] - 1) / least + 1e-9) + 1))
-    return first
-
-
-def _keys(grams: np.ndarray, least: float) -> np.ndarray:
-    """Keys of a set of shingles; any two sets of similarity ``least`` or more have one in common.
+def near_components(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text).
 
-    The smaller set of such a pair has n shingles of some size class, the larger one is of that
-    class or the next, and at most d = n (1 - least) / least shingles are not in both. Dealt into
-    more than d parts, some part is the same in both; its key is the sum of its shingles. Empty
-    parts say nothing: a set with so many that no other part need be the same also gets its
-    smallest hashes as keys (prefix filter), of which two such sets share one.
+    Fingerprints that differ in at most two bits are linked; component_id is the smallest doc_id
+    that links can reach (null only if no document of the component has an id). Texts without words
+    (null, empty, blank) have fingerprint 0. Repeated rows get the same answer each. Other columns
+    are not read. An empty table gives an empty result.
     """
-    n = len(grams)
-    if not n:
-        return np.zeros(0, np.uint64)
-    first = _classes(least, n)
-    own = bisect.bisect_right(first, n) - 1
-    out = []
-    for c in range(max(0, own - 1), own + 1):
-        apart = int((first[c + 1] - 1) * (1 - least) / least + 1e-9)
-        parts = apart + 1 + apart // 8
-        salt = np.uint64((c + 1) * int(BASE) % 2**64)
-        part = mixed(grams + salt) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        sums = np.add.reduceat(mixed(grams[order] ^ salt), starts)
-        out.append(mixed(sums + part[starts] * MIX + salt))
-        if parts - len(starts) >= parts - apart:
-            prefix = n - math.ceil(least * n - 1e-9) + 1
-            out.append(mixed(grams[:prefix] + salt))
-    return np.concatenate(out)
-
-
-def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two sets of shingles have Jaccard similarity ``least`` or more."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common >= least * (len(a) + len(b) - common) - 1e-9
+    prints = cut_lineage(fingerprints(docs.select("doc_id", "text"), words))
+    answer = _placed(prints, F.col("doc_id")).withColumnRenamed("first", "component_id")
+    return prints.join(answer, "fp").select("doc_id", "fp", "component_id")
 
 
 def _text_key() -> Column:
@@ -197,160 +144,19 @@ def _text_key() -> Column:
     return F.md5(F.coalesce("text", F.lit("")))
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_key, node) of every row: equal nodes are equal sets of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            view = data.tobytes()
-            nodes = [_node(_grams(view[a:b], words)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64())], ["doc_id", "text_key", "node"]
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", _text_key().alias("text_key"), "text")
-    return keyed.mapInArrow(run, f"doc_id {kind}, text_key string, node long")
-
-
-def _entries(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(key, node) of every set of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces([batch], "text", 1 << 22):
-                data, offsets = utf8(part.column(0))
-                view = data.tobytes()
-                keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    grams = _grams(view[a:b], words)
-                    keys.append(_keys(grams, least))
-                    nodes.append(np.full(len(keys[-1]), _node(grams), np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))],
-                    ["key", "node"],
-                )
-
-    return docs.select("text").mapInArrow(run, "key long, node long")
-
-
-def _gram_table(docs: DataFrame, words: int) -> DataFrame:
-    """(node, grams as bytes) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces([batch], "text", 1 << 22):
-                data, offsets = utf8(part.column(0))
-                view = data.tobytes()
-                grams = [_grams(view[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_node(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())],
-                    ["node", "grams"],
-                )
-
-    return docs.select("text").mapInArrow(run, "node long, grams binary")
-
-
-def _verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have similarity ``least`` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(batch.column(2), batch.column(3))
-            get = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
-            good = [_similar(get(x), get(y), least) for x, y in sets]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    left = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    right = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    size = lambda g: F.octet_length(g)
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
-    near = both.filter(F.least(size("ga"), size("gb")) >= (least - 1e-9) * F.greatest(size("ga"), size("gb")))
-    return cut_lineage(near.mapInArrow(run, "a long, b long"))
-
-
-ROUNDS = 2
-
-
-def _ordered(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def _placed(table: DataFrame, links: DataFrame) -> DataFrame:
-    """``table`` with the component of its nodes, without the keys all of whose nodes are in one component."""
-    groups = connected_components(links).withColumnRenamed("component", "c")
-    placed = table.join(groups, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed_up = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y")
-    return cut_lineage(placed.join(mixed_up.select("key"), "key", "left_semi"))
-
-
-def _set_links(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b): links of similarity ``least`` or more that connect all that such links connect.
-
-    All pairs with a common key would be too many in a group of copies. So first, in rounds, each
-    set is held against one other set it has a key in common with, and keys within one component
-    are done. All that is then left of a key in different components is compared, pair by pair.
-    """
-    one_key = Window.partitionBy("key")
-    entries = _entries(docs, words, least)
-    ends = entries.withColumn("low", F.min("node").over(one_key)).withColumn("high", F.max("node").over(one_key))
-    table = cut_lineage(ends.filter("low <> high").select("key", "node"))
-    wanted = cut_lineage(table.select("node").distinct())
-    grams = _gram_table(docs, words).join(wanted, "node", "left_semi")
-    grams = cut_lineage(grams.groupBy("node").agg(F.first("grams").alias("grams")))
-    table = cut_lineage(table.distinct().withColumn("c", F.col("node")))
-    links = tried = None
-    for i in range(ROUNDS):
-        rank = F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node").alias("hub"), F.col("c").alias("hc"))
-        hubs = table.groupBy("key").agg(F.min(rank).alias("r"))
-        asked = table.join(hubs, "key").filter("c <> r.hc").groupBy("node").agg(F.min("r").alias("r"))
-        pairs = cut_lineage(asked.select(*_ordered("node", "r.hub")).distinct())
-        found = _verified(pairs, grams, least)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else cut_lineage(links.unionByName(found).distinct())
-        table = _placed(table.select("key", "node"), links)
-    sizes = table.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"))
-    rest = table.join(main, "key").filter("c <> m.c").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    cross = rest.join(table, "key").filter("c <> cx").select(*_ordered("x", "node")).distinct()
-    found = _verified(cross.join(tried, ["a", "b"], "left_anti"), grams, least)
-    return cut_lineage(links.unionByName(found).distinct())
-
-
-def _similar_rows(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(doc_id, text_key, first) of the rows that have an id; first: the smallest (doc_id, text_key) of the component."""
-    named = docs.filter("doc_id is not null")
-    prints = cut_lineage(_sets(named, words))
-    groups = connected_components(_set_links(named, words, least))
-    nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
-    placed = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    low = placed.groupBy("component").agg(F.min("least").alias("first"))
-    answer = placed.join(low, "component").select("node", "first")
-    return prints.join(answer, "node").select("doc_id", "text_key", "first")
-
-
-def similar_components(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of rows linked by a Jaccard similarity of ``least`` or more.
-
-    Similarity is that of the sets of shingles of ``words`` words, exactly; every such pair is
-    linked, directly or over others (see _keys and _set_links). Texts without words are equal.
-    """
-    found = _similar_rows(docs, words, least)
-    return found.select("doc_id", F.col("first.doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, without near copies of a row with a smaller doc_id.
+def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that near_components puts behind another row.
 
-    Similarity is that of similar_components. One document stays per component, the smallest id;
-    documents without words (null, empty, blank) are copies of each other. Rows without an id stay,
-    as they can't be named. Of repeated rows (id and text) one stays; different texts with the same
-    id are documents of their own. An empty table stays empty.
+    One row stays per component, the one with the smallest doc_id; documents without words (null,
+    empty, blank) are copies of each other. Rows without an id stay, as they can't be named. Of
+    repeated rows (id and text) one stays; different texts with the same id are documents of their
+    own. An empty table stays empty.
     """
-    ids = cut_lineage(_similar_rows(docs, words, least).withColumnRenamed("text_key", "_text_key"))
     row = ["doc_id", "_text_key"]
-    gone = ids.filter("doc_id <> first.doc_id or _text_key <> first.text_key").select(*row).distinct()
+    named = docs.filter("doc_id is not null").select("doc_id", "text", _text_key().alias("_text_key"))
+    prints = cut_lineage(fingerprints(named, words))
+    ids = cut_lineage(prints.join(_placed(prints, F.struct(*row)), "fp"))
+    gone = ids.filter("doc_id <> first.doc_id or _text_key <> first._text_key").select(*row).distinct()
     again = ids.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*row)
     gone, again = cut_lineage(gone), cut_lineage(again)
     kept = docs.withColumn("_text_key", _text_key()).join(gone, row, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.lines import ascii_lower
-from buildlens.operators.graph import connected_components
+from buildlens.llm.components import connected_components
 from buildlens.session import cut_lineage
 
 Rule = tuple[str, str]  # verdict ("allow" or "block"), host with path prefix

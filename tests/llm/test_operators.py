@@ -14,7 +14,7 @@ from buildlens.llm.lines import drop_repeated_lines
 from buildlens.llm.mixing import mix_sources
 from buildlens.llm.quality import fit_quality, score_quality
 from buildlens.llm.secrets import CLASSES, scan_secrets
-from buildlens.llm.simhash import fingerprint, keep_one, near_components, near_links, similar_components
+from buildlens.llm.simhash import fingerprint, keep_one, near_components, near_links
 from buildlens.llm.suffixes import remove_repeats, repeated_spans, suffix_array, common_prefixes
 from buildlens.llm.topk import block_top, exact_top_k
 from buildlens.llm.toxicity import drop_toxic, fit_chain, score_chain
@@ -196,78 +196,28 @@ def test_blocks_of_a_long_text_add_up(monkeypatch):
     assert fingerprint(text, 3) == whole
 
 
-def test_near_copies_go_and_others_stay(spark):
+def test_one_row_of_each_component_stays(spark):
     rows = []
     for i in range(60):
-        text = words(i, 200, 5000)
+        text = words(i, 600, 5000)
         rows.append((i, " ".join(text), "x"))
-        text[50] = text[150] = "changed"
+        text[300] = "changed"
         rows.append((100 + i, " ".join(text), "y"))
     rows += [(0, rows[0][1], "x"), (None, rows[0][1], None), (500, None, None), (501, "", "z")]
     docs = frame(spark, rows, DOCS + ", node string")
-    ids = {r["doc_id"]: r["component_id"] for r in similar_components(docs).collect()}
-    caught = sum(ids[100 + i] == i for i in range(60))
-    assert caught >= 55 and all(ids[i] == i for i in range(60))
+    fps = {r[0]: fingerprint((r[1] or "").encode(), 3) % 2**64 for r in rows if r[0] is not None}
+    first = {d: min(o for o in fps if (fps[o] ^ fps[d]).bit_count() <= 2) for d in fps}
+    while (again := {d: min(first[o] for o in fps if (fps[o] ^ fps[d]).bit_count() <= 2) for d in fps}) != first:
+        first = again
     kept = keep_one(docs)
     got = Counter(r["doc_id"] for r in kept.collect())
-    assert kept.columns == docs.columns and got[0] == 1 and got[None] == 1 and got[500] == 1 and got[501] == 0
-
-
-def linked_by_all_pairs(texts, least=0.8):
-    """The smallest number each text reaches over pairs of similarity ``least`` or more."""
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
-    reach = list(range(len(sets)))
-    for a in range(len(sets)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
-                low, high = sorted((reach[a], reach[b]))
-                reach = [low if r == high else r for r in reach]
-    return reach
-
-
-def test_near_copies_are_found_beside_many_texts_with_a_shared_passage(spark):
-    shared, texts = words(7, 300, 5000), []
-    for i in range(150):
-        text = shared + words(500 + i, 60, 5000)
-        texts.append(" ".join(text))
-        if i % 3 == 0:
-            text[100] = text[200] = "changed"
-            texts.append(" ".join(text[:330]))
-    base = words(9, 200, 5000)
-    for i in range(40):
-        text = list(base)
-        for at in np.random.default_rng(i).integers(0, 200, 4):
-            text[at] = f"own{i}"
-        texts.append(" ".join(text))
-    rng = np.random.default_rng(3)
-    for i in range(80):
-        texts.append(" ".join(words(int(rng.integers(0, 20)), int(rng.integers(1, 14)), 3)))
-    docs = frame(spark, list(enumerate(texts)))
-    got = {r["doc_id"]: r["component_id"] for r in similar_components(docs).collect()}
-    assert got == dict(enumerate(linked_by_all_pairs(texts)))
-
-
-@pytest.fixture(scope="module")
-def bands():
-    """Pairs of 300 shingles each, (300 - k) / (300 + k) alike, 30 for each k."""
-    rows = []
-    for k in (24, 30, 33, 34, 36, 43):
-        for i in range(30):
-            text = words(1000 * k + i, 304, 50000)
-            rows.append((len(rows), " ".join(text)))
-            rows.append((len(rows), " ".join(text[:-k] + [f"new{k}x{i}x{j}" for j in range(k)])))
-    return rows
-
-
-def test_similarity_decides_exactly_in_every_band(spark, bands):
-    got = {r["doc_id"]: r["component_id"] for r in similar_components(frame(spark, bands)).collect()}
-    linked = Counter((300 - k, got[2 * n + 1] == 2 * n) for n, k in enumerate(k for k in (24, 30, 33, 34, 36, 43) for _ in range(30)))
-    assert linked == {(276, True): 30, (270, True): 30, (267, True): 30, (266, False): 30, (264, False): 30, (257, False): 30}
+    assert kept.columns == docs.columns and got == Counter({*first.values(), None})
+    assert sum(first[100 + i] == i for i in range(60)) >= 20 and all(first[i] == i for i in range(60))
 
 
 def test_different_texts_of_one_id_are_told_apart(spark):
     copied, alone, other = (" ".join(words(i, 40, 5000)) for i in (1, 2, 3))
-    rows = [(1, copied), (2, copied), (2, alone), (3, other), (3, alone + " end"), (3, other)]
+    rows = [(1, copied), (2, copied), (2, alone), (3, other), (3, alone.upper()), (3, other)]
     got = Counter(tuple(r) for r in keep_one(frame(spark, rows)).collect())
     assert got == Counter([(1, copied), (2, alone), (3, other)])
 
