@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.llm.contamination import find_contamination
+from buildlens.llm.languages import fit_languages, predict_languages
 from buildlens.llm.lines import drop_repeated_lines
+from buildlens.llm.merkle import fold, leaf_digest, merkle_proofs
 from buildlens.llm.mixing import mix_sources
 from buildlens.llm.quality import fit_quality, score_quality
+from buildlens.llm.resampling import resample
 from buildlens.llm.secrets import BASE_KINDS, scan_secrets
 from buildlens.llm.simhash import near_components
 from buildlens.llm.suffixes import remove_repeats
@@ -120,6 +123,40 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    said = predict_languages(docs, fit_languages(docs.filter(~held_out)))
+    return said.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+ROW = ("doc_id", "source", "lang", "n_chars", "text")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampered rows are hashed beside the originals, so that texts are read once and never move."""
+    docs = read_table(spark, sf_dir, "documents").select(*ROW)
+    changed = [F.translate(c, UPPER, LOWER) if c == "text" else F.col(c) for c in ROW]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    proofs = merkle_proofs(
+        docs,
+        tree=F.col("source"),
+        leaf=leaf_digest([F.col(c) for c in ROW]),
+        order=[F.col("doc_id")],
+        keep={"doc_id": F.col("doc_id"), "changed": F.when(tampered, leaf_digest(changed))},
+    )
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["before"], s["after"])), "")
+    now = F.coalesce(F.lower(F.hex("changed")), F.col("leaf"))
+    checked = proofs.withColumns({"proof_sha256": F.sha2(siblings, 256), "folded_root": fold(now, F.col("path"))})
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
+
+
 QUERIES = {
     "op1_redirect_url_filter": op1_redirect_url_filter,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -131,4 +168,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_compression_quality": op10_compression_quality,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_language_filters": op12_language_filters,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
