@@ -153,13 +153,10 @@ def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     own. An empty table stays empty.
     """
     row = ["doc_id", "_text_key"]
-    named = docs.filter("doc_id is not null").select("doc_id", "text", _text_key().alias("_text_key"))
-    prints = cut_lineage(fingerprints(named, words))
-    ids = cut_lineage(prints.join(_placed(prints, F.struct(*row)), "fp"))
-    gone = ids.filter("doc_id <> first.doc_id or _text_key <> first._text_key").select(*row).distinct()
-    again = ids.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*row)
-    gone, again = cut_lineage(gone), cut_lineage(again)
-    kept = docs.withColumn("_text_key", _text_key()).join(gone, row, "left_anti")
-    once = kept.join(again, row, "left_anti")
-    repeated = kept.join(again, row, "left_semi").dropDuplicates(row)
-    return once.unionByName(repeated).select(*docs.columns)
+    named = docs.filter("doc_id is not null").withColumn("_text_key", _text_key())
+    prints = cut_lineage(fingerprints(named.select(*row, "text"), words))
+    placed = prints.join(_placed(prints, F.struct(*row)), "fp")
+    gone = placed.filter("doc_id <> first.doc_id or _text_key <> first._text_key").select(*row).distinct()
+    # The texts move once, by their row, for both: what is joined here is dealt as the next step needs it.
+    kept = named.join(cut_lineage(gone), row, "left_anti").dropDuplicates(row)
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
