@@ -11,7 +11,7 @@ from buildlens.catalog import Config, check_tags, fingerprint, tags_df
 from buildlens.functions.ids import assign_ids
 from buildlens.operators import artifacts as art, ingest, similarity, store as st, tagging
 from buildlens.session import cut_lineage
-from buildlens.sources.tables import alive, append, appended, publish, published, run_state
+from buildlens.sources.tables import APPENDED, alive, append, appended, publish, published, run_state
 
 Store = dict[str, DataFrame]
 
@@ -65,7 +65,7 @@ def take_in(
     keyed = wanted.withColumn("key", F.concat_ws("/", "url", "path"))
     top = store["artifacts"].agg(F.max("artifact_id"))
     append(assign_ids(keyed, "key", "artifact_id", after=top), root, "artifacts", night)
-    added = added.withColumn("tag_schema", F.lit(None).cast("string"))
+    added = added.withColumns({"tag_schema": F.lit(None).cast("string"), "tagged": F.lit(None).cast("long")})
     return {**store, "runs": store["runs"].unionByName(added)}
 
 
@@ -78,10 +78,11 @@ def nightly(
     root: str,
     night: int,
 ) -> Store:
-    """One night: new runs and artifacts are appended under ``root``, changed tables written, then published.
+    """One night: new runs, artifacts and issues are appended under ``root``, changed tables written, then published.
 
-    ``store`` is the store of the night before, or an empty one. Runs are tagged once per catalog;
-    without a run to tag nothing is purged by retention, and unless the blocklist took runs, issues and
+    ``store`` is the store of the night before, or an empty one. Runs are tagged once per catalog, and only
+    the issues found tonight are written; those of dead runs and of older catalogs are passed over by
+    readers. Without a run to tag nothing is purged by retention, and unless the blocklist took runs, the
     groups stay as they are stored.
     """
     spark = store["jobs"].sparkSession
@@ -94,25 +95,30 @@ def nightly(
     small = {name: store[name] for name in ("jobs", "builds", "tags")}
     todo = tagging.untagged_runs(store["runs"])
     if todo.isEmpty():
+        if first:
+            append(store["issues"], root, "issues", night)
         gone = before.join(store["runs"].select("run_id"), "run_id", "left_anti")
         if first or not gone.isEmpty():
-            small |= {name: store[name] for name in ("issues", "similarities")}
+            small["similarities"] = store["similarities"]
             small["run_state"] = run_state(store["runs"])
         return publish(spark, small, root, night)
 
     # The artifacts of the runs to tag, read from the nights of these runs only.
     texts = alive(appended(spark, root, "artifacts", F.col("night") <= night), todo).drop("night")
-    issues = cut_lineage(tagging.all_issues(store["runs"], texts, tags, store["issues"]))
-    store = {**store, "issues": issues, "runs": tagging.stamp(store["runs"], schema)}
+    append(tagging.all_issues(todo, texts, tags), root, "issues", night)
+    fresh = appended(spark, root, "issues", F.col("night") == night).select(*APPENDED["issues"].names)
+    done = store["runs"].filter("tag_schema is not null").select("run_id")
+    issues = store["issues"].join(done, "run_id", "left_semi").select(*fresh.columns).unionByName(fresh)
+    tagged = F.when(F.col("tag_schema").isNull(), F.lit(night).cast("long")).otherwise(F.col("tagged"))
+    runs = tagging.stamp(store["runs"].withColumn("tagged", tagged), schema)
     # Groups go before they are rebuilt, so the purge need not look at them.
-    store = st.purge_retention({**store, "similarities": store["similarities"].limit(0)})
-    kept = cut_lineage(store["issues"])
-    shown = tagging.not_metadata(kept, store["tags"])
+    store = {**store, "issues": issues, "runs": runs, "similarities": store["similarities"].limit(0)}
+    store = st.purge_retention(store)
+    shown = cut_lineage(tagging.not_metadata(store["issues"], store["tags"]).select("issue_id", "tag_id", "snippet"))
     changed = {
         "jobs": store["jobs"],
         "builds": store["builds"],
-        "tags": st.purge_orphan_tags(store["tags"], kept),
-        "issues": kept,
+        "tags": st.purge_orphan_tags(store["tags"], store["issues"]),
         "similarities": similarity.group_members(shown, config.threshold),
         "run_state": run_state(store["runs"]),
     }

@@ -54,6 +54,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_buckets(df: DataFrame, *keys: str) -> DataFrame:
+    """Write ``df`` to the shared folder in as many buckets of ``keys`` as shuffles have partitions.
+
+    Joins and aggregates by these keys bring the other side to the written rows, however often: a table
+    with long texts is shuffled once.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "buckets")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    dealt = df.repartition(parts, *keys).write.format("parquet").option("compression", "zstd").option("path", path)
+    dealt.bucketBy(parts, *keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,10 +1,11 @@
 """Reading tables, and a store that grows by what each night adds.
 
-Under the root of a store, ``runs`` and ``artifacts`` hold one folder per night that brought new ones;
-logs and contents are never written again. The other tables have a folder per night that changed
-them. Among these is ``run_state``: the runs that are alive, the night they came and the catalog they were
-tagged with. ``published`` holds, per night, which folder of each table belongs to it and is written
-last, so a night that fails half-way is not seen by readers and is simply repeated.
+Under the root of a store, ``runs``, ``artifacts`` and ``issues`` hold one folder per night that brought
+new ones; logs, contents and issues are never written again. The other tables have a folder per night
+that changed them. Among these is ``run_state``: the runs that are alive, the night they came, the catalog
+they were tagged with and the night of that. Readers merge: an issue counts if its run's state names the
+night it was written in. ``published`` holds, per night, which folder of each table belongs to it and is
+written last, so a night that fails half-way is not seen by readers and is simply repeated.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from pyspark.sql import types as T
 from buildlens.schemas import RUNS, TABLES
 
 NIGHT = T.StructField("night", T.LongType())
-STORED_RUNS = T.StructType([*RUNS.fields, NIGHT])
-RUN_STATE = T.StructType([RUNS["run_id"], NIGHT, RUNS["tag_schema"]])
+# The night in which a run was tagged, null while it is not.
+TAGGED = T.StructField("tagged", T.LongType())
+STORED_RUNS = T.StructType([*RUNS.fields, NIGHT, TAGGED])
+RUN_STATE = T.StructType([RUNS["run_id"], NIGHT, RUNS["tag_schema"], TAGGED])
 APPENDED = {
     "runs": T.StructType([f for f in RUNS.fields if f.name != "tag_schema"]),
     "artifacts": TABLES["artifacts"],
+    "issues": TABLES["issues"],
 }
 REPLACED = {**{n: s for n, s in TABLES.items() if n not in APPENDED}, "run_state": RUN_STATE}
 
@@ -57,6 +61,12 @@ def alive(rows: DataFrame, state: DataFrame) -> DataFrame:
     return rows.join(state.select("run_id", "night"), ["run_id", "night"], "left_semi")
 
 
+def live_issues(issues: DataFrame, state: DataFrame) -> DataFrame:
+    """Appended issues whose run is alive and was last tagged in the night that wrote them."""
+    tagged = state.filter("tag_schema is not null").select("run_id", F.col("tagged").alias("night"))
+    return issues.join(tagged, ["run_id", "night"], "left_semi").select(*APPENDED["issues"].names)
+
+
 def published(spark: SparkSession, root: str) -> DataFrame | None:
     """(night, name, version) of all nights, None before the first."""
     try:
@@ -110,6 +120,7 @@ def read_store(spark: SparkSession, root: str, night: int | None = None) -> dict
         **tables,
         "runs": runs.select(*STORED_RUNS.names),
         "artifacts": alive(appended(spark, root, "artifacts", till), state).drop("night"),
+        "issues": live_issues(appended(spark, root, "issues", till), state),
     }
 
 
@@ -118,5 +129,7 @@ def compact(spark: SparkSession, root: str, night: int) -> dict[str, DataFrame]:
     store = read_store(spark, root)
     append(store["runs"], root, "runs", night)
     append(store["artifacts"], root, "artifacts", night)
-    state = run_state(store["runs"]).withColumn("night", F.lit(night).cast("long"))
+    append(store["issues"], root, "issues", night)
+    now = F.lit(night).cast("long")
+    state = run_state(store["runs"]).withColumns({"night": now, "tagged": F.when(F.col("tagged").isNotNull(), now)})
     return publish(spark, {"run_state": state}, root, night)

@@ -1,7 +1,9 @@
 """Structured Streaming: ingest arriving snapshots, tag arriving runs and artifacts.
 
-Every batch reads what earlier batches wrote and overwrites only its own folder, so a batch that is
-run again after a failure leaves the same files.
+Every batch reads what earlier batches left and overwrites only its own folder, so a batch that is
+run again after a failure leaves the same files. What a batch must know of all earlier ones (jobs,
+builds, urls and ids seen) is a base table per COMPACT batches and the few batches since: the files it
+reads do not grow with the number of batches.
 """
 
 from __future__ import annotations
@@ -20,31 +22,62 @@ from buildlens.schemas import ARTIFACTS, BUILDS, ISSUES, JOBS, PAYLOAD, RUNS
 from buildlens.session import cut_lineage, scratch_path
 
 _URL = T.StructType([RUNS["url"]])
+_SEEN = T.StructType([RUNS["run_id"], RUNS["url"]])
 _ARTIFACT_ID = T.StructType([ARTIFACTS["artifact_id"]])
 
 
-def _earlier(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
-    """Rows that the batches before this one appended."""
-    return _batches(spark, path, schema, batch_id).drop("batch")
+COMPACT = 16
+BASE_FILES = 8
 
 
-def _batches(spark: SparkSession, path: str, schema, before: int | None) -> DataFrame:
-    """Appended rows with their batch."""
-    schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    if before == 0:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(path)
-    return rows if before is None else rows.filter(F.col("batch") < before)
+def _base(batch_id: int) -> int:
+    """How many batches the base covers that a batch reads."""
+    return batch_id - batch_id % COMPACT
 
 
-def _current(spark: SparkSession, path: str, schema, key: str, before: int | None = None) -> DataFrame:
-    """Of the changes that batches appended, the last one per id: the table as they left it."""
-    rest = F.struct(*[c for c in schema.names if c != key])
-    rows = _batches(spark, path, schema, before)
-    last = rows.groupBy(key).agg(F.max_by(rest, "batch").alias("row")).select(key, "row.*")
+def _earlier(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """Rows of the batches before this one: (columns of ``schema``, batch), those of the base with batch -1."""
+    base = _base(batch_id)
+    rows = spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("long"))
+    if base:
+        old = spark.read.schema(schema).parquet(f"{path}-base/upto={base}")
+        rows = rows.unionByName(old.withColumn("batch", F.lit(-1).cast("long")))
+    if base < batch_id:
+        typed = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        paths = [f"{path}/batch={i}" for i in range(base, batch_id)]
+        rows = rows.unionByName(spark.read.schema(typed).option("basePath", path).parquet(*paths))
+    return rows
+
+
+def _last(rows: DataFrame, schema: T.StructType, key: str) -> DataFrame:
+    """Of the changes that batches appended, the last one per key: the table as they left it."""
+    rest = [c for c in schema.names if c != key]
+    if not rest:
+        return rows.select(key).distinct()
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(key, "row.*")
     return last.select(*schema.names)
 
 
+def _compact(spark: SparkSession, path: str, schema: T.StructType, key: str, batch_id: int) -> None:
+    """After the last batch that a base covers, write it; a batch that is repeated writes the same."""
+    if (batch_id + 1) % COMPACT:
+        return
+    before = _earlier(spark, path, schema, batch_id)
+    own = spark.read.schema(schema).parquet(f"{path}/batch={batch_id}").withColumn("batch", F.lit(batch_id).cast("long"))
+    last = _last(before.unionByName(own), schema, key)
+    last.repartition(BASE_FILES, key).write.mode("overwrite").parquet(f"{path}-base/upto={batch_id + 1}")
+
+
+def _current(spark: SparkSession, path: str, schema: T.StructType, key: str, before: int) -> DataFrame:
+    return _last(_earlier(spark, path, schema, before), schema, key)
+
+
+def _every(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
+    """The table as all batches left it."""
+    typed = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return _last(spark.read.schema(typed).parquet(path), schema, key)
+
+
 def _append_changes(
     path: str, batch_id: int, old: DataFrame, change: DataFrame, key: str, apply: Callable
 ) -> None:
@@ -82,11 +115,13 @@ def ingest_batch(
         F.col("url").alias("build_url"), "build_id"
     )
 
-    stored = _earlier(spark, f"{root}/runs", RUNS, batch_id)
+    stored = _earlier(spark, f"{root}/runs", _SEEN, batch_id)
     fresh = ingest.new_runs(ingest.last_report(ingest.own_runs(listed), "url", "build_url"), stored)
     rows = ingest.run_rows(fresh, details).join(build_ids, "build_url")
     runs = assign_ids(rows, "url", "run_id", after=stored.agg(F.max("run_id")))
     runs.select(*RUNS.names).write.mode("overwrite").parquet(f"{root}/runs/batch={batch_id}")
+    for name, schema, key in (("jobs", JOBS, "job_id"), ("builds", BUILDS, "build_id"), ("runs", _SEEN, "run_id")):
+        _compact(spark, f"{root}/{name}", schema, key, batch_id)
 
 
 def stream_ingest(
@@ -122,6 +157,7 @@ def tag_batch(runs: DataFrame, batch_id: int, root: str, tags: list[Tag]) -> Non
     issues = tagging.run_name_issues(fresh, tags).unionByName(tagging.console_issues(fresh, tags))
     issues.write.mode("overwrite").parquet(f"{home}/issues/of=runs/batch={batch_id}")
     fresh.select("url").write.mode("overwrite").parquet(f"{home}/tagged/batch={batch_id}")
+    _compact(spark, f"{home}/tagged", _URL, "url", batch_id)
 
 
 def tag_artifact_batch(artifacts: DataFrame, batch_id: int, root: str, tags: list[Tag]) -> None:
@@ -133,6 +169,7 @@ def tag_artifact_batch(artifacts: DataFrame, batch_id: int, root: str, tags: lis
     issues = tagging.artifact_issues(fresh, tags)
     issues.write.mode("overwrite").parquet(f"{home}/issues/of=artifacts/batch={batch_id}")
     fresh.select("artifact_id").write.mode("overwrite").parquet(f"{home}/tagged_artifacts/batch={batch_id}")
+    _compact(spark, f"{home}/tagged_artifacts", _ARTIFACT_ID, "artifact_id", batch_id)
 
 
 def stream_tagging(
@@ -166,11 +203,11 @@ def _tag_files(spark, inbox, schema, tag, root, tags, name, files_per_batch) ->
 
 
 def ingested_jobs(spark: SparkSession, root: str) -> DataFrame:
-    return _current(spark, f"{root}/jobs", JOBS, "job_id")
+    return _every(spark, f"{root}/jobs", JOBS, "job_id")
 
 
 def ingested_builds(spark: SparkSession, root: str) -> DataFrame:
-    return _current(spark, f"{root}/builds", BUILDS, "build_id")
+    return _every(spark, f"{root}/builds", BUILDS, "build_id")
 
 
 def ingested_runs(spark: SparkSession, root: str) -> DataFrame:

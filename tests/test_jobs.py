@@ -11,6 +11,7 @@ from buildlens.functions.labels import time_label
 from buildlens.functions.text import blob_format
 from buildlens.operators import artifacts as art, ingest, stats
 from buildlens.plans import nightly
+from buildlens.plans.queries import QUERIES
 from buildlens.schemas import RUN_DETAILS
 from buildlens.session import scratch_path
 from buildlens.sources import ci_tables as ci
@@ -132,6 +133,40 @@ def test_stream_replay_adds_nothing(spark):
     assert sorted(r.url for r in incremental.ingested_runs(spark, f"{path}/store").collect()) == [u for _, u in sorted(first, key=lambda r: r[1])]
 
 
+def test_a_batch_reads_as_many_files_however_many_came_before(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "COMPACT", 3)
+    monkeypatch.setattr(incremental, "BASE_FILES", 2)
+    read = []
+    earlier = incremental._earlier
+    def counted(spark, path, schema, batch_id):
+        rows = earlier(spark, path, schema, batch_id)
+        read.append((path.rsplit("/", 1)[1], batch_id, len(rows.inputFiles())))
+        return rows
+    monkeypatch.setattr(incremental, "_earlier", counted)
+    details = spark.createDataFrame([(f"r{b}x", None, "x", "FAILURE", "log") for b in range(1, 20)], RUN_DETAILS)
+    root = scratch_path(spark, "batches")
+    status = lambda n: "ABORTED" if n % 2 else "FAILURE"
+    for n in range(11):
+        # Every batch changes build 1 and brings a build of its own.
+        builds = [_build(n + 2, [_run(n + 2, "x")]), _build(1, [_run(1, "x")], status(n))]
+        payload = _payload(spark, [{"name": "one", "url": "j", "builds": builds}])
+        incremental.ingest_batch(payload, n, root, details, [], 5)
+    state = {r.number: (r.build_id, r.status) for r in incremental.ingested_builds(spark, root).collect()}
+    assert len(state) == 12 and state[1][1] == status(10) and len({i for i, _ in state.values()}) == 12
+    runs = incremental.ingested_runs(spark, root).collect()
+    assert sorted(r.url for r in runs) == sorted(f"r{b}x" for b in range(1, 13)) and len({r.run_id for r in runs}) == 12
+    most = lambda lo, hi: max(n for _, batch, n in read if lo <= batch < hi)
+    assert most(9, 11) <= most(3, 6)
+    # A batch that is repeated, the one that compacts too, leaves the same.
+    incremental.ingest_batch(payload, 10, root, details, [], 5)
+    assert {r.number: (r.build_id, r.status) for r in incremental.ingested_builds(spark, root).collect()} == state
+
+
+def test_statistics_place_no_snippets(spark):
+    for name in ("issues_found", "unknown_runs", "run_issue_panel"):
+        assert "Window" not in _plan(QUERIES[name](spark, DATA)), name
+
+
 def test_nightly_twice(spark):
     tags = number_tags([
         Tag("boom", r"boom [0-9]+ in the middle of a long message", "Console", "Error"),
@@ -166,7 +201,10 @@ def test_nightly_twice(spark):
     # A newer build moves the floor: the oldest build goes with its run, issues and artifacts.
     jobs[0]["builds"].insert(0, _build(11, [_run(11, "x")]))
     third = night(again, jobs, 2)
-    assert {f.split("/")[-2] for f in files_of("runs", "artifacts") - written} == {"night=2"}
+    assert {f.split("/")[-2] for f in files_of("runs", "artifacts", "issues") - written} == {"night=2"}
+    # Of the issues only those of the new run are written.
+    new_run = third["runs"].filter("url = 'r11x'").first().run_id
+    assert {r.run_id for r in spark.read.parquet(f"{root}/issues/night=2").collect()} == {new_run}
     plan = _plan(third["runs"].filter("tag_schema is null").select("log"))
     assert "dynamicpruning" in plan.lower() and "ReadSchema: struct<run_id:bigint,log:string>" in plan
     # What a night leaves that was never published is not seen.
@@ -186,8 +224,11 @@ def test_nightly_twice(spark):
     assert fourth["runs"].select("tag_schema").distinct().count() == 1
 
     # Compacted, everything lies in one night.
-    rows = lambda store, name: sorted(str(r) for r in store[name].drop("night").collect())
+    rows = lambda store, name: sorted(str(r) for r in store[name].drop("night", "tagged").collect())
+    # The issues of the old catalog are still in their folders, and passed over.
+    assert spark.read.parquet(f"{root}/issues").count() > fourth["issues"].count()
     fifth = compact(spark, root, 4)
+    assert spark.read.parquet(f"{root}/issues/night=4").count() == fifth["issues"].count()
     for name in ("runs", "artifacts", "issues"):
         assert rows(fifth, name) == rows(fourth, name)
     assert [r.night for r in fifth["runs"].select("night").distinct().collect()] == [4]
