@@ -29,14 +29,21 @@ def tag_refs(tags: DataFrame) -> list[TagRef]:
     return [TagRef(*row) for row in tags.select("tag_id", "name", "severity").orderBy("ord").collect()]
 
 
-def _has_any(ids: list[int]) -> Column:
-    if not ids:
-        return F.lit(False)
-    return F.arrays_overlap(F.col("tag_ids"), F.array(*[F.lit(i).cast("long") for i in ids]))
+def _labels(labels: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in labels]).cast("array<string>")
+
+
+def _combined(left: Column, sign: str, right: Column) -> Column:
+    """Every left label with every right one."""
+    return F.flatten(F.transform(right, lambda r: F.transform(left, lambda l: F.concat(l, F.lit(f" {sign} "), r))))
 
 
 class View:
-    """A view expression. ``rows`` gives its (label, condition on tag_ids) pairs."""
+    """A view expression: ``labels`` names its rows, ``matched`` gives those that hold for a run's ``tag_ids``.
+
+    The size of the column that ``matched`` builds follows that of the expression and the catalog; a
+    product of two sets has a row, but no column, for every pair.
+    """
 
     def __invert__(self) -> "View":
         return _Not(self)
@@ -47,43 +54,62 @@ class View:
     def __or__(self, other: "View") -> "View":
         return _Both(self, other, "||")
 
-    def rows(self, tags: list[TagRef]) -> list[tuple[str, Column]]:
+    def labels(self, tags: list[TagRef], negated: bool = False) -> list[str]:
+        raise NotImplementedError
+
+    def matched(self, tags: list[TagRef], negated: bool = False) -> Column:
+        raise NotImplementedError
+
+    def reads(self, tags: list[TagRef], negated: bool = False) -> set[int]:
+        """The ids of the tags that decide: no text need be searched for the others."""
+        raise NotImplementedError
+
+
+class _Predicate(View):
+    """One row: whether the run has one of some tags."""
+
+    def _label(self) -> str:
         raise NotImplementedError
 
-    def negated(self, tags: list[TagRef]) -> list[tuple[str, Column]]:
+    def _holds(self, tag: TagRef) -> bool:
         raise NotImplementedError
 
+    def labels(self, tags, negated=False):
+        return [f"!{self._label()}" if negated else self._label()]
+
+    def reads(self, tags, negated=False):
+        return {t.tag_id for t in tags if self._holds(t)}
+
+    def matched(self, tags, negated=False):
+        ids = sorted(self.reads(tags))
+        known = F.arrays_overlap(F.col("tag_ids"), F.array(*[F.lit(i).cast("long") for i in ids])) if ids else F.lit(False)
+        return F.when(~known if negated else known, _labels(self.labels(tags, negated))).otherwise(_labels([]))
+
 
 @dataclass(frozen=True)
-class Tag(View):
+class Tag(_Predicate):
     """Run has a tag whose name contains a match of ``pattern``."""
 
     pattern: str
 
-    def _condition(self, tags):
-        return _has_any([t.tag_id for t in tags if re.search(self.pattern, t.name)])
-
-    def rows(self, tags):
-        return [(self.pattern, self._condition(tags))]
+    def _label(self):
+        return self.pattern
 
-    def negated(self, tags):
-        return [(f"!{self.pattern}", ~self._condition(tags))]
+    def _holds(self, tag):
+        return re.search(self.pattern, tag.name) is not None
 
 
 @dataclass(frozen=True)
-class Severity(View):
+class Severity(_Predicate):
     """Run has a tag of this severity."""
 
     severity: str
 
-    def _condition(self, tags):
-        return _has_any([t.tag_id for t in tags if t.severity == self.severity])
+    def _label(self):
+        return self.severity
 
-    def rows(self, tags):
-        return [(self.severity, self._condition(tags))]
-
-    def negated(self, tags):
-        return [(f"!{self.severity}", ~self._condition(tags))]
+    def _holds(self, tag):
+        return tag.severity == self.severity
 
 
 class _TagRows(View):
@@ -95,15 +121,24 @@ class _TagRows(View):
     def _chosen(self, tag: TagRef) -> bool:
         raise NotImplementedError
 
-    def _rows(self, tags, chosen: bool):
-        names = [t.name for t in tags if self._chosen(t) is chosen]
-        return [row for name in names for row in Tag(name).rows(tags)]
+    def labels(self, tags, negated=False):
+        return [t.name for t in tags if self._chosen(t) is not negated]
+
+    def _rows_of(self, tags, negated) -> dict[int, list[str]]:
+        """For each tag the rows it belongs to."""
+        rows = self.labels(tags, negated)
+        covers = {t.tag_id: [row for row in rows if re.search(row, t.name)] for t in tags}
+        return {tag_id: names for tag_id, names in covers.items() if names}
 
-    def rows(self, tags):
-        return self._rows(tags, True)
+    def reads(self, tags, negated=False):
+        return set(self._rows_of(tags, negated))
 
-    def negated(self, tags):
-        return self._rows(tags, False)
+    def matched(self, tags, negated=False):
+        rows = self._rows_of(tags, negated)
+        if not rows:
+            return _labels([])
+        of = F.create_map(*[c for i, names in rows.items() for c in (F.lit(i).cast("long"), _labels(names))])
+        return F.flatten(F.transform("tag_ids", lambda i: F.coalesce(F.try_element_at(of, i), _labels([]))))
 
 
 @dataclass(frozen=True)
@@ -130,11 +165,14 @@ class SeveritySet(_TagRows):
 class _Not(View):
     inner: View
 
-    def rows(self, tags):
-        return self.inner.negated(tags)
+    def labels(self, tags, negated=False):
+        return self.inner.labels(tags, not negated)
 
-    def negated(self, tags):
-        return self.inner.rows(tags)
+    def matched(self, tags, negated=False):
+        return self.inner.matched(tags, not negated)
+
+    def reads(self, tags, negated=False):
+        return self.inner.reads(tags, not negated)
 
 
 @dataclass(frozen=True)
@@ -143,16 +181,25 @@ class _Both(View):
     right: View
     sign: str
 
-    def _product(self, left, right, sign):
-        join = (lambda a, b: a & b) if sign == "&&" else (lambda a, b: a | b)
-        return [(f"{l} {sign} {r}", join(lc, rc)) for r, rc in right for l, lc in left]
+    def _sign(self, negated):
+        return {"&&": "||", "||": "&&"}[self.sign] if negated else self.sign
+
+    def labels(self, tags, negated=False):
+        sign = self._sign(negated)
+        left = self.left.labels(tags, negated)
+        return [f"{l} {sign} {r}" for r in self.right.labels(tags, negated) for l in left]
 
-    def rows(self, tags):
-        return self._product(self.left.rows(tags), self.right.rows(tags), self.sign)
+    def matched(self, tags, negated=False):
+        sign = self._sign(negated)
+        sides = (self.left, self.right)
+        left, right = (side.matched(tags, negated) for side in sides)
+        if sign == "&&":
+            return _combined(left, sign, right)
+        every_left, every_right = (_labels(side.labels(tags, negated)) for side in sides)
+        return F.array_union(_combined(left, sign, every_right), _combined(every_left, sign, right))
 
-    def negated(self, tags):
-        other = "||" if self.sign == "&&" else "&&"
-        return self._product(self.left.negated(tags), self.right.negated(tags), other)
+    def reads(self, tags, negated=False):
+        return self.left.reads(tags, negated) | self.right.reads(tags, negated)
 
 
 def run_tag_ids(issues: DataFrame, latest: DataFrame) -> DataFrame:
@@ -168,12 +215,8 @@ def run_tag_ids(issues: DataFrame, latest: DataFrame) -> DataFrame:
 
 def show(view: View, tags: list[TagRef], tagged_runs: DataFrame) -> DataFrame:
     """(label, run_id) of every row of the view, all rows in one pass over the runs."""
-    rows = view.rows(tags)
-    if not rows:
-        return tagged_runs.select(F.lit("").alias("label"), "run_id").limit(0)
-    labels = F.array(*[F.when(condition, F.lit(label)) for label, condition in rows])
-    out = tagged_runs.select("run_id", F.explode(F.array_distinct(labels)).alias("label"))
-    return out.filter(F.col("label").isNotNull()).select("label", "run_id")
+    out = tagged_runs.select("run_id", F.explode(F.array_distinct(view.matched(tags))).alias("label"))
+    return out.select("label", "run_id")
 
 
 def summarize(matches: DataFrame) -> DataFrame:

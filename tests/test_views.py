@@ -30,7 +30,7 @@ def matches(view, runs):
 
 
 def labels(view):
-    return [label for label, _ in view.rows(TAGS)]
+    return view.labels(TAGS)
 
 
 def test_predicates(runs):
@@ -81,3 +81,24 @@ def test_stock_views():
     assert labels(views["By Agent"]) == ["pmrs-linux-01"]
     assert len(labels(views["By Metadata"])) == 2
     assert labels(views["Jenkins Failures By Platform"]) == ["jenkins_agent_offline && pmrs-linux-01"]
+
+
+def test_a_product_of_two_large_sets_has_no_column_per_pair(spark):
+    tags = [TagRef(i, f"name{i:02d}", "Info") for i in range(1, 44)]
+    runs = spark.createDataFrame([(1, [1, 2, 43]), (2, []), (3, [7])], "run_id long, tag_ids array<long>")
+    for view, sign in ((TagSet("name") & TagSet("name"), "&&"), (TagSet("name") | TagSet("name"), "||")):
+        found = show(view, tags, runs)
+        held = {1: {1, 2, 43}, 2: set(), 3: {7}}
+        both = (lambda a, b, h: a in h and b in h) if sign == "&&" else (lambda a, b, h: a in h or b in h)
+        want = {
+            (f"name{a:02d} {sign} name{b:02d}", run)
+            for run, h in held.items() for a in range(1, 44) for b in range(1, 44) if both(a, b, h)
+        }
+        got = [tuple(r) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want) and len(view.labels(tags)) == 43 * 43
+        assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+
+
+def test_views_name_the_tags_that_decide(runs):
+    assert (Tag("cc_") & TagSet("linux")).reads(TAGS) == {1, 2, 3}
+    assert (~SeveritySet("Metadata")).reads(TAGS) == {3, 4} and (~Severity("Info")).reads(TAGS) == {4}
