@@ -9,6 +9,7 @@ from buildlens.functions.text import blob_format, utf8_text
 
 # A usage sample starts every 21 lines; run names whose samples look different.
 SAMPLE_LINES = 21
+HEAD_LINES = 4
 OTHER_TOP_FORMATS = "bsd|aarch64|xpmem"
 
 TOP_PATH = "top.txt"
@@ -39,30 +40,30 @@ def format_census(artifacts: DataFrame) -> DataFrame:
     return formats.groupBy("format").agg(F.count(F.lit(1)).alias("n_artifacts"))
 
 
-def _word(lines: Column, line: Column, word: int) -> Column:
+def _word(lines: Column, line: int, word: int) -> Column:
     """Word number ``word`` of a line; null beyond the ends."""
-    return F.get(F.split(F.trim(F.get(lines, line)), r"\s+"), F.lit(word))
+    return F.get(F.split(F.trim(F.get(lines, F.lit(line))), r"\s+"), F.lit(word))
 
 
 def usage_samples(artifacts: DataFrame) -> DataFrame:
     """(run_id, artifact_id, sample, time, cpu, mem) from the usage logs, in percent.
 
-    Samples are cut out of each text in place: no text is shuffled.
+    Samples are cut out of each text in place: no text is shuffled, and a sample's row holds its own
+    first lines only.
     """
     texts = artifacts.filter(F.col("path") == TOP_PATH).select(
-        "run_id",
-        "artifact_id",
-        F.split(utf8_text(F.col("contents")), "\n", -1).alias("lines"),
+        "run_id", "artifact_id", F.split(utf8_text(F.col("contents")), "\n", -1).alias("lines")
     )
-    starts = F.sequence(F.lit(0), F.size("lines") - 1, F.lit(SAMPLE_LINES))
-    samples = texts.select("run_id", "artifact_id", "lines", F.posexplode(starts).alias("sample", "at"))
-    lines, at = F.col("lines"), F.col("at")
-    number = lambda line, word: _word(lines, at + line, word).try_cast("double")
+    starts = F.sequence(F.lit(1), F.size("lines"), F.lit(SAMPLE_LINES))
+    heads = F.transform(starts, lambda at: F.slice("lines", at, HEAD_LINES))
+    samples = texts.select("run_id", "artifact_id", F.posexplode(heads).alias("sample", "lines"))
+    lines = F.col("lines")
+    number = lambda line, word: _word(lines, line, word).try_cast("double")
     parsed = samples.select(
         "run_id",
         "artifact_id",
         "sample",
-        _word(lines, at, 2).alias("time"),
+        _word(lines, 0, 2).alias("time"),
         (F.lit(100.0) - number(2, 7)).alias("cpu"),
         (F.lit(100.0) - F.try_divide(number(3, 5), number(3, 3)) * 100).alias("mem"),
     )

@@ -41,11 +41,16 @@ def _long_piece(length, threshold: float):
 
 
 def _texts(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Nodes with length, edit budget and length band; bands are a factor 1 - c wide."""
+    """Nodes with length, edit budget and length band; bands are a factor 1 - c wide.
+
+    Only nodes of the same ``part``, if there is one, are compared.
+    """
     width = -math.log(1.0 - edit_ratio(threshold))
     length = F.char_length("snippet")
+    part = F.col("part") if "part" in nodes.columns else F.lit(0).cast("long")
     return nodes.filter(length > 0).select(
         "node",
+        part.alias("part"),
         "snippet",
         length.alias("length"),
         edit_budget(length, threshold).alias("budget"),
@@ -70,7 +75,7 @@ def _pieced(texts: DataFrame, threshold: float, pattern: str, group: int) -> Dat
         *rest,
         F.posexplode(F.regexp_extract_all("snippet", regex, F.lit(group))).alias("at", "piece"),
     )
-    return cut.withColumn("key", F.xxhash64("size", "band", "piece")).drop("piece")
+    return cut.withColumn("key", F.xxhash64("part", "size", "band", "piece")).drop("piece")
 
 
 def _offers(texts: DataFrame, threshold: float) -> DataFrame:
@@ -83,12 +88,12 @@ def _offers(texts: DataFrame, threshold: float) -> DataFrame:
     """
     cut = _pieced(texts.filter(F.col("budget") >= 1), threshold, ("(?s).{", "}"), 0)
     uses = cut.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
-    rarest = Window.partitionBy("node", "size").orderBy("uses", "at")
-    total = F.sum("uses").over(Window.partitionBy("node", "size"))
-    best = F.min(F.struct("total", "size")).over(Window.partitionBy("node"))
+    rarest = Window.partitionBy("node", "part", "size").orderBy("uses", "at")
+    total = F.sum("uses").over(Window.partitionBy("node", "part", "size"))
+    best = F.min(F.struct("total", "size")).over(Window.partitionBy("node", "part"))
     return (
         cut.join(uses, "key")
-        .repartition("node")
+        .repartition("node", "part")
         .withColumn("rank", F.row_number().over(rarest))
         .filter(F.col("rank") <= F.col("budget") + 1)
         .withColumn("total", total)
@@ -98,17 +103,24 @@ def _offers(texts: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def candidate_pairs(longer: DataFrame, shorter: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a < b: a superset of the similar pairs of a longer (or as long) and a shorter text.
+def offered_pieces(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, length, budget, key, at): the few pieces of each text as the longer one of a pair."""
+    return _offers(_texts(nodes, threshold), threshold)
+
+
+def probed_pieces(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, length, at, key): all substrings of each text as the shorter one, cut as its partners' bands cut.
 
-    The longer text offers a few pieces, the other one all its substrings of their length. Partners
-    lie in the same length band or in neighbouring ones.
+    Partners lie in the same length band or in the one above.
     """
-    offers = _offers(_texts(longer, threshold), threshold).alias("l")
-    bands = _texts(shorter, threshold).withColumn(
+    bands = _texts(nodes, threshold).withColumn(
         "band", F.explode(F.array(F.col("band"), F.col("band") + 1))
     )
-    probe = _pieced(bands, threshold, ("(?s)(?=(.{", "}))"), 1).select("node", "length", "at", "key").alias("s")
+    return _pieced(bands, threshold, ("(?s)(?=(.{", "}))"), 1).select("node", "length", "at", "key")
+
+
+def paired_pieces(offers: DataFrame, probes: DataFrame) -> DataFrame:
+    """(a, b) with a < b, without repeats: nodes that share a piece at places the edits can explain."""
     near = (
         (F.col("l.key") == F.col("s.key"))
         & (F.col("s.length") <= F.col("l.length"))
@@ -117,7 +129,7 @@ def candidate_pairs(longer: DataFrame, shorter: DataFrame, threshold: float) ->
         & (F.col("l.node") != F.col("s.node"))
     )
     return (
-        offers.join(probe, near)
+        offers.alias("l").join(probes.alias("s"), near)
         .select(
             F.least("l.node", "s.node").alias("a"),
             F.greatest("l.node", "s.node").alias("b"),
@@ -126,7 +138,12 @@ def candidate_pairs(longer: DataFrame, shorter: DataFrame, threshold: float) ->
     )
 
 
-def _distances(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def candidate_pairs(longer: DataFrame, shorter: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b: a superset of the similar pairs of a longer (or as long) and a shorter text."""
+    return paired_pieces(offered_pieces(longer, threshold), probed_pieces(shorter, threshold))
+
+
+def measured_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """``pairs`` whose texts lie within the edit budget, with distance and longer length."""
     left = nodes.select(F.col("node").alias("a"), F.col("snippet").alias("left"))
     right = nodes.select(F.col("node").alias("b"), F.col("snippet").alias("right"))
@@ -143,7 +160,7 @@ def _distances(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
 
 def similar_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, distance, similarity) of all pairs of different snippets above the threshold."""
-    found = _distances(candidate_pairs(nodes, nodes, threshold), nodes, threshold)
+    found = measured_pairs(candidate_pairs(nodes, nodes, threshold), nodes, threshold)
     return (
         found.withColumn("similarity", decay_similarity(F.col("distance"), F.col("longer")))
         .filter(F.col("similarity") > threshold)
@@ -178,13 +195,13 @@ def _number_families(nodes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _family_edges(told: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Links of and beside families: (a, b) over units, and (node, unit) of all nodes.
+def _judged_units(told: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, a_first, b_first, sure) of the pairs of units, families or single snippets, that may be similar.
 
     Masking digits never adds edits, and taking the digits back adds at most one per digit of the
     poorer text. So the distance d of two templates bounds that of their members by d and by
-    d + digits: mostly all pairs are similar or none is, and the family acts as one unit. Families
-    for which the bounds leave it open are taken apart and compared member by member.
+    d + digits: mostly all pairs are similar (sure) or none is, and the family acts as one unit. Pairs of
+    two single snippets are left out.
     """
     families = told.filter(F.col("node") == F.col("first"))
     singles = told.filter(F.col("first").isNull())
@@ -202,13 +219,22 @@ def _family_edges(told: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         F.col("node").alias(end), F.col("digits").alias(f"{end}_digits"), F.col("first").alias(f"{end}_first")
     )
     most = F.col("distance") + F.least("a_digits", "b_digits")
-    judged = cut_lineage(
-        _distances(pairs, masked(units), threshold)
+    return cut_lineage(
+        measured_pairs(pairs, masked(units), threshold)
         .filter(decay_similarity(F.col("distance"), F.col("longer")) > threshold)
         .join(of("a"), "a")
         .join(of("b"), "b")
         .withColumn("sure", decay_similarity(most, F.col("longer")) > threshold)
     )
+
+
+def _family_edges(told: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links of and beside families: (a, b) over units, and (node, unit) of all nodes.
+
+    Families that some neighbour leaves open are taken apart and compared member by member.
+    """
+    judged = _judged_units(told, threshold)
+    singles = told.filter(F.col("first").isNull())
     open_ends = judged.filter(~F.col("sure")).select(F.explode(F.array("a_first", "b_first")).alias("first"))
     apart = cut_lineage(open_ends.filter(F.col("first").isNotNull()).distinct())
 
@@ -240,6 +266,59 @@ def _family_edges(told: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     return similar_pairs(alone, threshold).select("a", "b").unionByName(family_links), placed
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """(node, near) of (a, b)."""
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(
+        pairs.select(F.col("b").alias("node"), F.col("a").alias("near"))
+    )
+
+
+def similar_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_similar, first_similar): for each snippet how many others are similar, and the first earlier one.
+
+    One row per snippet, however many pairs there are. A family that a neighbour is surely similar to
+    counts with its size and its first member; where the bounds leave it open, the members are compared
+    with that neighbour only. Members of one family are not compared at all.
+    """
+    told = cut_lineage(_number_families(nodes, threshold))
+    judged = _judged_units(told, threshold)
+    sizes = told.groupBy(F.coalesce("first", "node").alias("unit")).agg(F.count(F.lit(1)).alias("size"))
+
+    # What holds for all members of a unit: their own family, and units that are surely similar.
+    near = _both_ways(judged.filter("sure")).withColumnRenamed("near", "unit").join(sizes, "unit")
+    beside = near.groupBy(F.col("node").alias("unit")).agg(F.sum("size").alias("beside"), F.min("unit").alias("first_beside"))
+    whole = sizes.join(beside, "unit", "left").select(
+        "unit", (F.col("size") - 1 + F.coalesce("beside", F.lit(0))).alias("sure"), "first_beside"
+    )
+
+    # Open pairs of units are parts of their own: each holds the members of its two units.
+    open_pairs = judged.filter(~F.col("sure")).select("a", "b", F.xxhash64("a", "b").alias("part"))
+    ends = open_pairs.select("part", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("unit")),
+                                                       F.struct(F.lit(1).alias("side"), F.col("b").alias("unit")))).alias("e"))
+    members = told.select("node", "snippet", F.coalesce("first", "node").alias("unit"))
+    parted = cut_lineage(ends.select("part", "e.side", "e.unit").join(members, "unit").drop("unit"))
+    left, right = parted.filter("side = 0").drop("side"), parted.filter("side = 1").drop("side")
+    across = candidate_pairs(left, right, threshold).unionByName(candidate_pairs(right, left, threshold)).distinct()
+    singles = told.filter("first is null").select("node", "snippet")
+    open_found = measured_pairs(across, nodes, threshold)
+    open_found = open_found.filter(decay_similarity(F.col("distance"), F.col("longer")) > threshold)
+    pairs = similar_pairs(singles, threshold).select("a", "b").unionByName(open_found.select("a", "b"))
+    single = _both_ways(pairs).groupBy("node").agg(F.count(F.lit(1)).alias("found"), F.min("near").alias("first_found"))
+
+    # The first of each kind; one that is not earlier has no earlier one behind it.
+    earlier = lambda c: F.when(F.col(c) < F.col("node"), F.col(c))
+    placed = told.select("node", "first", F.coalesce("first", "node").alias("unit"))
+    return (
+        placed.join(whole, "unit")
+        .join(single, "node", "left")
+        .select(
+            "node",
+            (F.col("sure") + F.coalesce("found", F.lit(0))).alias("n_similar"),
+            F.least(earlier("first"), earlier("first_beside"), earlier("first_found")).alias("first_similar"),
+        )
+    )
+
+
 def snippet_groups(
     nodes: DataFrame, threshold: float
 ) -> DataFrame:

@@ -69,14 +69,20 @@ def run_totals(runs: DataFrame, builds: DataFrame) -> DataFrame:
 
 
 def issues_found(issues: DataFrame, tags: DataFrame, runs: DataFrame, builds: DataFrame) -> DataFrame:
-    """Issues other than Metadata in the latest builds; extra occurrences do not count."""
+    """Issues other than Metadata in the latest builds; extra occurrences do not count.
+
+    Only run_id and tag_id of the issues are used: snippets without spans will do.
+    """
     latest = latest_runs(runs, builds).select("run_id")
     found = not_metadata(issues, tags).join(latest, "run_id", "left_semi")
     return found.agg(F.count(F.lit(1)).alias("issues_found"))
 
 
 def unknown_runs(issues: DataFrame, tags: DataFrame, runs: DataFrame, builds: DataFrame) -> DataFrame:
-    """Bad runs of the latest builds without any issue other than Metadata."""
+    """Bad runs of the latest builds without any issue other than Metadata.
+
+    Only run_id and tag_id of the issues are used: hits will do, as no tag matches the empty text.
+    """
     bad = latest_runs(runs, builds).filter(is_bad(F.col("status"))).select("run_id", "status")
     known = not_metadata(issues, tags).select("run_id").distinct()
     return bad.join(known, "run_id", "left_anti")
@@ -85,14 +91,16 @@ def unknown_runs(issues: DataFrame, tags: DataFrame, runs: DataFrame, builds: Da
 def deployment_totals(
     builds: DataFrame, issues: DataFrame, tags: DataFrame, members: DataFrame
 ) -> DataFrame:
-    """Builds analyzed, issues, distinct snippets and similarity groups, as (metric, value)."""
-    found = not_metadata(issues, tags)
-    metric = lambda df, name, value: df.agg(value.alias("value")).select(
-        F.lit(name).alias("metric"), "value"
+    """Builds analyzed, issues, distinct snippets and similarity groups, as (metric, value).
+
+    The issues are read once for both of their figures.
+    """
+    count = F.count(F.lit(1))
+    metrics = lambda df, **values: df.agg(*[v.alias(n) for n, v in values.items()]).select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in values]))
     )
+    found = metrics(not_metadata(issues, tags), identified_issues=count, unique_issues=F.countDistinct("snippet"))
     return (
-        metric(builds, "builds_analyzed", F.count(F.lit(1)))
-        .unionByName(metric(found, "identified_issues", F.count(F.lit(1))))
-        .unionByName(metric(found, "unique_issues", F.countDistinct("snippet")))
-        .unionByName(metric(members, "similarity_groupings", F.countDistinct("group_id")))
+        found.unionByName(metrics(builds, builds_analyzed=count))
+        .unionByName(metrics(members, similarity_groupings=F.countDistinct("group_id")))
     )

@@ -12,27 +12,25 @@ from buildlens.session import cut_lineage
 def upsert(old: DataFrame, change: DataFrame, key: str, id_col: str, update: list[str]) -> DataFrame:
     """Insert rows with a new key, overwrite ``update`` in the others, nulls included.
 
-    Ids and the remaining columns of stored rows stay. ``change`` has one row per key and is written
-    once, as it is used four times. Nothing here needs the old table shuffled when the change set is
-    small enough for Spark to broadcast it.
+    Ids and the remaining columns of stored rows stay. ``change`` has one row per key. Which keys are new
+    is settled on the keys alone; the other columns are read where they are needed, once for stored and
+    once for new rows, and are not written in between. Nothing here needs the old table shuffled when
+    the change set is small enough for Spark to broadcast it.
     """
-    change = cut_lineage(change)
+    keys = cut_lineage(change.select(key))
+    known = cut_lineage(old.select(key).join(keys, key, "left_semi"))
+    numbered = assign_ids(keys.join(known, key, "left_anti"), key, id_col, after=old.agg(F.max(id_col)))
     incoming = change.select(
-        F.col(key), F.struct(*update).alias("_new"), F.lit(True).alias("_given")
+        F.col(key), F.lit(True).alias("_given"), *[F.col(c).alias(f"_new_{c}") for c in update]
     )
-    merged = old.join(incoming, key, "left")
-    kept = merged.select(
+    kept = old.join(incoming, key, "left").select(
         *[
-            F.when(F.col("_given"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
-            if c in update
-            else F.col(c)
+            F.when(F.col("_given"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in update else F.col(c)
             for c in old.columns
         ]
     )
-    known = old.select(key).join(change.select(key), key, "left_semi")
-    added = change.join(known, key, "left_anti")
-    numbered = assign_ids(added, key, id_col, after=old.agg(F.max(id_col)))
-    return kept.unionByName(numbered.select(*old.columns))
+    added = change.drop(id_col).join(numbered, key)
+    return kept.unionByName(added.select(*old.columns))
 
 
 def upsert_jobs(old: DataFrame, change: DataFrame) -> DataFrame:

@@ -162,6 +162,21 @@ def artifact_issues(artifacts: DataFrame, tags: list[Tag]) -> DataFrame:
     )
 
 
+def run_snippets(runs: DataFrame, artifacts: DataFrame, tags: list[Tag]) -> DataFrame:
+    """(run_id, artifact_id, tag_id, snippet, duplicates) of every field, without keys and spans.
+
+    For counts and panels: no piece of a text is placed, and equal snippets of a text are combined
+    before anything is shuffled.
+    """
+    texts = artifact_texts(artifacts)
+    names = scan_text(runs, ["run_id"], "display_name", _of_field(tags, "RunName"), spans=False)
+    logs = scan_text(runs.filter("log is not null"), ["run_id"], "log", _of_field(tags, "Console"), spans=False)
+    found = scan_text(texts, ["run_id", "artifact_id"], "text", _of_field(tags, "Artifact"), spans=False)
+    found = found.join(runs.select("run_id"), "run_id", "left_semi")
+    own = names.unionByName(logs).withColumn("artifact_id", F.lit(None).cast("long"))
+    return own.unionByName(found).select("run_id", "artifact_id", "tag_id", "snippet", "duplicates")
+
+
 def untagged_runs(runs: DataFrame) -> DataFrame:
     return runs.filter(F.col("tag_schema").isNull())
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from buildlens import catalog
-from buildlens.plans.queries import BLOCKED_CUSTOMERS, UTC_OFFSET
+from buildlens.plans.queries import BLOCKED_CUSTOMERS, STOCK_SHOWN, UTC_OFFSET
 from buildlens.sources import ci_tables as ci
 
 
@@ -266,6 +268,7 @@ def _hits(tags: list[catalog.Tag]) -> str:
 
 HITS_A = f"{SET_A}, {TAGS_A}, {JUNIT_TEXT}, hits AS ({_hits(ci.TEXT_TAGS)})"
 ORACLE["tag_hits"] = f"WITH {HITS_A} SELECT run_id, tag_id FROM hits"
+ORACLE["sketched_hits"] = f"WITH {SET_A}, hits AS ({_hits(_of(ci.TEXT_TAGS, 'Console'))}) SELECT run_id, tag_id FROM hits"
 ORACLE["tag_catalog"] = f"""WITH {HITS_A} SELECT t.tag_id, name, pattern, field, severity, count(run_id) AS n_runs
 FROM tags t LEFT JOIN hits h ON h.tag_id = t.tag_id GROUP BY ALL"""
 ORACLE["tag_schema"] = f"""WITH {TAGS_A} SELECT (SELECT md5(string_agg(concat(name, chr(1), pattern, chr(1), field),
@@ -293,11 +296,47 @@ SET_STOCK = SET_A.replace(
     f"""THEN 'Building remotely on ' || CASE run_id % 17 {_NODE} END || ' in workspace' || chr(10) || text || chr(10)
       || CASE (run_id // 6) % 12 {_MESSAGE} END END AS log""",
 )
+_SUFFIX = " ".join(f"WHEN {i} THEN '{x}'" for i, x in ci.STOCK_SUFFIXES.items())
+SET_STOCK = SET_STOCK.replace(
+    "build_id, status, display_name,", f"build_id, status, display_name || CASE (run_id // 12) % 6 {_SUFFIX} END AS display_name,", 1
+)
+_LOGS = " ".join(f"WHEN {i} THEN replace({_quote(m)}, '{{n}}', CAST(run_id AS VARCHAR))" for i, m in ci.STOCK_LOGS.items())
+# All artifacts that are text: reports, usage logs, pages, build logs.
+STOCK_TEXTS = f"""{JUNIT_TEXT},
+texts AS MATERIALIZED (SELECT artifact_id, run_id, text FROM junit_text
+  UNION ALL SELECT (part * 1000000000 + user_id) * 3 + 1, user_id, string_agg(block, chr(10) ORDER BY ts, event_id) FROM (
+    SELECT user_id, event_id // 1000 AS part, ts, event_id, 'top - ' || strftime(ts, '%H:%M:%S') || ' up 1 day' || chr(10)
+      || 'Tasks: 1 total' || chr(10) || '%Cpu(s): 1.0 us, 1.0 sy, 0.0 ni, ' || event_id % 101 || ' id,' || chr(10)
+      || 'MiB Mem : 1000.0 total, ' || event_id % 1001 || ' free,' || chr(10) || repeat('-' || chr(10), 16) AS block FROM events)
+    GROUP BY user_id, part
+  UNION ALL SELECT page_id * 3 + 2, page_id, CASE page_id % 5 WHEN 1 THEN '<svg/>' WHEN 2 THEN '' ELSE html END FROM pages
+    WHERE page_id % 5 IN (1, 2, 3)
+  UNION ALL SELECT run_id + {ci.STOCK_ARTIFACTS}, run_id, text || chr(10) || CASE run_id % 3 {_LOGS} END FROM docs
+    WHERE (run_id // 100) % 3 = 0),
+run_texts AS MATERIALIZED (SELECT * FROM texts WHERE run_id IN (SELECT run_id FROM runs))"""
 _STOCK = catalog.STOCK_TAGS
-STOCK_ISSUES = f"""SELECT {_COLUMNS} FROM ({_scan('runs', 'log', 0, _of(_STOCK, 'Console'), _NULL)})
-UNION ALL SELECT {_COLUMNS} FROM ({_scan('runs', 'display_name', 1, _of(_STOCK, 'RunName'), _NULL)})"""
-ORACLE["stock_issues"] = f"""WITH {SET_STOCK} SELECT run_id, tag_id, snippet, snippet_start, snippet_end, duplicates
-FROM ({STOCK_ISSUES})"""
+
+
+def _stock_issues(tags: list[catalog.Tag]) -> str:
+    sources = (("runs", "log", "Console", _NULL), ("runs", "display_name", "RunName", _NULL), ("run_texts", "text", "Artifact", "artifact_id"))
+    return " UNION ALL ".join(
+        f"SELECT {_COLUMNS} FROM ({_scan(source, text, i, _of(tags, field), artifact)})"
+        for i, (source, text, field, artifact) in enumerate(sources)
+        if _of(tags, field)
+    )
+
+
+ORACLE["stock_issues"] = f"""WITH {SET_STOCK}, {STOCK_TEXTS}
+SELECT run_id, artifact_id, tag_id, snippet, snippet_start, snippet_end, duplicates FROM ({_stock_issues(_STOCK)})"""
+
+
+def _stock_hits(tags: list[catalog.Tag]) -> str:
+    hits = _hits(tags).replace("FROM junit_text", "FROM run_texts")
+    return f"{SET_STOCK}, {_tags_cte(_STOCK)}, {STOCK_TEXTS}, hits AS MATERIALIZED ({hits})"
+
+
+ORACLE["stock_catalog"] = f"""WITH {_stock_hits(_STOCK)} SELECT t.tag_id, name, field, severity, count(run_id) AS n_runs
+FROM tags t LEFT JOIN hits h ON h.tag_id = t.tag_id GROUP BY ALL"""
 
 # ---- similarity ---------------------------------------------------------------------------------
 
@@ -310,20 +349,29 @@ ORACLE["snippet_similarity"] = f"""WITH {_NAMED} SELECT run_id, round(CASE WHEN
 FROM (SELECT run_id, CAST(levenshtein(display_name, first_name) AS DOUBLE) AS d,
   CAST(greatest(length(display_name), length(first_name)) AS DOUBLE) AS m FROM named)"""
 
-PAIRS = f"""{ISSUES_A}, fuzzy AS (SELECT issue_id, run_id, tag_id, snippet FROM issues JOIN tags USING (tag_id) WHERE severity <> 'Metadata'),
-nodes AS (SELECT min(issue_id) AS issue_id, snippet, translate(snippet, '{_LETTERS}', {_SINGLE}) AS flat,
+_PAIRS = f"""fuzzy AS MATERIALIZED (SELECT issue_id, run_id, tag_id, snippet FROM issues JOIN tags USING (tag_id) WHERE severity <> 'Metadata'),
+nodes AS MATERIALIZED (SELECT min(issue_id) AS issue_id, snippet, translate(snippet, '{_LETTERS}', {_SINGLE}) AS flat,
     length(snippet) AS n FROM fuzzy GROUP BY snippet),
-pairs AS (SELECT a_issue, b_issue, d AS distance, exp(-d / (m - d)) AS similarity FROM (
+pairs AS MATERIALIZED (SELECT a_issue, b_issue, d AS distance, exp(-d / (m - d)) AS similarity FROM (
     SELECT a.issue_id AS a_issue, b.issue_id AS b_issue, CAST(levenshtein(a.flat, b.flat) AS DOUBLE) AS d,
       CAST(greatest(a.n, b.n) AS DOUBLE) AS m
     FROM nodes a JOIN nodes b ON a.issue_id < b.issue_id AND abs(a.n - b.n) < 0.0954 * greatest(a.n, b.n))
   WHERE d < m AND exp(-d / (m - d)) > 0.9)"""
+PAIRS = f"{ISSUES_A}, {_PAIRS}"
+STOCK_PAIRS = f"{SET_STOCK}, {_tags_cte(_STOCK)}, {STOCK_TEXTS}, issues AS (SELECT * FROM ({_stock_issues(STOCK_SHOWN)})), {_PAIRS}"
+_LINKS = """ SELECT n.issue_id, count(near) AS n_similar, min(near) FILTER (near < n.issue_id) AS first_similar_issue
+FROM nodes n LEFT JOIN (SELECT a_issue AS issue_id, b_issue AS near FROM pairs UNION ALL SELECT b_issue, a_issue FROM pairs) p
+  USING (issue_id) GROUP BY n.issue_id"""
+ORACLE["similar_links"] = f"WITH {PAIRS}{_LINKS}"
+ORACLE["stock_similar_links"] = f"WITH {STOCK_PAIRS}{_LINKS}"
+ORACLE["similar_pairs_by_night"] = f"""WITH {STOCK_PAIRS} SELECT least(x, y) AS a, greatest(x, y) AS b, CAST(distance AS BIGINT) AS distance,
+round(similarity, 9) AS similarity FROM (SELECT md5(l.snippet) AS x, md5(r.snippet) AS y, distance, similarity
+  FROM pairs JOIN nodes l ON l.issue_id = a_issue JOIN nodes r ON r.issue_id = b_issue)"""
 ORACLE["similar_pairs"] = f"""WITH {PAIRS} SELECT a_issue, b_issue, CAST(distance AS BIGINT) AS distance,
 round(similarity, 9) AS similarity FROM pairs"""
 
 # One step per linked snippet, in order: the first group all of whose members are near takes it.
-GROUPS = f"""WITH RECURSIVE {PAIRS},
-near AS (SELECT b_issue AS issue_id, list(a_issue) AS near FROM pairs GROUP BY b_issue),
+_GROUPS = """near AS (SELECT b_issue AS issue_id, list(a_issue) AS near FROM pairs GROUP BY b_issue),
 linked AS (SELECT issue_id, coalesce(near, []) AS near, row_number() OVER (ORDER BY issue_id) AS i FROM
   (SELECT DISTINCT unnest([a_issue, b_issue]) AS issue_id FROM pairs) LEFT JOIN near USING (issue_id)),
 step(i, groups) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[][]) UNION ALL
@@ -335,13 +383,16 @@ final AS (SELECT unnest(groups) AS g FROM (SELECT groups FROM step ORDER BY i DE
 seeds AS (SELECT unnest(g) AS issue_id, g[1] AS seed_issue FROM final),
 placed AS (SELECT n.issue_id, n.snippet, coalesce(s.seed_issue, n.issue_id) AS seed_issue
   FROM nodes n LEFT JOIN seeds s USING (issue_id))"""
+GROUPS = f"WITH RECURSIVE {PAIRS}, {_GROUPS}"
 ORACLE["similarity_groups"] = f"{GROUPS} SELECT issue_id, seed_issue FROM placed"
 
-MEMBERS = f"""{GROUPS}, in_group AS (SELECT p.seed_issue, f.* FROM fuzzy f JOIN placed p USING (snippet)),
+_MEMBERS = """in_group AS (SELECT p.seed_issue, f.* FROM fuzzy f JOIN placed p USING (snippet)),
 named AS (SELECT seed_issue, md5(concat_ws('-', count(*),
     bit_xor(CAST('0x' || substr(md5(issue_id), 1, 15) AS BIGINT)), bit_xor(CAST('0x' || substr(md5(issue_id), 17, 15) AS BIGINT)))) AS group_id
   FROM in_group GROUP BY seed_issue HAVING count(*) > 1),
 members AS (SELECT group_id, issue_id, run_id, tag_id, snippet FROM in_group JOIN named USING (seed_issue))"""
+MEMBERS = f"{GROUPS}, {_MEMBERS}"
+ORACLE["stock_similarity_members"] = f"WITH RECURSIVE {STOCK_PAIRS}, {_GROUPS}, {_MEMBERS} SELECT group_id, issue_id FROM members"
 ORACLE["similarity_members"] = f"{MEMBERS} SELECT group_id, issue_id FROM members"
 LIVE = f"""{MEMBERS}, {LATEST_RUNS}, live AS (SELECT * FROM members WHERE group_id IN
   (SELECT group_id FROM members WHERE run_id IN (SELECT run_id FROM latest_runs)))"""
@@ -403,14 +454,27 @@ AND (hit OR run_id IN (SELECT run_id FROM held WHERE severity = 'Error'))"""
 ORACLE["view_matches"] = f"""{_A} SELECT '!clang || ' || label || ' || junk' AS label, run_id FROM pairs
 WHERE regexp_matches(label, 'x') AND (NOT {_has('clang')} OR hit OR {_has('junk')})"""
 
-_S = _views(f"{SET_STOCK}, {_tags_cte(_STOCK)}, {JUNIT_TEXT}, hits AS ({_hits(_STOCK)})")
 _AGENTS = _quote(catalog.AGENT_NAMES)
-ORACLE["view_by_tag"] = f"{_S} SELECT label, run_id FROM pairs WHERE hit AND severity <> 'Metadata'"
-ORACLE["view_by_metadata"] = f"""{_S} SELECT '!' || {_AGENTS} || ' && ' || label AS label, run_id FROM pairs
-WHERE hit AND severity = 'Metadata' AND NOT {_has(catalog.AGENT_NAMES)}"""
-ORACLE["view_by_agent"] = f"{_S} SELECT label, run_id FROM pairs WHERE hit AND regexp_matches(label, {_AGENTS})"
-ORACLE["view_failures_by_platform"] = f"""{_S} SELECT 'jenkins_agent_offline && ' || label AS label, run_id FROM pairs
-WHERE hit AND regexp_matches(label, {_AGENTS}) AND {_has('jenkins_agent_offline')}"""
+_SHOWN = [t for t in _STOCK if t.severity != "Metadata"]
+_NODE_NAMES = [t for t in _STOCK if re.search(catalog.AGENT_NAMES, t.name)]
+_OFFLINE = [t for t in _STOCK if "jenkins_agent_offline" in t.name]
+
+
+def _stock_views(tags: list[catalog.Tag]) -> str:
+    """Runs beside the rows they belong to; only the tags that the view asks about are searched for."""
+    return f"""WITH {_stock_hits(tags)}, {LATEST_RUNS},
+held AS (SELECT h.run_id, t.name FROM hits h JOIN tags t USING (tag_id) WHERE run_id IN (SELECT run_id FROM latest_runs)),
+pairs AS (SELECT DISTINCT run_id, l.name AS label, l.severity FROM held h JOIN tags l ON regexp_matches(h.name, l.name))"""
+
+
+ORACLE["view_by_tag"] = f"{_stock_views(_SHOWN)} SELECT label, run_id FROM pairs WHERE severity <> 'Metadata'"
+ORACLE["view_by_metadata"] = f"""{_stock_views([t for t in _STOCK if t.severity == 'Metadata'])}
+SELECT '!' || {_AGENTS} || ' && ' || label AS label, run_id FROM pairs
+WHERE severity = 'Metadata' AND NOT {_has(catalog.AGENT_NAMES)}"""
+ORACLE["view_by_agent"] = f"{_stock_views(_NODE_NAMES)} SELECT label, run_id FROM pairs WHERE regexp_matches(label, {_AGENTS})"
+ORACLE["view_failures_by_platform"] = f"""{_stock_views(_NODE_NAMES + _OFFLINE)}
+SELECT 'jenkins_agent_offline && ' || label AS label, run_id FROM pairs
+WHERE regexp_matches(label, {_AGENTS}) AND {_has('jenkins_agent_offline')}"""
 
 # ---- report tables ------------------------------------------------------------------------------
 

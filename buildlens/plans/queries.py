@@ -9,19 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens import catalog
+from buildlens.functions.labels import is_bad
 from buildlens.functions.text import similarity
 from buildlens.operators import (
     artifacts as art,
     ingest,
     marts,
     similarity as sim,
+    sketch,
+    snippet_index,
     stats,
     store as st,
     tagging,
     views,
 )
 from buildlens.schemas import PAYLOAD
-from buildlens.session import cut_lineage
+from buildlens.session import cut_lineage, scratch_path
 from buildlens.sources import ci_tables as ci
 from buildlens.sources.tables import read_table
 from buildlens.streaming import incremental
@@ -261,6 +264,14 @@ def _hits_a(spark, sf):
     return tagging.run_hits(ci.runs_a(spark, sf), ci.artifacts_a(spark, sf), ci.TEXT_TAGS)
 
 
+SHOWN_TAGS = [t for t in ci.TEXT_TAGS if t.severity != "Metadata"]
+
+
+def _snippets_a(spark, sf):
+    """Snippets of the tags other than Metadata; the others are not searched for."""
+    return tagging.run_snippets(ci.runs_a(spark, sf), ci.artifacts_a(spark, sf), SHOWN_TAGS)
+
+
 @query
 def tag_catalog(spark, sf):
     used = _hits_a(spark, sf).groupBy("tag_id").agg(F.count(F.lit(1)).alias("n_runs"))
@@ -280,6 +291,15 @@ def tag_hits(spark, sf):
     return _hits_a(spark, sf)
 
 
+@query
+def sketched_hits(spark, sf):
+    """Console tags of set A's logs by way of their stored sketches."""
+    logs = ci.runs_a(spark, sf).filter("log is not null").select("run_id", "log")
+    sketches = cut_lineage(sketch.add_sketches(logs, "log"))
+    console = [t for t in ci.TEXT_TAGS if t.field == "Console"]
+    return sketch.sketched_hits(logs, sketches, ["run_id"], "log", console)
+
+
 @query
 def issues_console(spark, sf):
     runs = ci.runs_a(spark, sf).filter(F.col("log").isNotNull())
@@ -332,13 +352,23 @@ def artifact_formats(spark, sf):
 
 
 def _stock_issues(spark, sf):
-    return tagging.all_issues(ci.runs_stock(spark, sf), ci.artifacts_a(spark, sf), catalog.STOCK_TAGS)
+    return tagging.all_issues(ci.runs_stock(spark, sf), ci.artifacts_stock(spark, sf), catalog.STOCK_TAGS)
 
 
 @query
 def stock_issues(spark, sf):
     return _stock_issues(spark, sf).select(
-        "run_id", "tag_id", "snippet", "snippet_start", "snippet_end", "duplicates"
+        "run_id", "artifact_id", "tag_id", "snippet", "snippet_start", "snippet_end", "duplicates"
+    )
+
+
+@query
+def stock_catalog(spark, sf):
+    """The 43 stock tags and the number of runs that have each."""
+    hits = tagging.run_hits(ci.runs_stock(spark, sf), ci.artifacts_stock(spark, sf), catalog.STOCK_TAGS)
+    used = hits.groupBy("tag_id").agg(F.count(F.lit(1)).alias("n_runs"))
+    return catalog.tags_df(spark, catalog.STOCK_TAGS).join(used, "tag_id", "left").select(
+        "tag_id", "name", "field", "severity", F.coalesce("n_runs", F.lit(0)).alias("n_runs")
     )
 
 
@@ -347,7 +377,7 @@ def stock_issues(spark, sf):
 
 def _fuzzy_issues(spark, sf):
     """Stored issues other than Metadata."""
-    found = tagging.not_metadata(_issues_a(spark, sf), _tags_a(spark))
+    found = tagging.all_issues(ci.runs_a(spark, sf), ci.artifacts_a(spark, sf), SHOWN_TAGS)
     return cut_lineage(found.select("issue_id", "run_id", "tag_id", "snippet"))
 
 
@@ -388,6 +418,54 @@ def similar_pairs(spark, sf):
     )
 
 
+@query
+def similar_pairs_by_night(spark, sf):
+    """The pairs of three nights, each of which looks its new snippets up in the index of those before."""
+    issues = _fuzzy_stock(spark, sf)
+    root = scratch_path(spark, "snippets")
+    for night in range(3):
+        tonight = issues.filter(F.col("run_id") % 3 == night).select("snippet")
+        snippet_index.add_snippets(spark, tonight, root, night, THRESHOLD)
+    return snippet_index.all_pairs(spark, root).select(
+        "a", "b", F.col("distance").cast("long").alias("distance"), F.round("similarity", 9).alias("similarity")
+    )
+
+
+def _links(issues: DataFrame) -> DataFrame:
+    nodes = sim.distinct_snippets(issues)
+    first = lambda node, name: nodes.select(F.col("node").alias(node), F.col("first_issue").alias(name))
+    return (
+        sim.similar_links(nodes, THRESHOLD)
+        .join(first("node", "issue_id"), "node")
+        .join(first("first_similar", "first_similar_issue"), "first_similar", "left")
+        .select("issue_id", "n_similar", "first_similar_issue")
+    )
+
+
+@query
+def similar_links(spark, sf):
+    return _links(_fuzzy_issues(spark, sf))
+
+
+STOCK_SHOWN = [t for t in catalog.STOCK_TAGS if t.severity != "Metadata"]
+
+
+def _fuzzy_stock(spark, sf):
+    """Tool messages of the stock catalog: many differ in numbers only."""
+    found = tagging.all_issues(ci.runs_stock(spark, sf), ci.artifacts_stock(spark, sf), STOCK_SHOWN)
+    return cut_lineage(found.select("issue_id", "run_id", "tag_id", "snippet"))
+
+
+@query
+def stock_similar_links(spark, sf):
+    return _links(_fuzzy_stock(spark, sf))
+
+
+@query
+def stock_similarity_members(spark, sf):
+    return sim.group_members(_fuzzy_stock(spark, sf), THRESHOLD)
+
+
 @query
 def similarity_groups(spark, sf):
     nodes = sim.distinct_snippets(_fuzzy_issues(spark, sf))
@@ -459,22 +537,22 @@ def run_totals(spark, sf):
 @query
 def issues_found(spark, sf):
     return stats.issues_found(
-        _issues_a(spark, sf), _tags_a(spark), ci.runs_a(spark, sf), ci.builds_a(spark, sf)
+        _snippets_a(spark, sf), _tags_a(spark), ci.runs_a(spark, sf), ci.builds_a(spark, sf)
     )
 
 
 @query
 def unknown_runs(spark, sf):
-    return stats.unknown_runs(
-        _issues_a(spark, sf), _tags_a(spark), ci.runs_a(spark, sf), ci.builds_a(spark, sf)
-    )
+    runs, builds = ci.runs_a(spark, sf), ci.builds_a(spark, sf)
+    hits = tagging.run_hits(runs.filter(is_bad(F.col("status"))), ci.artifacts_a(spark, sf), SHOWN_TAGS)
+    return stats.unknown_runs(hits, _tags_a(spark), runs, builds)
 
 
 @query
 def deployment_totals(spark, sf):
-    return stats.deployment_totals(
-        ci.builds_a(spark, sf), _issues_a(spark, sf), _tags_a(spark), _members(spark, sf)
-    )
+    issues = _fuzzy_issues(spark, sf)
+    members = sim.group_members(issues, THRESHOLD)
+    return stats.deployment_totals(ci.builds_a(spark, sf), issues, _tags_a(spark), members)
 
 
 # ---- views --------------------------------------------------------------------------------------
@@ -506,16 +584,17 @@ for _name, _view in VIEWS.items():
     _register_view(_name, _view)
 
 
-def _tagged_stock(spark, sf):
+def _tagged_stock(spark, sf, tags):
+    """Latest runs with those of their tags that a view asks for."""
     runs = ci.runs_stock(spark, sf)
-    hits = tagging.run_hits(runs, ci.artifacts_a(spark, sf), catalog.STOCK_TAGS)
+    hits = tagging.run_hits(runs, ci.artifacts_stock(spark, sf), tags)
     return views.run_tag_ids(hits, stats.latest_runs(runs, ci.builds_a(spark, sf)))
 
 
 def _register_stock_view(name: str, view: views.View) -> None:
-    QUERIES[name] = lambda spark, sf: views.show(
-        view, _refs(catalog.STOCK_TAGS), _tagged_stock(spark, sf)
-    )
+    refs = _refs(catalog.STOCK_TAGS)
+    asked = [t for t in catalog.STOCK_TAGS if t.tag_id in view.reads(refs)]
+    QUERIES[name] = lambda spark, sf: views.show(view, refs, _tagged_stock(spark, sf, asked))
 
 
 for _title, _view in views.stock_views(catalog.AGENT_NAMES).items():
@@ -544,7 +623,7 @@ def run_tags(spark, sf):
 
 @query
 def run_issue_panel(spark, sf):
-    return marts.run_issue_panel(ci.runs_a(spark, sf), _issues_a(spark, sf), _tags_a(spark))
+    return marts.run_issue_panel(ci.runs_a(spark, sf), _snippets_a(spark, sf), _tags_a(spark))
 
 
 @query

@@ -1,13 +1,17 @@
 """Pairs and groups against brute force."""
 
+import hashlib
 import math
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from buildlens.functions.text import similarity
-from buildlens.operators import graph, similarity as sim
+from buildlens.operators import graph, similarity as sim, snippet_index
+from buildlens.session import scratch_path
 
 
 def edits(a, b):
@@ -85,6 +89,50 @@ def test_pairs_equal_brute_force(spark, threshold):
     assert got == want and len(want) > 5
 
 
+@pytest.mark.parametrize("texts", [snippets(7), None])
+def test_links_equal_brute_force(spark, texts):
+    texts = texts or _numbered(random.Random(5))
+    nodes = sim.distinct_snippets(issue_table(spark, texts))
+    text_of = {r.node: r.snippet for r in nodes.collect()}
+    got = {text_of[r.node]: (r.n_similar, text_of.get(r.first_similar)) for r in sim.similar_links(nodes, 0.9).collect()}
+    near = {x: [y for y in texts if y != x and close(x, y, 0.9) > 0.9] for x in texts}
+    want = {x: (len(near[x]), next((y for y in texts[: texts.index(x)] if y in near[x]), None)) for x in texts}
+    assert got == want and sum(n for n, _ in got.values()) > 10
+
+
+def test_links_of_a_family_are_not_compared(spark):
+    texts = [f"worker {i:04d} gave up waiting for an answer from the other side of the wire today" for i in range(2000)]
+    rows = sim.similar_links(sim.distinct_snippets(issue_table(spark, texts)), 0.9).collect()
+    assert len(rows) == 2000 and {r.n_similar for r in rows} == {1999} and sum(r.first_similar is None for r in rows) == 1
+
+
+def test_nights_find_the_pairs_of_a_full_run(spark):
+    texts = snippets(7)
+    root = scratch_path(spark, "index")
+    frame = lambda some: spark.createDataFrame([(t,) for t in some], "snippet string")
+    for night, some in enumerate((texts[:20], texts[10:45], texts[:5], texts[45:])):
+        before = {str(f) for f in Path(root.removeprefix("file:")).rglob("*.parquet")}
+        snippet_index.add_snippets(spark, frame(some), root, night, 0.9)
+        after = {str(f) for f in Path(root.removeprefix("file:")).rglob("*.parquet")}
+        assert before <= after and all(f"night={night}" in f for f in after - before)
+        assert (after == before) == (night == 2)  # nothing new, nothing written
+    # Each snippet was stored and cut once, and every pair is there once.
+    kept = [r.snippet for r in snippet_index.stored(spark, root, "snippets").collect()]
+    assert sorted(kept) == sorted(texts)
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = sorted(
+        (*sorted((md5(x), md5(y))), edits(x, y))
+        for i, x in enumerate(texts) for y in texts[i + 1 :] if close(x, y, 0.9) > 0.9
+    )
+    assert sorted((r.a, r.b, r.distance) for r in snippet_index.all_pairs(spark, root).collect()) == want
+    # A candidate's text is read from its own slot.
+    asked = spark.createDataFrame([(md5(texts[0]), md5(texts[0])[:2])], "node string, slot string")
+    read = snippet_index.old_texts(spark, root, 3, asked)
+    assert [r.snippet for r in read.collect()] == [texts[0]]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*slot#\d+ = " + md5(texts[0])[:2], plan), plan
+
+
 def test_members_equal_brute_force(spark):
     base = snippets(11)
     texts = [t for t in base for _ in range(1 + len(t) % 3)]
@@ -145,15 +193,57 @@ def _random_edges(seed, nodes, share):
     return [(i, j) for i in range(nodes) for j in range(i + 1, nodes) if rng.random() < share]
 
 
-@pytest.mark.parametrize("seed,nodes,share", [(1, 9, 0.5), (2, 14, 0.25), (3, 12, 0.85)])
-def test_rounds_equal_greedy(spark, seed, nodes, share):
-    edges = _random_edges(seed, nodes, share)
-    df = spark.createDataFrame(edges, "a long, b long")
+def _greedy_seeds(edges):
     linked = set(edges)
     ends = sorted({n for e in edges for n in e})
     groups = greedy(ends, lambda x, y: (min(x, y), max(x, y)) in linked)
-    want = sorted((n, g[0]) for g in groups for n in g)
-    assert sorted(map(tuple, graph.complete_linkage(df).collect())) == want
+    return sorted((n, g[0]) for g in groups for n in g)
+
+
+@pytest.mark.parametrize("prefix", [2, graph.PREFIX])
+@pytest.mark.parametrize("seed,nodes,share", [(1, 9, 0.5), (2, 14, 0.25), (3, 12, 0.85), (4, 40, 0.4)])
+def test_rounds_equal_greedy(spark, monkeypatch, seed, nodes, share, prefix):
+    monkeypatch.setattr(graph, "PREFIX", prefix)
+    monkeypatch.setattr(graph, "SPAN_BITS", 1)
+    edges = _random_edges(seed, nodes, share)
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert sorted(map(tuple, graph.complete_linkage(df).collect())) == _greedy_seeds(edges)
+
+
+def _counting(monkeypatch):
+    """Counts the tables that the grouping writes."""
+    written = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: written.append(1) or cut(df))
+    return written
+
+
+def test_a_chain_does_not_take_a_round_per_node(spark, monkeypatch):
+    written = _counting(monkeypatch)
+    edges = [(i, i + k) for i in range(100) for k in (1, 2, 3)] + [(200 + i, 201 + i) for i in range(100)]
+    got = graph.complete_linkage(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == _greedy_seeds(edges) and len(written) <= 14
+
+
+def test_a_group_of_many_is_counted_in_spans(spark, monkeypatch):
+    """Spokes of one hub that form two groups beside it; no exchange is by the group alone but that of the spans."""
+    n = 20_000
+    marks = spark.range(n).select(
+        F.lit(7).cast("long").alias("seed"), F.col("id").alias("node"),
+        F.when(F.col("id") % 2 == 0, 1).otherwise(0).alias("counts"), (F.col("id") % 2 == 1).alias("asks"))
+    counted = graph._count_before(marks)
+    assert {(r.node, r.before) for r in counted.collect()} == {(i, (i + 1) // 2) for i in range(1, n, 2)}
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    assert len(windows) == 2 and sum("span" in w.split("], [")[1] for w in windows if "], [" in w) >= 1
+
+
+def test_a_large_clique_is_settled_in_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PREFIX", 50)
+    written = _counting(monkeypatch)
+    edges = [(i, j) for i in range(400) for j in range(i + 1, 400)] + [(399, 900), (900, 901)]
+    got = dict(map(tuple, graph.complete_linkage(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**dict.fromkeys(range(400), 0), 900: 900, 901: 900} and len(written) <= 12
 
 
 def test_components(spark):

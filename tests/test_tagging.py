@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from buildlens.catalog import STOCK_TAGS, Tag, check_tags, fingerprint, fingerprint_df, number_tags, tags_df
 from buildlens.functions.text import byte_slice
-from buildlens.operators import tagging
+from buildlens.operators import sketch, tagging
 from buildlens.plans import queries
 from buildlens.schemas import RUNS
+from buildlens.session import cut_lineage, in_buckets
+
+RUNS_SCHEMA = "run_id long, url string, status string, display_name string, log string, tag_schema string, build_id long"
 
 TAP = """not ok 12 - sorted list keeps order
   want: 1 2 3
@@ -165,7 +168,55 @@ def test_stock_issues_hold_those_of_artifacts(spark, monkeypatch):
     rows = spark.createDataFrame([(i, 1, bytearray(t, "utf-8")) for i, t in enumerate(texts)], "artifact_id long, run_id long, contents binary")
     runs = spark.createDataFrame([(1, "run", None, None)], "run_id long, display_name string, log string, tag_schema string")
     monkeypatch.setattr(queries.ci, "runs_stock", lambda *_: runs)
-    monkeypatch.setattr(queries.ci, "artifacts_a", lambda *_: rows)
+    monkeypatch.setattr(queries.ci, "artifacts_stock", lambda *_: rows)
     names = {t.tag_id: t.name for t in STOCK_TAGS}
     got = {names[r["tag_id"]] for r in queries.stock_issues(spark, "").collect()}
     assert got == {"cc_warn", "tap_failure"}
+
+
+def test_spans_come_to_logs_in_buckets(spark):
+    """Logs laid out by run once are not exchanged again by the joins with them."""
+    logs = [(i, f"u{i}", "FAILURE", f"name{i}", f"line\nboom {i}!\né boom {i}", None, 1) for i in range(50)]
+    runs = spark.createDataFrame(logs, RUNS_SCHEMA).select(*RUNS.names)
+    laid_out = in_buckets(runs, "run_id")
+    tags = number_tags([Tag("boom", r"boom [0-9]+", "Console", "Error"), Tag("name", r"e[0-9]+", "RunName", "Info")])
+    none = spark.createDataFrame([], "artifact_id long, path string, contents binary, run_id long")
+    issues = cut_lineage(tagging.all_issues(runs, none, tags))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        cut = tagging.issue_snippets(issues, tags_df(spark, tags), laid_out, none)
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        got = {r.issue_id: r.snippet for r in cut.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {r.issue_id: r.snippet for r in issues.collect()} and len(got) == 100
+    # Indentation tells what stands above what: no exchange between the scan with the log and its join.
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "Scan parquet" in line and "log" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    above, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            above.append(line)
+            if "Join" in line:
+                break
+    assert "Join" in above[-1] and not any("Exchange" in line for line in above), plan
+
+
+def test_sketches_hide_no_match_and_spare_most_texts(spark):
+    rows = [(i, golden(t)[0] * (1 if i % 3 else 3000)) for i, t in enumerate(STOCK_TAGS) if t.field == "Console"]
+    rows += [(1000 + i, f"nothing of note in line {i}\n" * 50) for i in range(200)] + [(2000, ""), (2001, "é"), (2002, None)]
+    texts = spark.createDataFrame(rows, "run_id long, log string")
+    console = [t for t in STOCK_TAGS if t.field == "Console"]
+    sketches = cut_lineage(sketch.add_sketches(texts, "log"))
+    got = {tuple(r) for r in sketch.sketched_hits(texts, sketches, ["run_id"], "log", console).collect()}
+    plain = {tuple(r) for r in tagging.tag_hits(texts, ["run_id"], "log", console).collect()}
+    assert got == plain and len(plain) >= len(console)
+    # An added tag reads the sketches, and of the texts those that can match.
+    for tag in console:
+        if tag.needle and len(tag.needle) > 5:
+            asked = {r.run_id for r in sketch.possible_tags(sketches, [tag]).collect()}
+            assert {i for i, x in rows if x and tag.needle in x} <= asked and len(asked) <= 40
+    assert {r.asked[0] for r in sketch.possible_tags(sketches, [Tag("free", "x", "Console", "Info", tag_id=9)]).collect()} == {9}
