@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.bytesops import BASE, mixed, pieces, utf8
-from buildlens.session import scratch_path
+from buildlens.session import in_buckets, scratch_path
 
 GRAM = 32
 CHUNK = 1 << 21
+STEP = 1 << 17
+MERGED = 1 << 19
 SHARD = 1 << 22
 HOT = 4096
 
@@ -79,15 +81,15 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(data)
     keys = first_bytes(data)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
     # Shorter than eight bytes: the zero padding could tie with real zero bytes.
+    short = np.isin(sorted_keys, keys[-7:])
+    spots = np.flatnonzero(short)
+    order[spots] = order[spots][np.lexsort((np.minimum(n - order[spots], 8), sorted_keys[spots]))]
     tail = np.minimum(n - order, 8)
     new = np.ones(n, bool)
-    if n > 1:
-        by = np.lexsort((tail, keys[order])) if n else order
-        order, tail = order[by], tail[by]
-        sorted_keys = keys[order]
-        new[1:] = (sorted_keys[1:] != sorted_keys[:-1]) | (tail[1:] != tail[:-1])
+    new[1:] = (sorted_keys[1:] != sorted_keys[:-1]) | (short[1:] & (tail[1:] != tail[:-1]))
     rank = np.empty(n, np.int64)
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = group
@@ -100,12 +102,13 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         suffix = order[spots]
         far = suffix + ahead
         second = np.where(far < n, rank[np.minimum(far, n - 1)], -1)
-        by = np.lexsort((second, group[spots]))
+        # Group and rank ahead in one number: a single sort orders every group.
+        pair = group[spots] * (n + 1) + second + 1
+        by = np.argsort(pair)
         order[spots] = suffix[by]
-        second = second[by]
-        g = group[spots]
+        pair = pair[by]
         fresh = np.ones(len(spots), bool)
-        fresh[1:] = (g[1:] != g[:-1]) | (second[1:] != second[:-1])
+        fresh[1:] = pair[1:] != pair[:-1]
         new[spots] = fresh
         group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         rank[order[spots]] = group[spots]
@@ -183,26 +186,78 @@ def _expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _anchor_rows(size: int):
+def _anchored(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+    """(rows, hash, row, spot) of the windows in slices of the batches; a spot packs start, number and offset of the gram."""
+    for batch in pieces(batches, "text", CHUNK):
+        data, offsets = utf8(batch.column("text"))
+        found = []
+        # Cuts that the processor's caches hold; each window lies in one of them.
+        for lo in range(0, max(1, len(data) - size + 1), STEP):
+            hi = min(len(data), lo + STEP + size - 1)
+            cut = np.clip(offsets, lo, hi) - lo
+            text, first, last, place, h = anchors(data[lo:hi], cut, size)
+            shift = lo - offsets[text]
+            found.append((h, text, ((first + shift) << 14) | ((last - first) << 7) | (place - first)))
+        yield batch, *map(np.concatenate, zip(*found))
+
+
+SPOTS = "h long, doc_id long, rk long, spot long"
+
+
+def _spot_rows(size: int):
+    """Spots of grams, to be told apart by other slices of the texts.
+
+    A gram that occurs twice in a slice is known to repeat: its spots need no more looking up (h is null),
+    one row without a spot tells the other slices. So a frequent gram has a row a slice, not one a text.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", CHUNK):
-            data, offsets = utf8(batch.column("text"))
-            rk = batch.column("rk").to_numpy()
-            # A text longer than a chunk is cut so that each window lies in one of the cuts.
-            for lo in range(0, max(1, len(data) - size + 1), CHUNK * 2):
-                hi = min(len(data), lo + CHUNK * 2 + size - 1)
-                cut = np.clip(offsets, lo, hi) - lo
-                text, first, last, place, h = anchors(data[lo:hi], cut, size)
-                shift = lo - offsets[text]
-                packed = ((first + shift) << 14) | ((last - first) << 7) | (place - first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(rk[text], pa.int64()), pa.array(packed, pa.int64())],
-                    ["h", "rk", "spot"],
-                )
+        for batch, h, text, spot in _anchored(batches, size):
+            value, which, n = np.unique(h, return_inverse=True, return_counts=True)
+            known = n[which] > 1
+            told = value[n > 1]
+            none = np.ones(len(told), bool)
+            mask = np.append(np.zeros(len(h), bool), none)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.append(h, told).view(np.int64), mask=np.append(known, ~none)),
+                    pa.array(np.append(batch.column("doc_id").to_numpy()[text], np.zeros(len(told), np.int64)), mask=mask),
+                    pa.array(np.append(batch.column("rk").to_numpy()[text], np.zeros(len(told), np.int64)), mask=mask),
+                    pa.array(np.append(spot, np.zeros(len(told), np.int64)), mask=mask),
+                ],
+                ["h", "doc_id", "rk", "spot"],
+            )
 
     return run
 
 
+def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by h, the spots whose h is null or also that of a neighbour."""
+    held: pa.RecordBatch | None = None
+    before: int | None = None
+
+    def settled(rows: pa.RecordBatch, after: int | None) -> pa.RecordBatch:
+        h = rows.column("h")
+        sure = h.is_null().to_numpy(zero_copy_only=False)
+        value = h.fill_null(0).to_numpy(zero_copy_only=False)
+        near = np.zeros(len(value) + 1, bool)
+        near[1:-1] = (value[1:] == value[:-1]) & ~sure[1:] & ~sure[:-1]
+        near[0] = before is not None and not sure[0] and value[0] == before
+        near[-1] = after is not None and not sure[-1] and value[-1] == after
+        wanted = (sure | near[1:] | near[:-1]) & rows.column("spot").is_valid().to_numpy(zero_copy_only=False)
+        return rows.select(["doc_id", "rk", "spot"]).filter(pa.array(wanted))
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held is not None:
+            yield settled(held, batch.column("h")[0].as_py())
+            before = held.column("h")[-1].as_py()
+        held = batch
+    if held is not None:
+        yield settled(held, None)
+
+
 ROWS = "kind int, doc_id long, rk long, start long, stop long, off int, ctx binary"
 
 
@@ -250,7 +305,8 @@ def _shard_rows(size: int):
         inside = place - offsets[text[owner]]
         first_of = earliest[number]
         # Repeated rows are one document: the same place of the same row is no repeat.
-        again = (rk[text[owner]] != rk[text[owner[first_of]]]) | (inside != inside[first_of])
+        mine, earlier = text[owner], text[owner[first_of]]
+        again = (doc_id[mine] != doc_id[earlier]) | (rk[mine] != rk[earlier]) | (inside != inside[first_of])
         t, s, e = _runs(place[again], text[owner[again]], size)
         yield _rows(0, doc_id[t], rk[t], s - offsets[t], e - offsets[t])
         left = np.flatnonzero(~again)
@@ -294,10 +350,13 @@ def _merge_rows(size: int):
         windows = _expand(offsets[:-1], n)
         owner = np.repeat(np.arange(len(n)), n)
         hashes = rolling(data, size)[windows]
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         ranked = hashes[order]
-        # Binary search for the first window of each hash; its bytes must agree.
-        first = order[np.searchsorted(ranked, hashes)]
+        heads = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        earliest = np.minimum.reduceat(order, heads)
+        # Binary search for the hash of each window finds the first one that has it; its bytes must agree.
+        first = np.empty(len(order), np.int64)
+        first[order] = earliest[np.searchsorted(ranked[heads], ranked)]
         rest = np.flatnonzero(first != np.arange(len(windows)))
         a, b = windows[rest], windows[first[rest]]
         same = np.ones(len(rest), bool)
@@ -313,7 +372,8 @@ def _merge_rows(size: int):
                 (again.add if seen.setdefault(word, i) != i else again.discard)(i)
             rest = np.array(sorted(again), np.int64)
         inside = windows - offsets[owner] + start[owner]
-        rest = rest[(inside[rest] != inside[first[rest]]) | (rk[owner[rest]] != rk[owner[first[rest]]])]
+        mine, earlier = owner[rest], owner[first[rest]]
+        rest = rest[(inside[rest] != inside[first[rest]]) | (doc_id[mine] != doc_id[earlier]) | (rk[mine] != rk[earlier])]
         place = inside[rest]
         own, s, e = _runs(place, owner[rest], size)
         return _rows(0, doc_id[own], rk[own], s, e)
@@ -323,7 +383,7 @@ def _merge_rows(size: int):
         total = 0
         for batch in pieces(batches, "ctx", CHUNK):
             g = batch.column("g").to_numpy()
-            if held and total >= CHUNK:
+            if held and total >= MERGED:
                 # Whole groups only: the rows of the last group may go on.
                 cut = int(np.searchsorted(g != held[-1].column("g")[-1].as_py(), True)) if len(g) else 0
                 if cut < len(g):
@@ -343,8 +403,11 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROW_KEY = ["doc_id", "rk"]
+
+
 def repeated_spans(docs: DataFrame, size: int = 100, most: int = HOT) -> DataFrame:
-    """(rk, spans): byte spans to remove from the texts of ``docs`` (doc_id, rk, text), one row each.
+    """(doc_id, rk, spans): byte spans to remove from the texts of ``docs`` (doc_id, rk, text), one row each.
 
     1. Every window of ``size`` bytes has an anchor gram that its bytes alone decide. Windows whose
        gram occurs once in the corpus can't be repeated; runs of the others are candidates.
@@ -355,13 +418,11 @@ def repeated_spans(docs: DataFrame, size: int = 100, most: int = HOT) -> DataFra
        first equal one by binary search. Grams in more than ``most`` different surroundings are
        dealt window by window instead, by the whole window: no gram is gathered in one task.
     """
-    rows = docs.select("rk", "text").mapInArrow(_anchor_rows(size), "h long, rk long, spot long")
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    spots = (
-        rows.join(often.hint("shuffle_hash"), "h", "left_semi")
-        .groupBy("rk").agg(F.collect_list("spot").alias("spots"))
-    )
-    shards = docs.join(spots.hint("shuffle_hash"), "rk").select("doc_id", "rk", "text", "spots")
+    rows = docs.select(*ROW_KEY, "text").mapInArrow(_spot_rows(size), SPOTS)
+    dealt = rows.repartition(F.coalesce("h", "rk")).sortWithinPartitions(F.col("h").asc_nulls_first())
+    often = dealt.mapInArrow(_repeating, "doc_id long, rk long, spot long")
+    spots = often.groupBy(*ROW_KEY).agg(F.collect_list("spot").alias("spots"))
+    shards = docs.join(spots, ROW_KEY).select("doc_id", "rk", "text", "spots")
     found = _written(shards.mapInArrow(_shard_rows(size), ROWS), "shards")
 
     grams = found.filter("kind = 1").withColumn(
@@ -386,17 +447,17 @@ def repeated_spans(docs: DataFrame, size: int = 100, most: int = HOT) -> DataFra
     )
     late = windows.join(singles, "ctx").filter(
         F.struct("doc_id", "rk", F.col("start") + F.col("i")) > F.col("first")
-    ).select("rk", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + size).alias("stop"))
+    ).select(*ROW_KEY, (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + size).alias("stop"))
     dealt = known.filter("hot is null").select(*names).repartition("g").sortWithinPartitions(
         "g", "doc_id", "rk", "start"
     )
     merged = dealt.mapInArrow(_merge_rows(size), ROWS)
     spans = (
-        found.filter("kind = 0").select("rk", "start", "stop")
-        .unionByName(merged.select("rk", "start", "stop"))
+        found.filter("kind = 0").select(*ROW_KEY, "start", "stop")
+        .unionByName(merged.select(*ROW_KEY, "start", "stop"))
         .unionByName(late)
     )
-    return spans.groupBy("rk").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return spans.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
@@ -409,27 +470,23 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     are one document and give the same row each; different texts of one id are documents in the
     order of a hash. Other columns aren't read. An empty table gives an empty result.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "order", F.coalesce("doc_id", F.lit(-(2**63)))
-    )
-    ids = texts.withColumn("rk", F.xxhash64("order", "text")).withColumn("same", F.md5("text"))
+    texts = docs.select(
+        F.col("doc_id").alias("id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    ).withColumn("rk", F.xxhash64("doc_id", "text"))
+    ids = texts.filter(F.octet_length("text") >= size).select(*ROW_KEY, F.md5("text").alias("same"))
     least = (
-        ids.filter(F.octet_length("text") >= size)
-        .groupBy("same")
-        .agg(F.min(F.struct("order", "rk")).alias("first"), F.count(F.lit(1)).alias("n"))
+        ids.groupBy("same")
+        .agg(F.min(F.struct(*ROW_KEY)).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("same", "first.rk", "n")
-        .withColumnsRenamed({"same": "of", "rk": "first_rk"})
-    )
-    copies = _written(
-        ids.select("rk", "same").join(least.hint("shuffle_hash"), F.col("same") == F.col("of"))
-        .groupBy("rk").agg(F.max(F.col("rk") != F.col("first_rk")).alias("copy"), F.count(F.lit(1)).alias("n")),
-        "copies",
+        .select("same", "first")
     )
-    # Copies have nothing to add: what they hold is in the first. One row of repeated ones stands.
-    again = copies.filter("copy").select("rk")
-    firsts = ids.select(F.col("order").alias("doc_id"), "rk", "text").join(again, "rk", "left_anti")
-    spans = repeated_spans(firsts, size)
+    copies = ids.join(least, "same").filter(F.struct(*ROW_KEY) != F.col("first")).select(*ROW_KEY).distinct()
+    # Copies have nothing to add: what they hold is in the first.
+    marked = _written(copies.withColumn("copy", F.lit(True)), "copies")
+    placed = in_buckets(texts, *ROW_KEY)
+    spans = repeated_spans(placed.select(*ROW_KEY, "text").join(marked, ROW_KEY, "left_anti"), size)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -457,9 +514,6 @@ def remove_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
                 ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    joined = ids.select("doc_id", "rk", "text").join(
-        copies.filter("copy").select("rk", "copy").join(spans, "rk", "full").hint("shuffle_hash"), "rk", "left"
-    )
-    return joined.select("doc_id", "text", "copy", "spans").mapInArrow(
-        run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long"
-    )
+    marks = marked.join(spans, ROW_KEY, "full")
+    joined = placed.join(marks, ROW_KEY, "left").select(F.col("id").alias("doc_id"), "text", "copy", "spans")
+    return joined.mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
