@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from buildlens.llm.bytesops import mixed, pieces, utf8
 from buildlens.llm.resampling import lowered
+from buildlens.session import cut_lineage
 
 # Bytes of a gram; a gram is its bytes and its length in one number, so no two grams are the same.
 SIZES = (3, 4)
@@ -100,11 +101,16 @@ def build_filters(held: list[tuple[str, np.ndarray]]) -> LanguageFilters:
 
 
 def _sampled(learn: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows of each language, by the md5 of their ids: reruns take the same."""
-    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """About ``most`` rows of each language, by the md5 of their ids: reruns take the same.
+
+    The driver sees a count per language, as it later sees each language's grams; texts are drawn where they lie.
+    """
+    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not sizes:
+        return learn
+    share = F.create_map(*[c for r in sizes for c in (F.lit(r["lang"]), F.lit(most / r["n"]))])
     drawn = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double")
-    # A row per language; Spark sees its size.
-    return learn.join(sizes, "lang").filter(drawn < F.lit(float(16**12)) * most / F.col("n"))
+    return learn.filter(drawn < F.lit(float(16**12)) * share[F.col("lang")])
 
 
 def _counts(learn: DataFrame) -> DataFrame:
@@ -134,7 +140,7 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE, most: int = GRAMS) -> L
     them; these are all that reaches the driver.
     """
     learn = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).dropna(subset=["text", "lang"])
-    counts = _counts(_sampled(learn, sample))
+    counts = cut_lineage(_counts(_sampled(learn, sample)))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     used = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = used.groupBy("gram").agg(F.max("rate").alias("best"))

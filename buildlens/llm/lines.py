@@ -58,6 +58,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
         .filter(F.col("n") >= min_docs)
         .select("h", "keep")
     )
+    # Written, so that Spark knows its size and may broadcast it or split the rows of a hot line.
+    hot = cut_lineage(hot)
     drops = (
         keys.join(hot, "h")
         .filter(~F.col("doc_id").eqNullSafe(F.col("keep")))

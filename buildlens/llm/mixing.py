@@ -61,6 +61,35 @@ def _salted(per_source: DataFrame) -> DataFrame:
     return per_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def _chances(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """(key, from, m, left): documents of ``from`` words or more share ``left`` words, at m / sqrt(1 + size).
+
+    The chances of all documents that are taken once more must add up to ``rest`` words. The shortest have
+    the highest: as long as theirs would be one or more they are certain, their words come off the rest, and
+    m grows for the others. One row per source and document length is sorted.
+    """
+    root = F.sqrt(F.col("size") + 1.0)
+    # Words per unit of 1 / sqrt(1 + size), in whole thousandths: the sum has one result.
+    thousandths = F.floor(F.col("size") * 1000 / root).cast("long")
+    sizes = sized.filter("size > 0").groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.join(plan.filter("rest >= 0.5").select("key", "rest"), "key")
+    order = Window.partitionBy("key").orderBy("size")
+    shorter = F.sum(F.col("size") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    unit = F.sum(thousandths * F.col("n")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    shares = sizes.withColumn("left", F.col("rest") - F.coalesce(shorter, F.lit(0))).withColumn(
+        "m", F.col("left") / F.greatest(unit, F.lit(1))
+    )
+    first = F.min(F.when(F.col("m") * 1000 / root < 1, F.struct("size", "m", "left"))).alias("first")
+    found = shares.groupBy("key").agg(first)
+    # Without such a length all are certain.
+    return found.select(
+        "key",
+        F.coalesce("first.size", F.lit(2**62)).alias("from"),
+        F.coalesce("first.m", F.lit(0.0)).alias("m"),
+        F.coalesce("first.left", F.lit(0.0)).alias("left"),
+    )
+
+
 def _uniform(doc_id: Column) -> Column:
     """A number in (0, 1) that depends on the id alone."""
     digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13)
@@ -72,10 +101,11 @@ def mix_sources(docs: DataFrame, most: int = MOST, weights: tuple = WEIGHTS) ->
 
     A document's size is its number of words. A source needs target / source_size copies of each
     word. Whole copies are certain. What is left goes to a Pareto order sample: document j has the
-    inclusion probability p = min(1, rest * m / sqrt(1 + size)) with the number m that lets the
-    expected words meet the rest before capping at one; documents are ranked by the odds of a random number divided by the odds
-    of p, and taken in this order while the middle of a document lies within the words that are
-    left. Short documents have the higher chances, so one very long text seldom decides a source.
+    inclusion probability p = min(1, m / sqrt(1 + size)) with the number m that lets the expected words
+    meet the rest. Documents with p = 1 are certain; the others are ranked by the odds of a random number
+    divided by the odds of p, and taken in this order while the middle of a document lies within the
+    words that are left. Short documents have the higher chances, so one very long text seldom decides
+    a source.
 
     Random numbers come from md5(doc_id): reruns agree. Null text and empty text have size 0 and
     take nothing; sources that are null are one source, the last; a null id is an id of its own;
@@ -96,45 +126,42 @@ def mix_sources(docs: DataFrame, most: int = MOST, weights: tuple = WEIGHTS) ->
     )
     targets = source_targets(sized, most, weights)
     root = F.sqrt(F.col("size") + 1.0)
-    units = sized.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"))
-    # Words per unit of 1 / sqrt(1 + size), in whole thousandths: the sum has one result.
-    thousandths = F.floor(F.col("size") * 1000 / root).cast("long")
-    rate = units.groupBy("key").agg(F.sum(thousandths * F.col("n")).alias("unit"))
-    plan = targets.join(rate, "key").select(
+    plan = targets.select(
         "key",
         "source_size",
         "target",
-        "unit",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
         .otherwise(0)
         .cast("long")
         .alias("certain"),
     )
     plan = plan.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-    p = F.least(F.lit(0.999999), F.col("rest") * 1000 / F.greatest("unit", F.lit(1)) / root)
+    plan = cut_lineage(plan.join(_chances(sized, plan), "key", "left"))
+    p = F.least(F.lit(0.999999), F.col("m") * 1000 / root)
     odds = F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")
     ranked = (
         sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
         .join(_salted(plan), ["key", "salt"])
         .withColumn("u", _uniform(F.col("doc_id")))
-        .withColumn("p", F.when((F.col("size") > 0) & (F.col("rest") >= 0.5), p))
+        .withColumn("p", F.when((F.col("size") >= F.col("from")) & (F.col("left") >= 0.5), p))
         .withColumn("q", odds)
         .withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS))
     )
-    sums = ranked.filter("p > 0").groupBy("key", "bucket", "rest").agg(F.sum("size").alias("words"))
+    sums = ranked.filter("p > 0").groupBy("key", "bucket", "left").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("key").orderBy("bucket")
     edge = (
         sums.withColumn("upto", F.sum("words").over(upto))
         .withColumn("before", F.col("upto") - F.col("words"))
         .groupBy("key")
         .agg(
-            F.min(F.when(F.col("upto") > F.col("rest"), F.struct("bucket", "before"))).alias("e")
+            F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", "before"))).alias("e")
         )
         .select("key", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"))
     )
     placed = ranked.join(_salted(edge), ["key", "salt"], "left").withColumn(
         "side",
-        F.when(F.col("p").isNull() | (F.col("p") <= 0), 1)
+        F.when((F.col("size") > 0) & (F.col("size") < F.col("from")) & (F.col("rest") >= 0.5), -1)
+        .when(F.col("p").isNull() | (F.col("p") <= 0), 1)
         .when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), -1)
         .when(F.col("bucket") > F.col("edge"), 1)
         .otherwise(0),
@@ -143,7 +170,7 @@ def mix_sources(docs: DataFrame, most: int = MOST, weights: tuple = WEIGHTS) ->
     on = placed.filter("side = 0").withColumn(
         "middle",
         F.col("before") + F.sum("size").over(at_edge.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2,
-    ).withColumn("extra", (F.col("middle") <= F.col("rest")).cast("long"))
+    ).withColumn("extra", (F.col("middle") <= F.col("left")).cast("long"))
     off = placed.filter("side <> 0").withColumn("extra", (F.col("side") < 0).cast("long"))
     names = ["doc_id", "source", "size", "source_size", "target", "certain", "extra"]
     both = on.select(*names).unionByName(off.select(*names))

@@ -86,10 +86,15 @@ TOXIC_LANGUAGES = ("en", "de", "fr", "es")
 TOXIC_FROM = 0.5
 
 
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the documents whose labels agree; null ones are left out."""
+    ends = labels.select("doc_id", label).dropna().groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("_most"))
+    return ends.filter(F.col(label) == F.col("_most")).drop("_most")
+
+
 def toxicity_model(documents: DataFrame, labels: DataFrame) -> ChainModel:
     """The chain toxic_en, toxic_de, toxic_fr, toxic_es, toxic, from the labelled documents."""
-    known = labels.select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"])
-    rows = documents.select("doc_id", "text", "lang").join(known, "doc_id")
+    rows = documents.select("doc_id", "text", "lang").join(_known(labels, "toxic"), "doc_id")
     for lang in TOXIC_LANGUAGES:
         here = F.col("lang").eqNullSafe(F.lit(lang)) & (F.col("toxic") == 1)
         rows = rows.withColumn(f"toxic_{lang}", here.cast("int"))
@@ -111,9 +116,9 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    labels = _known(read_table(spark, sf_dir, "labels"), "quality").withColumnRenamed("quality", "label")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    learn = docs.join(labels.dropna().dropDuplicates(["doc_id"]).filter(fold != 0), "doc_id")
+    learn = docs.join(labels.filter(fold != 0), "doc_id")
     scored = score_quality(docs, fit_quality(learn))
     return scored.select(
         "doc_id",

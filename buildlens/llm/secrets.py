@@ -14,6 +14,7 @@ class EntropyClass:
     """Candidates of one character class: maximal runs that hold a window of high entropy."""
 
     kind: str
+    letters: str
     pattern: str
     window: int
     bits: float
@@ -27,11 +28,12 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 
 BASE_KINDS = ("assign", "access", "hex")
+DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (
-    EntropyClass("hex_entropy", r"[0-9A-Fa-f]{20,}", 20, 3.0),
-    EntropyClass("base64_entropy", r"[A-Za-z0-9+/=_-]{24,}", 24, 4.0),
+    EntropyClass("hex_entropy", f"{DIGITS}ABCDEFabcdef", r"[0-9A-Fa-f]{20,}", 20, 3.0),
+    EntropyClass("base64_entropy", f"{UPPER}{LOWER}{DIGITS}+/=_-", r"[A-Za-z0-9+/=_-]{24,}", 24, 4.0),
 )
-# Candidates that hold one of these are documentation, not secrets.
+# Windows that touch one of these are documentation, not secrets.
 ALLOW = r"(?i)example|sample|placeholder|changeme|dummy|x{6}|0{12}|(?:deadbeef){2}|0123456789abcdef"
 SCALE = 1 << 20
 
@@ -49,89 +51,102 @@ def _parts(text: Column, pattern: str) -> Column:
     )
 
 
-def _high_entropy(run: Column, window: int, bits: float) -> Column:
-    """Whether some window of ``window`` characters of an ASCII run reaches ``bits`` of entropy.
+def _high_entropy(run: Column, c: EntropyClass) -> Column:
+    """Whether some window of ``c.window`` letters of a run of the class reaches ``c.bits`` of entropy.
 
-    With f(c) = c log2 c the entropy is log2 w - sum f(count) / w. The sum is kept while the window
-    slides: the leaving and the entering character change one count each. It is held in whole
-    units of 2^-20, so that the same window always gives the same sum.
+    With f(n) = n log2 n the entropy is log2 w - sum f(count) / w. Counts per letter and the sum are
+    kept while the window slides: the leaving and the entering letter change one count each. The sum is
+    held in whole units of 2^-20, so that the same window always gives the same sum.
     """
-    table = F.array(*[F.lit(round(c * math.log2(c) * SCALE) if c else 0) for c in range(window + 2)])
-    most = math.floor((math.log2(window) - bits) * window * SCALE)
-    chars = F.split(run, "")
-
-    def step(state: Column, i: Column) -> Column:
-        start = F.greatest(i - F.lit(window - 1), F.lit(1))
-        before = F.slice(chars, start, i - start)
-        here = F.element_at(chars, i)
-        c_in = F.size(F.filter(before, lambda y: y == here))
-        added = F.element_at(table, c_in + 2) - F.element_at(table, c_in + 1)
-        gone = F.get(chars, i - F.lit(window + 1))
-        c_out = F.size(F.filter(before, lambda y: y == gone))
-        taken = F.when(
-            i > window, F.element_at(table, c_out + 2) - F.element_at(table, c_out + 1)
-        ).otherwise(0)
-        total = state["total"] + added - taken
-        low = F.when(i >= window, F.least(state["low"], total)).otherwise(state["low"])
-        return F.struct(total.cast("long").alias("total"), low.cast("long").alias("low"))
+    table = F.array(*[F.lit(round(n * math.log2(n) * SCALE) if n else 0).cast("long") for n in range(c.window + 2)])
+    most = math.floor((math.log2(c.window) - c.bits) * c.window * SCALE)
+    letters = F.array(*[F.lit(x) for x in c.letters])
+    codes = F.transform(F.split(run, ""), lambda x: F.array_position(letters, x).cast("int"))
+    # Each letter beside the one that leaves the window when it enters, 0 while the window fills.
+    before = F.concat(F.array_repeat(F.lit(0), c.window), codes)
+    steps = F.zip_with(codes, F.slice(before, 1, F.char_length(run)), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
+    f = lambda n: F.element_at(table, n + 1)
+
+    def step(state: Column, x: Column) -> Column:
+        counts, enters, leaves = state["counts"], x["enters"], x["leaves"]
+        was = F.when(leaves > 0, F.element_at(counts, F.greatest(leaves, F.lit(1)))).otherwise(0)
+        now = F.element_at(counts, enters) - F.when(leaves == enters, 1).otherwise(0)
+        freed = F.when(leaves > 0, f(was) - f(was - 1)).otherwise(F.lit(0).cast("long"))
+        total = state["total"] - freed + f(now + 1) - f(now)
+        slid = F.transform(
+            counts,
+            lambda n, i: n + F.when(i + 1 == enters, 1).otherwise(0) - F.when(i + 1 == leaves, 1).otherwise(0),
+        )
+        seen = state["seen"] + 1
+        low = F.when(seen >= c.window, F.least(state["low"], total)).otherwise(state["low"])
+        return F.struct(slid.alias("counts"), total.alias("total"), low.alias("low"), seen.alias("seen"))
 
     zero = F.struct(
-        F.lit(0).cast("long").alias("total"), F.lit(2**62).cast("long").alias("low")
+        F.array_repeat(F.lit(0), len(c.letters)).alias("counts"),
+        F.lit(0).cast("long").alias("total"),
+        F.lit(2**62).cast("long").alias("low"),
+        F.lit(0).alias("seen"),
     )
-    best = F.aggregate(F.sequence(F.lit(1), F.size(chars)), zero, step, lambda s: s["low"])
-    return best <= most
+    return F.aggregate(steps, zero, step, lambda state: state["low"]) <= most
+
+
+def _is_secret(kind: Column, hit: Column) -> Column:
+    """Whether a match counts: it is long enough, or a window beside all allow-listed words is random."""
+    keep = F.when(kind == "assign", F.char_length(F.regexp_extract(hit, ASSIGN, 2)) >= 8)
+    keep = keep.when(kind.isin(*BASE_KINDS), F.lit(True))
+    for c in CLASSES:
+        parts = F.filter(F.split(hit, ALLOW, -1), lambda x: F.char_length(x) >= c.window)  # noqa: B023
+        keep = keep.when(kind == c.kind, F.exists(parts, lambda x: _high_entropy(x, c)))  # noqa: B023
+    return keep
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
-    """(rk, kind, start, end) of every secret; places count code points, the end is exclusive.
+    """(rk, doc_id, kind, start, end) of every secret; places count code points, the end is exclusive.
 
-    rk is xxhash64(doc_id, text) of the row. A null text holds none.
+    rk is xxhash64(doc_id, text) of the row. A null text holds none. Matches are judged where the text is
+    read; only their lengths and the gaps between them are shuffled.
     """
     text = F.col("text")
     kinds = [(k, p) for k, p in zip(BASE_KINDS, (ASSIGN, ACCESS, HEX))]
     kinds += [(c.kind, c.pattern) for c in CLASSES]
     found = docs.select(
         F.xxhash64("doc_id", "text").alias("rk"),
+        "doc_id",
         F.array(
             *[F.struct(F.lit(k).alias("kind"), _parts(text, p).alias("parts")) for k, p in kinds]
         ).alias("all"),
     ).filter(F.exists("all", lambda x: x["parts"].isNotNull()))
-    by_kind = found.select("rk", F.inline("all")).filter(F.col("parts").isNotNull())
-    rows = by_kind.select("rk", "kind", F.posexplode("parts").alias("i", "part"))
-    rows = rows.select("rk", "kind", "i", "part.gap", "part.hit").distinct()
-    upto = Window.partitionBy("rk", "kind").orderBy("i")
-    size = F.char_length("hit")
-    placed = rows.withColumn("end", F.sum(F.col("gap") + size).over(upto)).withColumn(
-        "start", F.col("end") - size
-    )
-    hit = F.col("hit")
-    keep = F.when(
-        F.col("kind") == "assign",
-        F.char_length(F.regexp_extract(hit, ASSIGN, 2)) >= 8,
-    ).when(F.col("kind").isin(*BASE_KINDS), F.lit(True))
-    for c in CLASSES:
-        keep = keep.when(
-            F.col("kind") == c.kind,
-            ~F.regexp_like(hit, F.lit(ALLOW)) & _high_entropy(hit, c.window, c.bits),
-        )
-    return placed.filter(keep).select("rk", "kind", "start", "end")
+    by_kind = found.select("rk", "doc_id", F.inline("all")).filter(F.col("parts").isNotNull())
+    rows = by_kind.select("rk", "doc_id", "kind", F.posexplode("parts").alias("i", "part"))
+    judged = rows.select(
+        "rk",
+        "doc_id",
+        "kind",
+        "i",
+        "part.gap",
+        F.char_length("part.hit").alias("size"),
+        _is_secret(F.col("kind"), F.col("part.hit")).alias("keep"),
+    ).distinct()
+    upto = Window.partitionBy("rk", "doc_id", "kind").orderBy("i")
+    placed = judged.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto))
+    return placed.filter("keep").select("rk", "doc_id", "kind", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans: array of (start, order, kind, end)) for every row of ``docs`` (doc_id, text).
 
     Base kinds: assignments, access keys, long hexadecimal strings. The entropy kinds add runs of
-    one character class in which a sliding window is as random as a key; runs that hold an
-    allow-listed word are left out, while base spans always stay. Null and empty texts have an
+    one character class in which a sliding window is as random as a key; windows that touch an
+    allow-listed word do not count, while base spans always stay. Null and empty texts have an
     empty array; repeated rows each get their own; null ids stay null. Other columns are not read.
 
-    Only the matches are shuffled; the places of a document's matches are summed in one task, a
-    document's own matches at most. Ids join by a hash of the row, texts stay where they are.
+    Only the matches' lengths are shuffled; the places of a document's matches are summed in one task, a
+    document's own matches at most. Rows meet by doc_id and a hash of the row, texts stay where they are.
     """
     order = F.array(*[F.lit(k) for k in (*BASE_KINDS, *[c.kind for c in CLASSES])])
     spans = (
         secret_spans(docs)
-        .groupBy("rk")
+        .groupBy("rk", F.struct("doc_id").alias("d"))
         .agg(
             F.sort_array(
                 F.collect_list(
@@ -147,4 +162,6 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     )
     ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"))
     empty = F.array().cast(spans.schema["spans"].dataType)
-    return ids.join(spans, "rk", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    spans = spans.select(F.col("rk").alias("of"), F.col("d.doc_id").alias("of_id"), "spans")
+    same = (F.col("rk") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+    return ids.join(spans, same, "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))

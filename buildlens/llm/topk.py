@@ -138,7 +138,7 @@ def exact_top_k(
     candidates are all rows with another vec_id. Ties go to the smaller vec_id. Rows with a null
     id, a null vector or a null or non-finite component take no part; only vectors of the same
     length are compared; vectors without components score 0. Repeated rows are candidates of their
-    own and, as queries, one query. Scores beyond a long stop at its ends. Other columns aren't
+    own and, as queries, one query, with the smallest of their vectors if these differ. Scores beyond a long stop at its ends. Other columns aren't
     read. An empty table gives an empty result.
 
     Blocks of queries meet blocks of candidates, a bounded number of rows and of components in a
@@ -155,7 +155,7 @@ def exact_top_k(
             F.transform(e, lambda x: F.floor(x.cast("double") * 64).cast("long")).alias("v"),
         )
     )
-    queries = whole.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = whole.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_q = queries.count()
     n_c, widest = whole.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     room = max(1, BLOCK_VALUES // max(1, widest or 0))

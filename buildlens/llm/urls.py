@@ -56,22 +56,66 @@ def _target(page: Column, tag: str, attribute: str) -> Column:
     return F.regexp_extract(F.regexp_extract(page, tag, 0), attribute, 1)
 
 
+def _plain_attribute(value: Column) -> Column:
+    """An attribute's value without character references for the characters that addresses hold."""
+    for pattern, char in ((r"(?i)&(quot|#34|#x22);", '"'), (r"(?i)&(apos|#39|#x27);", "'"), (r"(?i)&(amp|#38|#x26);", "&")):
+        value = F.regexp_replace(value, pattern, char)
+    return value
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` segments resolved; ``..`` does not leave the root."""
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    # A last segment of dots names a folder.
+    folder = F.when(F.regexp_like(path, F.lit(r"/\.{1,2}\z")), F.concat(segments, F.array(F.lit("")))).otherwise(segments)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        folder,
+        none,
+        lambda done, x: F.when(x == ".", done)
+        .when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The address that a link ``to`` on the page ``base`` names; null for links that are no address.
+
+    Full addresses stay as they are. Other links take scheme, host, path or query from the page, as far as
+    they do not name them; ``.`` and ``..`` segments are resolved. A fragment alone names the page itself.
+    """
+    scheme = F.regexp_extract(base, r"\A([^:/?#]+)://", 1)
+    host, path = host_and_path(base)
+    site = F.concat(scheme, F.lit("://"), host)
+    rooted = F.when(F.startswith(path, F.lit("/")), path).otherwise("/")
+    query = F.regexp_extract(base, r"\A[^?#]*(\?[^#]*)", 1)
+    own = F.regexp_extract(to, r"\A([^?#]*)", 1)
+    rest = F.regexp_extract(to, r"\A[^?#]*(.*)", 1)
+    beside = F.concat(F.regexp_extract(rooted, r"\A(.*/)", 1), own)
+    return (
+        F.when(F.regexp_like(to, F.lit(r"\A[A-Za-z][A-Za-z0-9+.\-]*://")), to)
+        .when(F.regexp_like(to, F.lit(r"\A[A-Za-z][A-Za-z0-9+.\-]*:")), F.lit(None).cast("string"))
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(site, _without_dots(own), rest))
+        .when(F.startswith(to, F.lit("?")), F.concat(site, rooted, rest))
+        .when(F.startswith(to, F.lit("#")), F.concat(site, rooted, query, rest))
+        .otherwise(F.concat(site, _without_dots(beside), rest))
+    )
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(url, other): canonical links and meta refreshes that pages declare, with absolute targets."""
+    """(url, other): canonical links and meta refreshes that pages declare, resolved against the page's url.
+
+    Links of pages whose url is null or has no ``://``, empty links and links such as ``mailto:`` give no edge.
+    """
     html, url = F.col("html"), F.col("url")
     targets = F.array(_target(html, LINK, HREF), _target(html, REFRESH, GOES))
-    found = pages.filter(url.isNotNull() & F.regexp_like(html, F.lit(f"{LINK}|{REFRESH}"))).select(
+    found = pages.filter((F.locate("://", url) > 0) & F.regexp_like(html, F.lit(f"{LINK}|{REFRESH}"))).select(
         "url", F.explode(targets).alias("to")
     )
-    scheme = F.regexp_extract(url, r"\A([^:/?#]+)://", 1)
-    host, _ = host_and_path(url)
-    to = F.col("to")
-    absolute = (
-        F.when(F.locate("://", to) > 0, to)
-        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
-        .when(F.startswith(to, F.lit("/")), F.concat(scheme, F.lit("://"), host, to))
-    )
-    return found.filter(to != "").select("url", absolute.alias("other")).filter("other is not null")
+    other = resolved(url, _plain_attribute(F.col("to")))
+    return found.filter("to <> ''").select("url", other.alias("other")).filter("other is not null")
 
 
 def judge_urls(urls: DataFrame, edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:

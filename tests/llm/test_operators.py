@@ -1,5 +1,6 @@
 """Operators against plain Python on small tables with awkward rows."""
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from buildlens.llm import contamination, suffixes
+from buildlens.llm import contamination, queries, suffixes
 from buildlens.llm.contamination import drop_contaminated, find_contamination
 from buildlens.llm.lines import drop_repeated_lines
 from buildlens.llm.mixing import mix_sources
@@ -88,6 +89,27 @@ def test_links_of_pages(spark):
     assert got == {("http://a.org/x", "http://a.org/y"), ("http://a.org/x", "http://z.net/")}
 
 
+@pytest.mark.parametrize("to,want", [
+    ("q", "http://a.org/x/q"), ("../q", "http://a.org/q"), ("?id=3", "http://a.org/x/y?id=3"),
+    ("./", "http://a.org/x/"), ("..", "http://a.org/"), ("../../../z?u=http://b.org/", "http://a.org/z?u=http://b.org/"),
+    ("/m/./n/../o?a=1&amp;b=2", "http://a.org/m/o?a=1&b=2"), ("//c.org/p", "http://c.org/p"), ("#part", "http://a.org/x/y?s=1#part"),
+    ("https://d.org/?a&#38;b", "https://d.org/?a&b"), ("mailto:me@a.org", None), ("", None),
+])
+def test_links_are_resolved(spark, to, want):
+    pages = frame(spark, [("http://A.org/x/y?s=1#f", f'<link rel="canonical" href="{to}">')], "url string, html string")
+    assert [r["other"] for r in page_edges(pages).collect()] == ([want] if want else [])
+
+
+def test_blocks_reach_a_relative_alias(spark):
+    pages = frame(spark, [("http://a.org/x/1", '<link rel="canonical" href="../2?a=1&amp;b=2">'),
+                          ("http://a.org", '<meta http-equiv="refresh" content="0; url=y">')], "url string, html string")
+    edges = page_edges(pages)
+    got = judge_urls(frame(spark, [("http://a.org/x/1",), ("http://a.org/2?b=2&a=1",), ("http://a.org/y",), ("http://a.org/",)], "url string"),
+                     edges, (("block", "a.org/2"),)).collect()
+    assert {r["url"]: r["verdict"] for r in got} == {
+        "http://a.org/x/1": "block", "http://a.org/2?b=2&a=1": "block", "http://a.org/y": "allow", "http://a.org/": "allow"}
+
+
 # --- toxicity
 
 
@@ -156,6 +178,51 @@ def test_mix_meets_targets(spark):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+def pareto(rows, rest):
+    """Places of ``rows`` (doc_id, size) that a Pareto order sample of ``rest`` words takes."""
+    certain, words = set(), rest
+    by_size = sorted({n for _, n in rows if n})
+    for n in by_size:
+        unit = sum(math.floor(m * 1000 / math.sqrt(m + 1.0)) for _, m in rows if m >= n)
+        m = words / unit
+        if m * 1000 / math.sqrt(n + 1.0) < 1:
+            break
+        certain |= {i for i, (_, k) in enumerate(rows) if k == n}
+        words -= sum(k for _, k in rows if k == n)
+    else:
+        return certain
+    ranked = []
+    for i, (d, k) in enumerate(rows):
+        if k >= n and words >= 0.5:
+            p = min(0.999999, m * 1000 / math.sqrt(k + 1.0))
+            u = (int(hashlib.md5(str(d).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            ranked.append((u / (1 - u) * (1 - p) / p, d, k, i))
+    before = 0
+    for _, _, k, i in sorted(ranked):
+        if before + k - k / 2 <= words:
+            certain.add(i)
+        before += k
+    return certain
+
+
+@pytest.mark.parametrize("share", [0.05, 0.6, 0.98])
+def test_the_sample_equals_plain_python(spark, share):
+    """One source of two, whose share of the words leaves ``share`` of its size to the sample."""
+    rng = np.random.default_rng(int(share * 100))
+    sizes = [int(n) for n in rng.choice([0, 1, 2, 5, 40, 40, 300, 2000], 400)]
+    one = [(i, n) for i, n in enumerate(sizes)]
+    size = sum(sizes)
+    # a and b weigh 1 and 2: a gets (size + other) / 3, once its size and ``share`` more.
+    other = round(3 * (1 + share) * size) - size
+    rows = [(i, " ".join(["w"] * n), "a") for i, n in one] + [(1000, " ".join(["w"] * other), "b")]
+    got = mix_sources(frame(spark, rows, DOCS + ", source string")).collect()
+    rest = next(r["target"] for r in got if r["source"] == "a") - size
+    taken = pareto(one, rest)
+    assert {r["doc_id"]: r["copies"] for r in got if r["source"] == "a"} == {i: 1 + (i in taken) for i, _ in one}
+    words = sum(n for i, n in one if i in taken)
+    assert abs(words - rest) <= 2000 and 0 < len(taken) < 400
+
+
 def test_mix_of_nothing(spark):
     assert mix_sources(frame(spark, [], DOCS + ", source string")).count() == 0
     only = mix_sources(frame(spark, [(1, "", "a"), (2, None, None)], DOCS + ", source string")).collect()
@@ -307,7 +374,7 @@ def brute_matches(text, item, least):
     if not b or not a:
         return None
     if len(b) < 5:
-        return 1.0 if a == b else None
+        return 1.0 if any(a[i : i + len(b)] == b for i in range(len(a))) else None
     grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     want, best = grams(b), 0.0
     n = min(len(a), len(b))
@@ -320,7 +387,7 @@ def brute_matches(text, item, least):
 
 def test_windows_equal_plain_python(spark):
     items = [(i, " ".join(words(i + 50, 20 + i)) + ".") for i in range(8)]
-    items += [(20, "Only these words"), (21, "..."), (22, None), (None, "no id"), (0, items[0][1])]
+    items += [(20, "Only these words"), (21, "..."), (22, None), (None, "no id"), (0, items[0][1]), (23, "alpha beta gamma"), (24, "Zeta")]
     rows = []
     for i in range(60):
         own, put = words(1000 + i, 150), items[i % 8][1].split()
@@ -329,7 +396,7 @@ def test_windows_equal_plain_python(spark):
         elif i % 3 == 1:
             own[60:60] = put[: len(put) - 1 - i % 5]
         rows.append((i, " ".join(own)))
-    rows += [(70, "only THESE, words!"), (71, "only these words too"), (72, None), (73, ""), (74, items[3][1]), (None, items[3][1]), (74, items[3][1])]
+    rows += [(70, "only THESE, words!"), (71, "only these words too"), (75, "say alpha beta gamma now ..."), (76, "alpha, beta"), (77, "zeta " + rows[0][1] + " ZETA"), (72, None), (73, ""), (74, items[3][1]), (None, items[3][1]), (74, items[3][1])]
     docs = frame(spark, [(*r, "c") for r in rows], DOCS + ", item_id string")
     bench = frame(spark, items, "item_id long, text string")
     want = Counter()
@@ -381,6 +448,8 @@ def test_secrets_equal_plain_python(spark):
         (5, "a" * 5000 + pick(b64, 30)),
         (6, None), (7, ""), (None, "api_key=abcdefgh1"), (1, 'é PassWord = "s3cr3tvalue" and token:short'),
         (8, "secret: token = abcdefghijk password=token=abcdefgh"),
+        (9, "/sample/" + pick(b64[:62], 32)), (10, "example_key=" + pick(b64[:62], 32)), (11, pick(b64[:62], 12) + "dummy" + pick(b64[:62], 12)),
+        (12, pick("0123456789ABCDEFabcdef", 400)), (13, "ab" * 40), (14, "abc " + pick(b64, 24) + " é " + pick(b64, 23)),
     ]
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     allow = re.compile(r"example|sample|placeholder|changeme|dummy|x{6}|0{12}|(?:deadbeef){2}|0123456789abcdef", re.I)
@@ -392,13 +461,16 @@ def test_secrets_equal_plain_python(spark):
         spans += [(m.start(), 3, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
         for n, c in enumerate(CLASSES):
             for m in re.finditer(c.pattern, t):
-                best = max(entropy(m[0][i : i + c.window]) for i in range(len(m[0]) - c.window + 1))
-                if best >= c.bits and not allow.search(m[0]):
+                parts = [x for x in allow.split(m[0]) if len(x) >= c.window]
+                best = max((entropy(x[i : i + c.window]) for x in parts for i in range(len(x) - c.window + 1)), default=0)
+                if best >= c.bits:
                     spans.append((m.start(), 4 + n, c.kind, m.end()))
         want[(d, tuple(sorted(spans)))] += 1
     docs = frame(spark, [(*r, "q") for r in rows], DOCS + ", kind string")
     got = Counter((r["doc_id"], tuple(tuple(s) for s in r["spans"])) for r in scan_secrets(docs).collect())
     assert got == want
+    kinds = {r["doc_id"]: [x["kind"] for x in r["spans"]] for r in scan_secrets(docs).collect()}
+    assert kinds[9] == kinds[10] == ["base64_entropy"] and kinds[11] == [] and kinds[13] == ["hex"]
     assert scan_secrets(docs.limit(0)).count() == 0
 
 
@@ -474,14 +546,15 @@ def test_cut_texts_have_the_same_anchors(monkeypatch):
 
     def windows():
         out = set()
-        for b in suffixes._anchor_rows(100)([batch]):
-            for h, rk, spot in zip(*[c.to_pylist() for c in b.columns]):
+        for piece, hashes, owner, spots in suffixes._anchored([batch], 100):
+            for h, rk, spot in zip(hashes.tolist(), piece["rk"].to_numpy()[owner].tolist(), spots.tolist()):
                 lo, n, off = spot >> 14, (spot >> 7) & 127, spot & 127
                 out |= {(rk, lo + i, lo + off, h) for i in range(n + 1)}
         return out
 
     whole = windows()
     monkeypatch.setattr(suffixes, "CHUNK", 150)
+    monkeypatch.setattr(suffixes, "STEP", 150)
     assert windows() == whole
 
 
@@ -504,6 +577,12 @@ def test_quality_scores_held_out_texts(spark):
     assert score_quality(fresh.limit(0), model).count() == 0
 
 
+def test_labels_that_disagree_are_left_out(spark):
+    labels = frame(spark, [(1, 1), (1, 1), (2, 0), (2, 1), (3, None), (4, 0), (4, None), (None, 1)], "doc_id long, toxic int")
+    got = {tuple(r) for r in queries._known(labels, "toxic").collect()}
+    assert got == {(1, 1), (4, 0)}
+
+
 def test_quality_without_labels(spark):
     model = fit_quality(frame(spark, [(1, "a", None), (None, "b", 1)], DOCS + ", label int"))
     assert [r["score"] for r in score_quality(frame(spark, [(1, "text")]), model).collect()] == [0.5]

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -66,6 +67,16 @@ def test_models_of_the_queries(spark, tables):
     assert sum(toxic[d] == labels[d][1] for d in labels) >= 0.95 * len(labels)
 
 
+def test_a_run_deletes_what_no_stage_reads_any_more(spark, monkeypatch):
+    kept = []
+    path_of = corpus_pipeline.scratch_path
+    monkeypatch.setattr(corpus_pipeline, "scratch_path", lambda spark, name: kept.append(path_of(spark, name)) or kept[-1])
+    mixed = corpus_pipeline.run(spark, DATA)
+    folders = [Path(p.removeprefix("file:")) for p in kept]
+    assert mixed.count() > 0 and [f.exists() for f in folders] == [False, False, False, True]
+    assert not list(folders[0].parent.glob("scope-*/*"))
+
+
 def test_stages(spark, tables):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     seen = {}
