@@ -11,7 +11,7 @@ from buildlens.llm.mixing import mix_sources
 from buildlens.llm.queries import TOXIC_FROM, toxicity_model
 from buildlens.llm.simhash import keep_one
 from buildlens.llm.toxicity import drop_toxic
-from buildlens.session import scratch_path
+from buildlens.session import remove, scratch_path, scratch_scope
 from buildlens.sources.tables import read_table
 
 
@@ -53,12 +53,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what a stage returns is written and read again by the next one."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages in order; what a stage returns is written and read again by the next one.
+
+    A stage's own scratch goes when its rows are written, these go when the next stage's are. What the last
+    stage reads stays, as its result is not written here.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
