@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from buildlens.functions.ids import ordered_ids
@@ -327,8 +327,10 @@ def snippet_groups(
     Members of a family that acts as one unit see the same neighbours and each other, so they all
     end in the group of the first one, and only that one is compared.
     """
-    told = cut_lineage(_number_families(nodes, threshold))
-    if told.filter(F.col("first").isNotNull()).isEmpty():
+    families = Observation()
+    told = _number_families(nodes, threshold).observe(families, F.count("first").alias("n"))
+    told = cut_lineage(told)
+    if not families.get.get("n"):
         edges = similar_pairs(nodes, threshold).select("a", "b")
         placed = nodes.select("node", F.col("node").alias("unit"))
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from buildlens.catalog import Config, check_tags, fingerprint, tags_df
 from buildlens.functions.ids import assign_ids
 from buildlens.operators import artifacts as art, ingest, similarity, store as st, tagging
-from buildlens.session import cut_lineage
+from buildlens.session import cut_lineage, scratch_scope
 from buildlens.sources.tables import APPENDED, alive, append, appended, publish, published, run_state
 
 Store = dict[str, DataFrame]
@@ -83,8 +83,21 @@ def nightly(
     ``store`` is the store of the night before, or an empty one. Runs are tagged once per catalog, and only
     the issues found tonight are written; those of dead runs and of older catalogs are passed over by
     readers. Without a run to tag nothing is purged by retention, and unless the blocklist took runs, the
-    groups stay as they are stored.
+    groups stay as they are stored. What the night writes in between is deleted at its end.
     """
+    with scratch_scope(store["jobs"].sparkSession):
+        return _nightly(store, payload, details, artifacts, config, root, night)
+
+
+def _nightly(
+    store: Store,
+    payload: DataFrame,
+    details: DataFrame,
+    artifacts: DataFrame,
+    config: Config,
+    root: str,
+    night: int,
+) -> Store:
     spark = store["jobs"].sparkSession
     before = store["runs"].select("run_id")
     first = published(spark, root) is None

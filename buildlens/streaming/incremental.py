@@ -19,7 +19,7 @@ from buildlens.catalog import Tag, fingerprint
 from buildlens.functions.ids import assign_ids
 from buildlens.operators import ingest, store as st, tagging
 from buildlens.schemas import ARTIFACTS, BUILDS, ISSUES, JOBS, PAYLOAD, RUNS
-from buildlens.session import cut_lineage, scratch_path
+from buildlens.session import cut_lineage, scratch_path, scratch_scope
 
 _URL = T.StructType([RUNS["url"]])
 _SEEN = T.StructType([RUNS["run_id"], RUNS["url"]])
@@ -138,7 +138,8 @@ def stream_ingest(
     snapshots = ingest.with_file(files)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, root, details, blocklist, last_n)
+        with scratch_scope(spark):
+            ingest_batch(batch, batch_id, root, details, blocklist, last_n)
 
     return (
         snapshots.writeStream.foreachBatch(apply)

@@ -13,7 +13,7 @@ from buildlens.operators import artifacts as art, ingest, stats
 from buildlens.plans import nightly
 from buildlens.plans.queries import QUERIES
 from buildlens.schemas import RUN_DETAILS
-from buildlens.session import scratch_path
+from buildlens.session import scratch_path, shared_dir
 from buildlens.sources import ci_tables as ci
 from buildlens.sources.tables import alive, append, appended, compact, empty_store, read_store, run_state
 from buildlens.streaming import incremental
@@ -183,7 +183,10 @@ def test_nightly_twice(spark):
     root = scratch_path(spark, "nightly")
     night = lambda store, jobs, v, c=config: nightly.nightly(store, _payload(spark, jobs), details, files, c, root, v)
     jobs = [{"name": "one", "url": "j", "builds": [_build(9, [_run(9, "x")]), _build(5, [_run(5, "x")])]}]
+    scopes = lambda: {str(p) for p in Path(shared_dir(spark).removeprefix("file:")).glob("scope-*")}
+    before = scopes()
     store = night(empty_store(spark), jobs, 0)
+    assert scopes() == before  # no scratch is left
     assert sorted(r.snippet for r in store["issues"].collect() if "boom" in r.snippet) == [
         f"boom {b} in the middle of a long message" for b in (5, 9)]
     assert sorted(r.name for r in store["tags"].collect()) == ["boom", "name"]
