@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-from buildlens.session import local_session
+from buildlens.session import local_session, scratch_scope
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -46,7 +46,8 @@ def main() -> None:
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()
-        QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
+        with scratch_scope(spark):
+            QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     print(
         json.dumps(
