@@ -183,9 +183,9 @@ def find_contamination(
     similarity of the shingle counts, which must be ``least`` or more. The best window of an item,
     the first among equals, is returned. Windows without any shingle of an item of their length
     have similarity 0 and no fingerprint is made for them. An item of one to four words is one shingle
-    and matches wherever its words stand in a row; items without words match nothing. A window of
-    exactly similarity 0.8 lies beyond 24 bits in less than one case of 100,000, counted over random
-    windows of 18 to 200 shingles; from 0.82 on no case was seen.
+    and matches wherever its words stand in a row; items without words match nothing. Simulated on 400,000
+    pairs each of 18, 36, 90, 180 and 360 shingles, a window of similarity 0.8 lies beyond 24 bits in 0 to 3
+    cases, one of 0.82 in none.
 
     Null ids or texts of the benchmark are left out, a null document text has no words, a null
     doc_id passes through; repeated documents each give their rows, repeated items give one.
