@@ -200,8 +200,8 @@ def _greedy_seeds(edges):
     return sorted((n, g[0]) for g in groups for n in g)
 
 
-@pytest.mark.parametrize("prefix", [2, graph.PREFIX])
-@pytest.mark.parametrize("seed,nodes,share", [(1, 9, 0.5), (2, 14, 0.25), (3, 12, 0.85), (4, 40, 0.4)])
+@pytest.mark.parametrize("seed,nodes,share,prefix", [
+    (1, 9, 0.5, graph.PREFIX), (2, 14, 0.25, 2), (3, 12, 0.85, 2), (4, 40, 0.4, 4), (4, 40, 0.4, graph.PREFIX)])
 def test_rounds_equal_greedy(spark, monkeypatch, seed, nodes, share, prefix):
     monkeypatch.setattr(graph, "PREFIX", prefix)
     monkeypatch.setattr(graph, "SPAN_BITS", 1)
