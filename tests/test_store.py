@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from buildlens.functions.ids import assign_ids, issue_key, ordered_ids
 from buildlens.operators import store as st
 from buildlens.schemas import BUILDS, JOBS
+from buildlens.sources import ci_tables
 
 JOB_CHANGE = "name string, url string, retention_floor long"
 
@@ -92,3 +93,14 @@ def test_invalidate(spark):
     assert {r.run_id: r.tag_schema for r in store["runs"].collect()} == {111: None, 121: "now", 211: None, 311: "now"}
     assert _keys(store)["issues"] == ["b", "c", "d"]
     assert _keys(store)["similarities"] == ["h", "h", "k", "k"]
+
+
+def test_line_items_are_grouped_in_as_many_partitions_as_shuffles_have(spark, tmp_path):
+    rows = spark.range(1600).select((F.col("id") % 400).alias("l_orderkey"), F.expr("cast(id div 800 as int)").alias("l_linenumber"), (F.col("id") % 7).alias("l_partkey"))
+    rows = rows.withColumns({"l_returnflag": F.lit("A"), "l_linestatus": F.lit("F")})
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    part = spark.range(7).select(F.col("id").alias("p_partkey"), F.lit("ECONOMY").alias("p_type"), F.lit("Brand#11").alias("p_brand"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    runs = ci_tables.runs_b(spark, str(tmp_path))
+    assert runs.count() == 800
+    assert runs.select(F.spark_partition_id()).distinct().count() == 8

@@ -220,3 +220,11 @@ def test_sketches_hide_no_match_and_spare_most_texts(spark):
             asked = {r.run_id for r in sketch.possible_tags(sketches, [tag]).collect()}
             assert {i for i, x in rows if x and tag.needle in x} <= asked and len(asked) <= 40
     assert {r.asked[0] for r in sketch.possible_tags(sketches, [Tag("free", "x", "Console", "Info", tag_id=9)]).collect()} == {9}
+
+
+def test_matches_are_placed_in_as_many_partitions_as_shuffles_have(spark):
+    """Rows that compress well are not merged into few tasks, whose memory would grow with the table."""
+    runs = spark.range(400).select(F.col("id").alias("run_id"), F.lit("ECONOMY BRASS").alias("display_name"))
+    found = tagging.run_name_issues(runs, number_tags([Tag("economy", "ECONOMY", "RunName", "Error")]))
+    assert found.count() == 400
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
