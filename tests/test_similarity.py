@@ -258,3 +258,19 @@ def test_similarity_values(spark):
     got = [r.s for r in df.collect()]
     assert got[0] is None and got[1] == 1.0 and got[2] == 0.0 and got[3] == 0.0
     assert got[4] == pytest.approx(math.exp(-1 / 19))
+
+
+def test_pieces_and_written_tables_are_not_broadcast(spark, tmp_path):
+    """Spark takes exploded or compressed rows for few bytes, however many there are."""
+    texts = [(i, f"worker {i:04d} gave no answer after {i * 7:05d} ms, letter {chr(97 + i % 5)}") for i in range(40)]
+    spark.createDataFrame(texts, "node long, snippet string").write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes")
+    told = sim._number_families(nodes, 0.9)
+    for df in (sim.candidate_pairs(nodes, nodes, 0.9), sim.similar_pairs(nodes, 0.9), sim.similar_links(nodes, 0.9), told):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_few_texts_are_cut_by_many_tasks(spark):
+    nodes = spark.range(200).select(F.col("id").alias("node"), F.concat(F.lit("some words "), F.md5(F.col("id").cast("string"))).alias("snippet"))
+    assert sim.probed_pieces(nodes.coalesce(1), 0.9).select(F.spark_partition_id()).distinct().count() == 8
