@@ -106,6 +106,37 @@ def test_links_of_a_family_are_not_compared(spark):
     assert len(rows) == 2000 and {r.n_similar for r in rows} == {1999} and sum(r.first_similar is None for r in rows) == 1
 
 
+@pytest.mark.parametrize("few", [0, 16])
+def test_links_of_open_families_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(sim, "FEW_MEMBERS", few)
+    texts = [f"worker {i:04d} gave up waiting for an answer from the other side of the wire today" for i in range(0, 700, 29)]
+    texts += [f"worker {i:04d} gave up waiting for an answer from the other hand, if any, today" for i in (0, 58, 7777)]
+    texts += [f"worker {i:04d} gave up waiting for an answer from the xyzzy side of the wire today" for i in (29, 9999)]
+    nodes = sim.distinct_snippets(issue_table(spark, texts))
+    text_of = {r.node: r.snippet for r in nodes.collect()}
+    got = {text_of[r.node]: r.n_similar for r in sim.similar_links(nodes, 0.9).collect()}
+    want = {x: sum(y != x and close(x, y, 0.9) > 0.9 for y in texts) for x in texts}
+    assert got == want and len({*want.values()}) > 2
+
+
+def test_one_text_beside_a_family_is_compared_without_pieces(spark, monkeypatch):
+    """Its members are as many as the pairs; they would be cut into a hundred pieces each."""
+    cut, found = [], sim.candidate_pairs
+
+    def counted(longer, shorter, threshold):
+        cut.append(longer.count() + shorter.count())
+        return found(longer, shorter, threshold)
+
+    monkeypatch.setattr(sim, "candidate_pairs", counted)
+    texts = [f"worker {i:04d} gave up waiting for an answer from the other side of the wire today" for i in range(300)]
+    texts.append("worker 0007 gave up waiting for an answer from the xyzzy side of the wire today")
+    nodes = sim.distinct_snippets(issue_table(spark, texts))
+    rows = sim.similar_links(nodes, 0.9).collect()
+    near = sum(close(texts[-1], x, 0.9) > 0.9 for x in texts[:-1])
+    assert 0 < near < 300 and sorted(r.n_similar for r in rows) == sorted([near] + [299] * (300 - near) + [300] * near)
+    assert sum(cut) < 20
+
+
 def test_nights_find_the_pairs_of_a_full_run(spark):
     texts = snippets(7)
     root = scratch_path(spark, "index")
