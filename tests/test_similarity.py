@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from buildlens.functions.text import similarity
+from buildlens.functions.text import edit_ratio, similarity
 from buildlens.operators import graph, similarity as sim, snippet_index
 from buildlens.session import scratch_path
 
@@ -305,3 +305,29 @@ def test_pieces_and_written_tables_are_not_broadcast(spark, tmp_path):
 def test_few_texts_are_cut_by_many_tasks(spark):
     nodes = spark.range(200).select(F.col("id").alias("node"), F.concat(F.lit("some words "), F.md5(F.col("id").cast("string"))).alias("snippet"))
     assert sim.probed_pieces(nodes.coalesce(1), 0.9).select(F.spark_partition_id()).distinct().count() == 8
+
+
+def test_only_texts_near_a_family_in_length_are_cut_for_it(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    texts = [f"worker {i} of the pool gave no answer" for i in (3, 4, 5)] + ["worker x of the pool gave no answer"]
+    texts += [word(n) for n in (5, 9, 12, 200, 300, 400, 900)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, snippet string")
+    cut = []
+    for name in ("offered_pieces", "probed_pieces"):
+        real = getattr(sim, name)
+        monkeypatch.setattr(sim, name, lambda df, t, real=real: cut.extend(r.node for r in df.select("node").collect()) or real(df, t))
+    judged = sim._judged_units(sim._number_families(nodes, 0.9), 0.9)
+    assert [(r.a, r.b, r.sure) for r in judged.collect()] == [(0, 3, True)]
+    assert set(cut) == {0, 3}
+
+
+@pytest.mark.parametrize("step", [-1, 1])
+def test_near_lengths_keep_every_possible_partner(spark, step):
+    """Of a longer text all shorter ones within its budget, and the other way around."""
+    budget = lambda n: math.floor(n * edit_ratio(0.9) + 1e-9)
+    nodes = spark.createDataFrame([(n, "x" * n) for n in range(400)] + [(400, None)], "node long, snippet string")
+    for n in (1, 20, 21, 57, 210):
+        kept = {r.node for r in sim._of_near_length(nodes, nodes.filter(F.col("node") == n), 0.9, step).collect()}
+        want = {m for m in range(1, 400) if (0 <= n - m <= budget(n) if step < 0 else 0 <= m - n <= budget(m))}
+        assert want <= kept and 0 not in kept and 400 not in kept and len(kept) < 80
