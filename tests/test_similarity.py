@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from buildlens.functions.text import edit_ratio, similarity
+from buildlens.functions.text import common_start, edit_ratio, similarity
 from buildlens.operators import graph, similarity as sim, snippet_index
 from buildlens.session import scratch_path
 
@@ -331,3 +331,46 @@ def test_near_lengths_keep_every_possible_partner(spark, step):
         kept = {r.node for r in sim._of_near_length(nodes, nodes.filter(F.col("node") == n), 0.9, step).collect()}
         want = {m for m in range(1, 400) if (0 <= n - m <= budget(n) if step < 0 else 0 <= m - n <= budget(m))}
         assert want <= kept and 0 not in kept and 400 not in kept and len(kept) < 80
+
+
+def _loosely_numbered(rng):
+    """Texts with more digits than a family may have, beside unnumbered ones and one of another wording."""
+    texts = [f"lib/heap.c:{rng.randrange(10 ** rng.randint(1, 5))}: warning: cast drops bits" for _ in range(60)]
+    texts += [f"at {rng.randrange(10**4)} of é{rng.randrange(10**3)} rows, then none" for _ in range(20)]
+    texts += ["lib/heap.c:1234: warning: cast drop bits", "lib/heap.c:: warning: cast drops bits", "12.34.56.78", "12.34.56.79"]
+    return list(dict.fromkeys(texts))
+
+
+def test_texts_of_one_wording_are_compared_without_pieces(spark):
+    texts = _loosely_numbered(random.Random(3))
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, snippet string")
+    want = {(i, j): edits(texts[i], texts[j]) for j in range(len(texts)) for i in range(j) if close(texts[i], texts[j], 0.9) > 0.9}
+    assert {(r.a, r.b): r.distance for r in sim.similar_pairs(nodes, 0.9).collect()} == want and len(want) > 100
+    # By pieces there come few: those across wordings, and of texts that may offer nothing but digits.
+    by_pieces = sim.paired_pieces(sim.offered_pieces(nodes, 0.9), sim.probed_pieces(nodes, 0.9), worded=False)
+    assert by_pieces.count() < 100 < sim.candidate_pairs(nodes, nodes, 0.9).count()
+
+
+def test_nights_compare_texts_of_one_wording(spark):
+    texts = _loosely_numbered(random.Random(4))
+    root = scratch_path(spark, "index")
+    for night, some in enumerate((texts[::2], texts[1::4], texts)):
+        snippet_index.add_snippets(spark, spark.createDataFrame([(t,) for t in some], "snippet string"), root, night, 0.9)
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = sorted((*sorted((md5(x), md5(y))), edits(x, y)) for i, x in enumerate(texts) for y in texts[i + 1 :] if close(x, y, 0.9) > 0.9)
+    assert sorted((r.a, r.b, r.distance) for r in snippet_index.all_pairs(spark, root).collect()) == want
+
+
+def test_a_pair_is_measured_once(spark):
+    """Filters on a distance would each measure it again."""
+    nodes = spark.createDataFrame([(1, "some words of a log"), (2, "some words of a dog")], "node long, snippet string")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    found = sim.measured_pairs(pairs, nodes, 0.9).filter("distance < 9 and distance + longer > 0 and distance <> 7")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 1, 19)]
+
+
+def test_common_starts(spark):
+    pairs = [("", "a"), ("abc", "abd"), ("abc", "abcd"), ("x" * 300 + "a", "x" * 300 + "b"), ("é😀x", "é😀y"), ("😀", "😁")]
+    df = spark.createDataFrame(pairs, "l string, r string").select("l", "r", common_start("l", "r").alias("n"))
+    assert [r.n for r in df.collect()] == [0, 2, 3, 300, 2, 0]
