@@ -337,6 +337,8 @@ def _loosely_numbered(rng):
     """Texts with more digits than a family may have, beside unnumbered ones and one of another wording."""
     texts = [f"lib/heap.c:{rng.randrange(10 ** rng.randint(1, 5))}: warning: cast drops bits" for _ in range(60)]
     texts += [f"at {rng.randrange(10**4)} of é{rng.randrange(10**3)} rows, then none" for _ in range(20)]
+    for n in rng.sample(range(300), 40):
+        texts.append(f"not ok 2 - table of {n} rows\n  rows: want {n}" + (" or more" if n % 5 == 0 else ""))
     texts += ["lib/heap.c:1234: warning: cast drop bits", "lib/heap.c:: warning: cast drops bits", "12.34.56.78", "12.34.56.79"]
     return list(dict.fromkeys(texts))
 
@@ -347,6 +349,8 @@ def test_texts_of_one_wording_are_compared_without_pieces(spark):
     want = {(i, j): edits(texts[i], texts[j]) for j in range(len(texts)) for i in range(j) if close(texts[i], texts[j], 0.9) > 0.9}
     assert {(r.a, r.b): r.distance for r in sim.similar_pairs(nodes, 0.9).collect()} == want and len(want) > 100
     # By pieces there come few: those across wordings, and of texts that may offer nothing but digits.
+    left = sim.worded_pairs(sim.worded_texts(nodes, 0.9)).collect()
+    assert {(r.a, r.b) for r in left} <= {*want} and len(left) > len(want) / 2
     by_pieces = sim.paired_pieces(sim.offered_pieces(nodes, 0.9), sim.probed_pieces(nodes, 0.9), worded=False)
     assert by_pieces.count() < 100 < sim.candidate_pairs(nodes, nodes, 0.9).count()
 
