@@ -370,7 +370,7 @@ def test_a_pair_is_measured_once(spark):
     nodes = spark.createDataFrame([(1, "some words of a log"), (2, "some words of a dog")], "node long, snippet string")
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     found = sim.measured_pairs(pairs, nodes, 0.9).filter("distance < 9 and distance + longer > 0 and distance <> 7")
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(left") == 1
     assert [tuple(r) for r in found.collect()] == [(1, 2, 1, 19)]
 
 
@@ -378,3 +378,29 @@ def test_common_starts(spark):
     pairs = [("", "a"), ("abc", "abd"), ("abc", "abcd"), ("x" * 300 + "a", "x" * 300 + "b"), ("é😀x", "é😀y"), ("😀", "😁")]
     df = spark.createDataFrame(pairs, "l string, r string").select("l", "r", common_start("l", "r").alias("n"))
     assert [r.n for r in df.collect()] == [0, 2, 3, 300, 2, 0]
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.8, 0.5])
+def test_long_pairs_equal_plain_distances(spark, threshold):
+    """Edits anywhere, at the ends too, up to and beyond the budget."""
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
+    texts = []
+    for length in (60, 130, 260):
+        base = word(length)
+        for share in (0.02, 0.05, 0.09, 0.12, 0.2, 0.4):
+            n = int(length * share)
+            at = rng.randrange(length - n)
+            texts += [word(n) + base[n:], base[:-n] + word(n), base[n:], base[:-n], word(n) + base, base[:at] + word(n) + base[at + n :],
+                      base[n // 2 :] + word(n // 2), "".join(c if rng.random() > share else "x" for c in base)]
+        texts += [base, word(length)]
+    texts = list(dict.fromkeys(texts))
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, snippet string")
+    want = {}
+    for j in range(len(texts)):
+        for i in range(j):
+            budget = math.floor(max(len(texts[i]), len(texts[j])) * edit_ratio(threshold) + 1e-9)
+            if abs(len(texts[i]) - len(texts[j])) <= budget and (d := edits(texts[i], texts[j])) <= budget:
+                want[i, j] = d
+    every = nodes.select(F.col("node").alias("a")).crossJoin(nodes.select(F.col("node").alias("b"))).filter("a < b")
+    assert {(r.a, r.b): r.distance for r in sim.measured_pairs(every, nodes, threshold).collect()} == want and len(want) > 100
